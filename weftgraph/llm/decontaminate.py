@@ -108,9 +108,9 @@ class Items:
         pair = w.doc[place] * len(self.ids) + self.words.doc[other]
         order = np.argsort(pair, kind="stable")
         pair, place, other = pair[order], place[order], other[order]
-        cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else []
+        cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, int)
         out = []
-        for a, b in zip(cut, np.append(cut[1:], len(pair)), strict=True):
+        for a, b in zip(cut, np.append(cut, len(pair))[1:], strict=True):
             text, item = divmod(int(pair[a]), len(self.ids))
             first, m = self.words.first[item], int(self.words.counts[item])
             seeded = np.zeros(m, bool)
