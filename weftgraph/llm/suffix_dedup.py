@@ -5,7 +5,7 @@ with a smaller doc_id is removed; all strings are judged on the input.
 
 A string of ``length`` bytes always holds the same minimal gram of ``GRAM``
 bytes (the leftmost with the smallest hash), so only suffixes that begin at such
-anchors are sorted: about one in fourteen. The steps:
+anchors are sorted: about one in ten. The steps:
 
 1. Texts are dealt into chunk rows of about ``CHUNK`` bytes, written once.
 2. Each chunk sends its distinct anchor keys to hash buckets; a key that other
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.arrays import _INVERSE, U, as_bytes, mix, powers, prefix_sums
 from weftgraph.llm.store import dropped, input_bytes, written
 
-GRAM = 24
+GRAM = 32
 CHUNK = 2 << 20
 #: A key in more chunks than this is passed on string by string.
 HOT_CHUNKS = 64
@@ -380,7 +380,7 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
     schema = "chunk long, ids array<long>, lengths array<long>, rest array<string>, body binary"
     # text is about three times its file here; a wrong guess only changes the size of a bucket
-    buckets = min(1 << 24, max(8, math.ceil(3 * min(input_bytes(docs), 1 << 50) / 14 / KEYS_PER_BUCKET)))
+    buckets = min(1 << 24, max(8, math.ceil(3 * min(input_bytes(docs), 1 << 50) / 10 / KEYS_PER_BUCKET)))
     chunks = written(source.mapInArrow(_chunked, schema))
     keys = chunks.select("chunk", "ids", "lengths", "body").mapInArrow(_keyed(length, buckets), "bucket long, chunk long, bits binary")
     met = keys.groupBy("bucket").applyInPandas(_met, "chunk long, bucket long, bits binary, hot binary")
