@@ -167,12 +167,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     made = written(made)
     key = ["k1", "k2", "n_shingles"]
     full = made.where("n_shingles > 0 and doc_id is not null")
+    every = written(made.drop("bands"))
     reps = written(full.groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")))
+    dropped(made)
+    classes = written(reps.drop("bands"))
     rows = reps.select("rep", F.explode("bands").alias("band"))
     centres = rows.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre != last").drop("last")
     stars = rows.join(centres, "band").where("rep != centre").select("rep", "centre").distinct()
     clusters = components(stars, "rep", "centre").withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
-    sized = written(clusters.join(reps.select("rep", F.col("n_shingles").alias("size")), "rep"))
+    dropped(reps)
+    sized = written(clusters.join(classes.select("rep", F.col("n_shingles").alias("size")), "rep"), release=True)
     totals = sized.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
     totals = totals.withColumn("large", (F.col("docs") > BLOCK_DOCS) | (F.col("shingles") > BLOCK_SHINGLES))
     totals = written(totals)
@@ -199,9 +203,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     placed = written(placed)
     found = source.withColumnRenamed("doc_id", "rep").join(placed, "rep").groupBy("task").applyInPandas(_verified(words, num, den), "rep long, other long")
     joined = components(written(found), "rep", "other") if any_large else found.groupBy(F.col("rep").alias("node")).agg(F.min("other").alias("component"))
-    joined = written(joined)
-    class_of = reps.select(*key, "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = made.drop("bands").join(class_of, key, "left")
+    joined = written(joined, release=True)
+    for table in (sized, totals, placed):
+        dropped(table)
+    class_of = classes.select(*key, "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    out = every.join(class_of, key, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
