@@ -174,7 +174,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     rows = reps.select("rep", F.explode("bands").alias("band"))
     centres = rows.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre != last").drop("last")
     stars = rows.join(centres, "band").where("rep != centre").select("rep", "centre").distinct()
-    clusters = components(stars, "rep", "centre").withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
+    # each set's smallest centre stands for it, so that the many centres of a large group shrink to a few links
+    stars = written(stars)
+    first = written(stars.groupBy("rep").agg(F.min("centre").alias("least")))
+    ends = stars.join(first, "rep").select(F.col("least").alias("a"), "centre").distinct()
+    ends = ends.join(first.select(F.col("rep").alias("centre"), F.col("least").alias("b")), "centre", "left").select("a", F.coalesce("b", "centre").alias("b")).distinct()
+    links = first.select(F.col("rep").alias("a"), F.col("least").alias("b")).unionByName(ends)
+    clusters = components(links, "a", "b").withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     dropped(reps)
     sized = written(clusters.join(classes.select("rep", F.col("n_shingles").alias("size")), "rep"), release=True)
     totals = sized.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
@@ -204,7 +210,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     found = source.withColumnRenamed("doc_id", "rep").join(placed, "rep").groupBy("task").applyInPandas(_verified(words, num, den), "rep long, other long")
     joined = components(written(found), "rep", "other") if any_large else found.groupBy(F.col("rep").alias("node")).agg(F.min("other").alias("component"))
     joined = written(joined, release=True)
-    for table in (sized, totals, placed):
+    for table in (stars, first, sized, totals, placed):
         dropped(table)
     class_of = classes.select(*key, "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = every.join(class_of, key, "left")
