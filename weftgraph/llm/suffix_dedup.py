@@ -14,8 +14,8 @@ anchors are sorted: about one in ten. The steps:
    inside it, so that of equal strings it passes on those of its first document
    only. Keys of many chunks (a passage in a third of all documents) pass on
    each open string by itself, keyed by the whole string: no key is hot then.
-4. Sampled splitters (Spark's range partitioner) deal the suffixes by leading
-   gram. A bucket sorts its suffixes by multikey quicksort with 8-byte
+4. Sampled splitters deal the suffixes by leading gram (about twenty sampled keys
+   for each splitter reach the driver). A bucket sorts its suffixes by multikey quicksort with 8-byte
    characters and finds, from the common prefixes of neighbours on the right and
    of the reversed left contexts, the smallest doc_id of each string. Splitters
    never part equal leading grams, so at a bucket's boundary the neighbours
@@ -49,9 +49,10 @@ from weftgraph.llm.store import dropped, input_bytes, written
 GRAM = 32
 CHUNK = 2 << 20
 #: A key in more chunks than this is passed on string by string.
-HOT_CHUNKS = 64
+HOT_CHUNKS = 1000
 KEYS_PER_BUCKET = 1_000_000
 SUFFIXES_PER_BUCKET = 150_000
+SAMPLE_EVERY = 7_500
 _NONE = np.iinfo(np.int64).max
 
 
@@ -250,14 +251,33 @@ def _pairs(start: np.ndarray, end: np.ndarray) -> bytes:
     return np.column_stack([start, end]).astype("<i8").tobytes()
 
 
-CONTEXTS = "key binary, context binary, need int, chunk long, place long, doc long"
+def _packed(context: np.ndarray, need: np.ndarray, place: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> bytes:
+    """Suffixes as one compressed block; columns stand together, so that sorted contexts shrink."""
+    data = context.tobytes() + need.astype("<u4").tobytes() + place.astype("<u4").tobytes() + doc.astype("<i8").tobytes() + hot.astype(np.uint8).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=n * (width + 17))
+    ends = np.cumsum([0, n * width, 4 * n, 4 * n, 8 * n, n])
+    parts = [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    kinds = (np.uint8, "<u4", "<u4", "<i8", np.uint8)
+    context, need, place, doc, hot = (np.frombuffer(x, k) for x, k in zip(parts, kinds, strict=True))
+    return context.reshape(n, width), need.astype(np.int64), place.astype(np.int64), doc.astype(np.int64), hot
+
+
+def _sort_keys(context: np.ndarray, hot: np.ndarray, left: int) -> np.ndarray:
+    """What splitters divide: the leading gram, or for hot keys the whole string, as fixed-width byte strings."""
+    key = np.concatenate([context[:, left:], context[:, :left]], 1)
+    key[hot == 0, GRAM:] = 0
+    return np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()
 
 
 def _contexts(length: int, buckets: int):
     left = length - GRAM
 
-    def run(chunks: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [] for k in ("key", "context", "need", "chunk", "place", "doc")}
+    def run(_, chunks: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for row in chunks.itertuples():
             c = _Chunk(row.ids, row.lengths, row.body)
             place, key = c.anchors(length)
@@ -285,73 +305,69 @@ def _contexts(length: int, buckets: int):
             r = np.arange(left + 1)
             need = (r <= from_start[:, None]) & (length - r <= to_end[:, None])
             padded = np.concatenate([np.zeros(left, np.uint8), c.body, np.zeros(length, np.uint8)])
-            ids = c.ids[doc]
-            starts, ends = [], []
+            ids, local = c.ids[doc], b""
             some = np.flatnonzero(twice)
             if len(some):
                 context = padded[place[some][:, None] + np.arange(left + length)]
                 low = smallest(context, need[some], ids[some], length)
                 covered = need[some] & (low < ids[some][:, None])
                 _, s, e = _ranges(place[some], covered, length)
-                starts.append(s)
-                ends.append(e)
+                local = _pairs(s, e)
                 need[some] &= ~covered
-            if starts and len(starts[0]):
-                out["key"].append(None)
-                out["context"].append(_pairs(starts[0], ends[0]))
-                out["need"].append(0)
-                out["chunk"].append(row.chunk)
-                out["place"].append(0)
-                out["doc"].append(0)
-            send = np.flatnonzero(outside & need.any(1) & ~is_hot)
-            context = padded[place[send][:, None] + np.arange(left + length)]
+            cold = np.flatnonzero(outside & need.any(1) & ~is_hot)
+            alone = np.flatnonzero(outside & is_hot)
+            which, k = np.nonzero(need[alone])
+            send = np.append(cold, alone[which])
+            needs = np.concatenate([need[cold], k[:, None] == r])
+            most, least = np.where(needs, r, -1).max(1)[:, None], np.where(needs, r, left + 1).min(1)[:, None]
+            column = np.arange(left + length)
+            context = padded[place[send][:, None] + column]
             # bytes that no open string covers are blanked
-            most, least = np.where(need[send], r, -1).max(1)[:, None], np.where(need[send], r, left + 1).min(1)[:, None]
-            at = np.arange(left + length)
-            context[(at < left - most) | (at >= left + length - least)] = 0
-            masks = (need[send] << r).sum(1)
-            out["key"] += [x.tobytes() for x in context[:, left : left + GRAM]]
-            out["context"] += [x.tobytes() for x in context]
-            out["need"] += masks.tolist()
-            out["place"] += place[send].tolist()
-            out["doc"] += ids[send].tolist()
-            out["chunk"] += [row.chunk] * len(send)
-            for k in range(left + 1):
-                send = np.flatnonzero(outside & need[:, k] & is_hot)
-                if not len(send):
+            context[(column < left - most) | (column >= left + length - least)] = 0
+            flags = is_hot[send]
+            sample = _sort_keys(context[::SAMPLE_EVERY], flags[::SAMPLE_EVERY], left).astype(object).tolist() if len(send) else []
+            out.append((row.chunk, len(send), sample, _packed(context, (needs << r).sum(1), place[send], ids[send], flags), local))
+        return pd.DataFrame(out, columns=["chunk", "n", "sample", "suffixes", "local"])
+
+    return run
+
+
+def _dealt(splitters: list[bytes], length: int):
+    """Chunk rows to a row for each bucket, its suffixes sorted by key."""
+    left = length - GRAM
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = np.array(splitters, f"S{left + length}")
+        for part in parts:
+            for chunk, n, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if not n:
                     continue
-                context = padded[place[send][:, None] + np.arange(left + length)]
-                context[:, : left - k] = 0
-                context[:, left + length - k :] = 0
-                out["key"] += [x[left:].tobytes() + x[:left][::-1].tobytes() for x in context]
-                out["context"] += [x.tobytes() for x in context]
-                out["need"] += [1 << k] * len(send)
-                out["place"] += place[send].tolist()
-                out["doc"] += ids[send].tolist()
-                out["chunk"] += [row.chunk] * len(send)
-        return pd.DataFrame(out)
+                columns = _unpacked(data, n, left + length)
+                key = _sort_keys(columns[0], columns[4], left)
+                order = np.argsort(key, kind="stable")
+                bucket = np.searchsorted(cuts, key[order], side="right")
+                at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(at[1:], n)
+                blocks = [_packed(*(x[order[a:b]] for x in columns)) for a, b in zip(at, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), chunk)), pa.array(ends - at), pa.array(blocks, pa.binary())], ["bucket", "chunk", "n", "suffixes"])
 
-    return lambda _, a, b: run(a, b)
+    return run
 
 
 def _settled(length: int):
     left = length - GRAM
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for p in parts if p.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        context = np.frombuffer(b"".join(table["context"].to_pylist()), np.uint8).reshape(-1, left + length)
-        need = (table["need"].to_numpy()[:, None] >> np.arange(left + 1) & 1).astype(bool)
-        doc, place, chunk = (table[c].to_numpy() for c in ("doc", "place", "chunk"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        blocks = [_unpacked(x, n, left + length) for x, n in zip(part["suffixes"], part["n"], strict=True)]
+        context, need, place, doc, _ = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        chunk = np.repeat(part["chunk"].to_numpy(), part["n"])
+        need = (need[:, None] >> np.arange(left + 1) & 1).astype(bool)
         covered = need & (smallest(context, need, doc, length) < doc[:, None])
         rows, start, end = _ranges(place, covered, length)
         by = np.argsort(chunk[rows], kind="stable")
         chunk, start, end = chunk[rows][by], start[by], end[by]
         cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, int)
-        ends = np.append(cut[1:], len(chunk))
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), pa.array([_pairs(start[a:b], end[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["chunk", "ranges"])
+        return pd.DataFrame({"chunk": chunk[cut], "ranges": [_pairs(start[a:b], end[a:b]) for a, b in zip(cut, np.append(cut, len(chunk))[1:], strict=True)]})
 
     return run
 
@@ -384,14 +400,16 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     chunks = written(source.mapInArrow(_chunked, schema))
     keys = chunks.select("chunk", "ids", "lengths", "body").mapInArrow(_keyed(length, buckets), "bucket long, chunk long, bits binary")
     met = keys.groupBy("bucket").applyInPandas(_met, "chunk long, bucket long, bits binary, hot binary")
-    contexts = chunks.drop("rest").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_contexts(length, buckets), CONTEXTS)
+    contexts = chunks.drop("rest").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_contexts(length, buckets), "chunk long, n long, sample array<binary>, suffixes binary, local binary")
     contexts = written(contexts, release=True)
     del keys, met
-    suffixes = contexts.where("key is not null")
-    n = max(1, math.ceil(suffixes.count() / SUFFIXES_PER_BUCKET))
-    settled = suffixes.repartitionByRange(n, "key").drop("key").mapInArrow(_settled(length), "chunk long, ranges binary")
-    ranges = settled.unionByName(contexts.where("key is null").select("chunk", F.col("context").alias("ranges")))
-    ranges = written(ranges, release=True)
+    n = math.ceil((contexts.agg(F.sum("n")).first()[0] or 0) / SUFFIXES_PER_BUCKET)
+    # about SUFFIXES_PER_BUCKET / SAMPLE_EVERY keys for each splitter
+    sample = np.sort(np.array([bytes(r[0]) for r in contexts.select(F.explode("sample")).collect()], f"S{2 * length - GRAM}"))
+    splitters = np.unique(sample[np.arange(1, n) * len(sample) // max(1, n)]).tolist() if len(sample) else []
+    dealt = contexts.select("chunk", "n", "suffixes").mapInArrow(_dealt(splitters, length), "bucket long, chunk long, n long, suffixes binary")
+    settled = dealt.groupBy("bucket").applyInPandas(_settled(length), "chunk long, ranges binary")
+    ranges = written(settled.unionByName(contexts.where("length(local) > 0").select("chunk", F.col("local").alias("ranges"))), release=True)
     dropped(contexts)
     out = chunks.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest string")
     if carry:
