@@ -18,7 +18,9 @@ repeats too; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import itertools
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -33,51 +35,94 @@ from weftgraph.llm.store import written
 CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 PIECES_PER_SHARE = 100_000
 
 
+class _Codes(dict):
+    """Words to numbers; a new word gets the next one and waits in ``fresh`` for its ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
+def _parts(word: str) -> tuple[str, str] | None:
+    """(lower-case letters, punctuation) of a plain word, None for any other.
+
+    The tokenizer would part such a word there as well; of Latin letters the
+    lower case and the composed form are certain.
+    """
+    letters = word.rstrip(string.punctuation)
+    if letters and not (letters.isalpha() and max(letters) <= "\u024f" and "\u0130" not in letters):
+        return None
+    return letters.lower(), word[len(letters) :]
+
+
 class WordIds:
-    """Ids of words, remembered."""
+    """Ids of words, remembered. Stems of plain words are encoded many at once, without the passes that leave them as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
         self.clear()
 
     def clear(self):
-        self.code: dict[bytes, int] = {}
+        self.code, self.stems, self.ends = _Codes(), {"": b""}, {"": b""}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, words: list[bytes]):
-        texts = [w.decode("utf-8", "replace") for w in words]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        have, more = len(self.code), int(n.sum())
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Gives fresh words their ids."""
+        words, self.code.fresh = [w.decode("utf-8", "replace") for w in self.code.fresh], []
+        parts = [_parts(w) for w in words]
+        stems = list({p[0] for p in parts if p}.difference(self.stems))
+        if stems:
+            ids = np.array(self.plain.encode(" ".join(stems), add_special_tokens=False).ids, np.uint32)
+            cut = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+            assert len(cut) == len(stems) + 1
+            self.stems.update((w, ids[a:b].tobytes()) for w, a, b in zip(stems, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        ends = list({p[1] for p in parts if p}.difference(self.ends))
+        self.ends.update(zip(ends, self.whole(ends), strict=True))
+        other = iter(self.whole([w for w, p in zip(words, parts, strict=True) if not p]))
+        ids = [self.stems[p[0]] + self.ends[p[1]] if p else next(other) for p in parts]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        have, more = len(self.code) - len(words), int(n.sum())
         while len(self.flat) < self.used + more:
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         while len(self.n) < have + len(words):
             self.start, self.n = np.append(self.start, np.zeros_like(self.start)), np.append(self.n, np.zeros_like(self.n))
-        self.flat[self.used : self.used + more] = np.fromiter((i for x in ids for i in x), np.uint32, more)
+        self.flat[self.used : self.used + more] = np.frombuffer(b"".join(ids), np.uint32)
         self.n[have : have + len(words)] = n
         self.start[have : have + len(words)] = self.used + np.cumsum(n) - n
         self.used += more
-        self.code.update(zip(words, range(have, have + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by END_ID, and the texts' lengths."""
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
         if len(self.code) > REMEMBERED:
             self.clear()
-        self.learn(list(set(words).difference(self.code)))
-        code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        split = [t.split() for t in texts]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        code = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(count.sum()))
+        self.learn()
         n = self.n[code]
         ends = np.append(0, np.cumsum(n))
-        bounds = ends[np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))]
+        bounds = ends[np.append(0, np.cumsum(count))]
         out = np.full(int(ends[-1]) + len(texts), END_ID, np.uint32)
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         out[np.arange(int(ends[-1])) + doc] = self.flat[np.repeat(self.start[code] - ends[:-1], n) + np.arange(int(ends[-1]))]
