@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def _own() -> str:
+    """A local folder for sessions without the setting, as in tests."""
+    return tempfile.mkdtemp(prefix="weftgraph-")
+
+
 def persisted(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
     path, schema = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
