@@ -74,7 +74,7 @@ def _sketched(words: int, num: int, den: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = zip(part.column(0).to_pylist(), map(lambda x: as_bytes(x, "ascii"), part.column(1).to_pylist()), strict=True)
-            for batch in batches(rows, lambda r: len(r[1]) + 1):
+            for batch in batches(rows, lambda r: len(r[1]) + 4 * t):  # a short text's sketch is larger than the text
                 w = Words([x for _, x in batch])
                 doc, element = w.shingles(words)
                 n = len(batch)

@@ -5,16 +5,19 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="weftgraph-")
+
+
 def folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder; only where the setting is missing (tests) a local one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
     return f"{base.rstrip('/')}/weftgraph-{uuid.uuid4().hex}"
 
 
