@@ -52,33 +52,36 @@ CHUNK = 2 << 20
 HOT_CHUNKS = 1000
 KEYS_PER_BUCKET = 1_000_000
 SUFFIXES_PER_BUCKET = 150_000
-SAMPLE_EVERY = 7_500
 _NONE = np.iinfo(np.int64).max
 
 
-def _chunked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunked(size: int):
     """(doc_id, text, rest) rows to chunk rows."""
-    pack, seq, task = zstandard.ZstdCompressor(level=1), 0, TaskContext.get().partitionId()
-    ids, rest, bodies, total = [], [], [], 0
 
-    def row():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in bodies]], pa.list_(pa.int64())), pa.array([rest], pa.list_(pa.string())), pa.array([pack.compress(b"".join(bodies))])],
-            ["chunk", "ids", "lengths", "rest", "body"],
-        )
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, seq, task = zstandard.ZstdCompressor(level=1), 0, TaskContext.get().partitionId()
+        ids, rest, bodies, total = [], [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in bodies]], pa.list_(pa.int64())), pa.array([rest], pa.list_(pa.string())), pa.array([pack.compress(b"".join(bodies))])],
+                ["chunk", "ids", "lengths", "rest", "body"],
+            )
 
-    for part in parts:
-        for i, text, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            data = as_bytes(text)
-            if ids and total + len(data) > CHUNK:
-                yield row()
-                ids, rest, bodies, total, seq = [], [], [], 0, seq + 1
-            ids.append(i)
-            rest.append(more)
-            bodies.append(data)
-            total += len(data)
-    if ids:
-        yield row()
+        for part in parts:
+            for i, text, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                data = as_bytes(text)
+                if ids and total + len(data) > size:
+                    yield row()
+                    ids, rest, bodies, total, seq = [], [], [], 0, seq + 1
+                ids.append(i)
+                rest.append(more)
+                bodies.append(data)
+                total += len(data)
+        if ids:
+            yield row()
+
+    return run
 
 
 class _Chunk:
@@ -140,7 +143,7 @@ def _keyed(length: int, buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 bucket, bits = bucket[order], bits[order]
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
-                ends = np.append(cut[1:], len(bucket))
+                ends = np.append(cut, len(bucket))[1:]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[cut]), pa.array(np.full(len(cut), chunk)), pa.array([_five(bits[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "chunk", "bits"]
                 )
@@ -148,30 +151,34 @@ def _keyed(length: int, buckets: int):
     return run
 
 
-def _met(part: pd.DataFrame) -> pd.DataFrame:
+def _met(hot_chunks: int):
     """For each chunk its keys that other chunks have too, and which of those are in many."""
-    bits = [_from_five(x) for x in part["bits"]]
-    of = np.repeat(np.arange(len(bits)), [len(x) for x in bits])
-    bits = np.concatenate(bits)
-    order = np.argsort(bits, kind="stable")
-    s = bits[order]
-    first = np.append(True, s[1:] != s[:-1])
-    run = np.cumsum(first) - 1
-    count = np.bincount(run)[run]
-    use = count > 1
-    of, s, count = of[order][use], s[use], count[use]
-    back = np.argsort(of, kind="stable")
-    of, s, count = of[back], s[back], count[back]
-    cut = np.searchsorted(of, np.arange(len(part) + 1))
-    keep = [k for k in range(len(part)) if cut[k] < cut[k + 1]]
-    return pd.DataFrame(
-        {
-            "chunk": part["chunk"].to_numpy()[keep],
-            "bucket": part["bucket"].to_numpy()[keep],
-            "bits": [_five(s[cut[k] : cut[k + 1]]) for k in keep],
-            "hot": [(count[cut[k] : cut[k + 1]] > HOT_CHUNKS).astype(np.uint8).tobytes() for k in keep],
-        }
-    )
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        bits = [_from_five(x) for x in part["bits"]]
+        of = np.repeat(np.arange(len(bits)), [len(x) for x in bits])
+        bits = np.concatenate(bits)
+        order = np.argsort(bits, kind="stable")
+        s = bits[order]
+        first = np.append(True, s[1:] != s[:-1])
+        run = np.cumsum(first) - 1
+        count = np.bincount(run)[run]
+        use = count > 1
+        of, s, count = of[order][use], s[use], count[use]
+        back = np.argsort(of, kind="stable")
+        of, s, count = of[back], s[back], count[back]
+        cut = np.searchsorted(of, np.arange(len(part) + 1))
+        keep = [k for k in range(len(part)) if cut[k] < cut[k + 1]]
+        return pd.DataFrame(
+            {
+                "chunk": part["chunk"].to_numpy()[keep],
+                "bucket": part["bucket"].to_numpy()[keep],
+                "bits": [_five(s[cut[k] : cut[k + 1]]) for k in keep],
+                "hot": [(count[cut[k] : cut[k + 1]] > hot_chunks).astype(np.uint8).tobytes() for k in keep],
+            }
+        )
+
+    return run
 
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +280,7 @@ def _sort_keys(context: np.ndarray, hot: np.ndarray, left: int) -> np.ndarray:
     return np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()
 
 
-def _contexts(length: int, buckets: int):
+def _contexts(length: int, buckets: int, every: int):
     left = length - GRAM
 
     def run(_, chunks: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
@@ -325,7 +332,7 @@ def _contexts(length: int, buckets: int):
             # bytes that no open string covers are blanked
             context[(column < left - most) | (column >= left + length - least)] = 0
             flags = is_hot[send]
-            sample = _sort_keys(context[::SAMPLE_EVERY], flags[::SAMPLE_EVERY], left).astype(object).tolist() if len(send) else []
+            sample = _sort_keys(context[::every], flags[::every], left).astype(object).tolist() if len(send) else []
             out.append((row.chunk, len(send), sample, _packed(context, (needs << r).sum(1), place[send], ids[send], flags), local))
         return pd.DataFrame(out, columns=["chunk", "n", "sample", "suffixes", "local"])
 
@@ -390,21 +397,21 @@ def _cut(_, chunks: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "rest"]).astype({"doc_id": "Int64"})
 
 
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, carry: tuple[str, ...] = (), chunk: int = CHUNK, hot_chunks: int = HOT_CHUNKS, bucket: int = SUFFIXES_PER_BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and the columns named in carry), one row per row of ``docs``."""
     rest = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
     schema = "chunk long, ids array<long>, lengths array<long>, rest array<string>, body binary"
     # text is about three times its file here; a wrong guess only changes the size of a bucket
     buckets = min(1 << 24, max(8, math.ceil(3 * min(input_bytes(docs), 1 << 50) / 10 / KEYS_PER_BUCKET)))
-    chunks = written(source.mapInArrow(_chunked, schema))
+    chunks = written(source.mapInArrow(_chunked(chunk), schema))
     keys = chunks.select("chunk", "ids", "lengths", "body").mapInArrow(_keyed(length, buckets), "bucket long, chunk long, bits binary")
-    met = keys.groupBy("bucket").applyInPandas(_met, "chunk long, bucket long, bits binary, hot binary")
-    contexts = chunks.drop("rest").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_contexts(length, buckets), "chunk long, n long, sample array<binary>, suffixes binary, local binary")
+    met = keys.groupBy("bucket").applyInPandas(_met(hot_chunks), "chunk long, bucket long, bits binary, hot binary")
+    contexts = chunks.drop("rest").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_contexts(length, buckets, max(1, bucket // 20)), "chunk long, n long, sample array<binary>, suffixes binary, local binary")
     contexts = written(contexts, release=True)
     del keys, met
-    n = math.ceil((contexts.agg(F.sum("n")).first()[0] or 0) / SUFFIXES_PER_BUCKET)
-    # about SUFFIXES_PER_BUCKET / SAMPLE_EVERY keys for each splitter
+    n = math.ceil((contexts.agg(F.sum("n")).first()[0] or 0) / bucket)
+    # about twenty keys for each splitter
     sample = np.sort(np.array([bytes(r[0]) for r in contexts.select(F.explode("sample")).collect()], f"S{2 * length - GRAM}"))
     splitters = np.unique(sample[np.arange(1, n) * len(sample) // max(1, n)]).tolist() if len(sample) else []
     dealt = contexts.select("chunk", "n", "suffixes").mapInArrow(_dealt(splitters, length), "bucket long, chunk long, n long, suffixes binary")
