@@ -2,7 +2,8 @@
 
 Statements: ("do", text), ("exit", text or None), ("scope", text, body),
 ("if", condition, then, else or None), ("loop", condition, body),
-("try", body, [(exception or None, body)], else, finally).
+("try", body, [(exception or None, body)], else, finally, word, question): the
+word stands before an exception's name, the question where none or several are named.
 """
 
 from __future__ import annotations
@@ -72,21 +73,21 @@ class Drawing:
         self.join(self.block(body, [(at, "yes")]), at)
         return [(at, "no")]
 
-    def draw_try(self, ends: Ends, body: list, handlers: list, other: list, last: list) -> Ends:
+    def draw_try(self, ends: Ends, body: list, handlers: list, other: list, last: list, word: str = "except", question: str = "exception raised?") -> Ends:
         """A decision parts the exceptional ways from the normal one; all meet in "finally"."""
         caught: Ends = []
         left: Ends = []
         if handlers:
             lone = len(handlers) == 1
             kind = handlers[0][0] if lone else None
-            at = self.placed("decision", cut(f"except {kind}?" if kind else "exception raised?"), ends)
+            at = self.placed("decision", cut(f"{word} {kind}?" if kind else question), ends)
             ends, left = [(at, "no")], [(at, "yes")]
             for kind, body_of in handlers:
                 if lone or kind is None:
                     caught += self.block(body_of, left)
                     left = []
                     break
-                check = self.placed("decision", cut(f"except {kind}?"), left)
+                check = self.placed("decision", cut(f"{word} {kind}?"), left)
                 caught += self.block(body_of, [(check, "yes")])
                 left = [(check, "no")]
         ends = self.block(body, ends)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schemas as S
-from weftgraph.extract import python_source
+from weftgraph.extract import java_source, javascript_source, python_source
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class Reader:
     control_flow: Callable[[str, str, str], dict]
 
 
-READERS: dict[str, Reader] = {"python": Reader(python_source.parse, python_source.methods, python_source.control_flow)}
+READERS: dict[str, Reader] = {name: Reader(m.parse, m.methods, m.control_flow) for name, m in (("python", python_source), ("java", java_source), ("javascript", javascript_source))}
 
 
 def register(language: str, reader: Reader) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.extract.model import ASKING, REAL_NAMES, TEXT_NAMES, WHOLE_NAMES
-from weftgraph.functions.text import capitals, identifier_words, is_many, singular
+from weftgraph.functions.text import attribute_line, capitals, identifier_words, is_many, is_method_line, method_line, singular
 
 SUBTYPE = ("inheritance", "realization")
 OWNING = ("aggregation", "composition")
@@ -157,3 +157,15 @@ def degrees(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFram
     counts = ends.groupBy(key, F.col("e.id").alias("id")).agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
     out = nodes.join(counts, [key, "id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("in_degree", "out_degree")})
     return out.withColumn("type", F.when(F.col("type") == "bar", F.when(F.col("in_degree") > F.col("out_degree"), "join").otherwise("fork")).otherwise(F.col("type")))
+
+
+def members_of_lines(lines: DataFrame, key: list[str] = ("doc_id", "id")) -> DataFrame:
+    """Recognised lines (compartment, ord, line) of class boxes to attributes and methods.
+
+    A line with a call's parenthesis is a method, whatever its compartment; any
+    other line of the method compartment is dropped. Names are reconciled later.
+    """
+    rows = lines.withColumns({"is_method": is_method_line("line"), "attribute": attribute_line("line"), "method": method_line("line")})
+    rows = rows.where((F.col("is_method") & F.col("method").isNotNull()) | (~F.col("is_method") & (F.col("compartment") != "methods") & F.col("attribute").isNotNull()))
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("m"))))), lambda x: x["m"])
+    return rows.groupBy(*key).agg(ordered("attribute").alias("attributes"), ordered("method").alias("methods"))
