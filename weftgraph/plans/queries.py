@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schemas as S
+from weftgraph.extract import tables
 from weftgraph.functions import phrasing, text
-from weftgraph.operators import catalog, edits, graph, relate, spatial, validate
-from weftgraph.render import mermaid
+from weftgraph.operators import catalog, edits, flow, graph, relate, routing, spatial, validate
+from weftgraph.render import codegen, mermaid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -261,3 +262,121 @@ _PHRASES = [("int z = y * 2", "Calculate z"), ("this.items.push(item)", "Add ite
 def phrase_goldens(spark, sf_dir):
     """F11 on literal statements: golden rows, not a computation of the SQL's own."""
     return spark.createDataFrame([(s,) for s, _ in _PHRASES], "statement string").select("statement", phrasing.phrase("statement").alias("phrase"))
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    """Golden rows as SQL: they state what is expected, they don't compute it."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
+_SOURCES = [
+    (1, "python", "class Engine: pass\nclass Wheel: pass\nclass Person: pass\nclass Car:\n    def __init__(self, owner: Person, wheels: list[Wheel]):\n        self.owner = owner\n        self.wheels = wheels\n        self.engine = Engine()\n    def run(self, n):\n        while n > 0:\n            n -= 1\n        return n\n"),
+    (2, "java", "class Engine {} class Wheel {} class Person {} class Car { private Engine engine; private Person owner; private List<Wheel> wheels; Car() { this.engine = new Engine(); } int run(int n) { while (n > 0) { n -= 1; } return n; } }"),
+    (3, "javascript", "class Engine {} class Wheel {} class Person {} class Car { constructor(owner, wheels) { this.owner = owner; this.engine = new Engine(); this.people = [new Person()]; } run(n) { while (n > 0) { n -= 1; } return n; } }"),
+    (4, "python", "class ("),
+]
+_LINKS = [(1, "Car", "Engine", "composition", "1"), (1, "Car", "Person", "association", "1"), (1, "Car", "Wheel", "aggregation", "*"), (2, "Car", "Engine", "composition", "1"), (2, "Car", "Person", "association", "1"), (2, "Car", "Wheel", "aggregation", "*"), (3, "Car", "Engine", "composition", "1"), (3, "Car", "Person", "composition", "*"), (3, "Car", "Wheel", "dependency", "1")]
+_SAID = [(d, "Car", "run", k, t, s) for d in (1, 2, 3) for k, (t, s) in enumerate([("start", ""), ("end", ""), ("decision", "n > 0"), ("action", "Decrease n"), ("action", "Return n")])]
+
+
+def _sources(spark):
+    return spark.createDataFrame(_SOURCES, "doc_id long, language string, source string")
+
+
+@query(_values(_LINKS, "doc_id, source_name, destination_name, type, multiplicity"))
+def extract_goldens(spark, sf_dir):
+    """Relationships of small sources in three languages; golden rows."""
+    docs = tables.class_documents(_sources(spark)).where("error is null")
+    return relate.named(S.relationships(docs), S.classes(docs)).select("doc_id", "source_name", "destination_name", "type", "multiplicity")
+
+
+@query(_values(_SAID, "doc_id, class_name, method_name, ord, type, label"))
+def control_flow_goldens(spark, sf_dir):
+    """Nodes of each method's flow; golden rows."""
+    flows = tables.method_flows(_sources(spark)).where("error is null")
+    return flows.select("doc_id", "class_name", "method_name", F.posexplode("doc.nodes").alias("ord", "n")).select("doc_id", "class_name", "method_name", "ord", "n.type", "n.label")
+
+
+@query(_values([(d, p, part, kind, label) for d in (1, 2, 3) for p, part, kind, label in [("0", "", "while", "n > 0"), ("0.2.0", "body", "action", "Decrease n"), ("1", "", "action", "Return n")]], "doc_id, place, part, kind, label"))
+def structure_goldens(spark, sf_dir):
+    """The statements that the extracted flows stand for; golden rows."""
+    flows = tables.method_flows(_sources(spark)).where("error is null and method_name = 'run'")
+    return flow.structured(flows).select("doc_id", F.array_join("path", ".").alias("place"), "part", "kind", "label")
+
+
+@query(_values([("Car.py", "class Car:"), ("Engine.py", "class Engine:"), ("Person.py", "class Person:"), ("Wheel.py", "class Wheel:")], "filename, head"))
+def codegen_goldens(spark, sf_dir):
+    """A file per class; golden rows."""
+    files = codegen.generated(tables.class_documents(_sources(spark)).where("doc_id = 1"), "python")
+    return files.select("filename", F.regexp_extract("content", r"(?m)^(class .*)$", 1).alias("head"))
+
+
+@query(r"SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN l_linenumber::VARCHAR || '..*' WHEN l_returnflag = 'R' THEN l_linenumber::VARCHAR || '..' || l_linenumber::VARCHAR WHEN l_linestatus = 'O' THEN '*' END AS multiplicity FROM lineitem")
+def multiplicity_repair(spark, sf_dir):
+    """F7 on texts made of flags: lost, doubled and odd dots, and texts that are none."""
+    raw = F.when(F.col("l_returnflag") == "A", F.concat("l_linenumber", F.lit(" ,.n"))).when(F.col("l_returnflag") == "R", F.concat("l_linenumber", F.lit("..."), "l_linenumber")).when(F.col("l_linestatus") == "O", "'n'").otherwise("x..1")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.multiplicity(raw).alias("multiplicity"))
+
+
+@query("SELECT n_regionkey AS doc_id, n_nationkey AS ord, ((row_number() OVER w - 1) % 4 * 260)::DOUBLE AS x, ((row_number() OVER w - 1) // 4 * 200)::DOUBLE AS y FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
+def grid_layout(spark, sf_dir):
+    """Classes in four columns."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("ord"))
+    return spatial.grid_layout(rows).select("doc_id", "ord", "position.x", "position.y")
+
+
+@query(f"SELECT doc_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM ({_BOXES}) GROUP BY doc_id")
+def bounding_boxes(spark, sf_dir):
+    """A10."""
+    return spatial.bounding_box(_drawing(spark, sf_dir)[1])
+
+
+@query("SELECT c_custkey AS id, list_filter([CASE WHEN NOT regexp_full_match(c_name || '@x.' || c_mktsegment, '[^@]+@[^@]*\\.[^@]*') THEN 'email' END, CASE WHEN NOT regexp_full_match(c_name, '[A-Za-z0-9_.-]{3,30}') THEN 'username' END, CASE WHEN length(c_mktsegment) < 9 - 1 THEN 'password' END], lambda x: x IS NOT NULL)::VARCHAR AS problems FROM customer".replace("\\\\", "\\"))
+def account_problems(spark, sf_dir):
+    """Problems of account fields (a customer's name and segment stand in)."""
+    rows = table(spark, sf_dir, "customer")
+    found = catalog.valid_account(F.concat("c_name", F.lit("@x."), "c_mktsegment"), F.col("c_name"), F.col("c_mktsegment"))
+    return rows.select(F.col("c_custkey").alias("id"), F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("problems"))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey AS ord, 'domain_status' AS rule, 'unknown value ''' || o_orderstatus || '''' AS message FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def domain_violations(spark, sf_dir):
+    """Values outside an enumeration."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("status"))
+    return validate.outside_domain(rows, "status", ("F", "O"))
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE (length(source) + length(target) + user_id) % 3 = 0), n AS (SELECT DISTINCT user_id, event_type AS id FROM events), s AS (SELECT user_id, min(id) AS id FROM n GROUP BY user_id),"
+    " r AS (SELECT user_id, id FROM s UNION SELECT r.user_id, e.target FROM r JOIN e ON e.user_id = r.user_id AND e.source = r.id) SELECT n.user_id AS doc_id, n.id FROM n ANTI JOIN r ON r.user_id = n.user_id AND r.id = n.id"
+)
+def flow_unreachable(spark, sf_dir):
+    """Nodes that the start (a user's first event type by name) doesn't lead to."""
+    nodes, edges = _flow(spark, sf_dir)
+    edges = edges.where((F.length("source") + F.length("target") + F.col("doc_id")) % 3 == 0)
+    starts = nodes.groupBy("doc_id").agg(F.min("id").alias("_first"))
+    nodes = nodes.join(starts, "doc_id").withColumn("type", F.when(F.col("id") == F.col("_first"), "start").otherwise("action")).drop("_first")
+    return graph.unreachable(nodes, edges).select("doc_id", "id")
+
+
+@query(
+    "WITH RECURSIVE l AS (SELECT s_nationkey AS doc_id, s_suppkey AS a, s_suppkey + 25 * (1 + s_suppkey % 2) AS b FROM supplier), both AS (SELECT doc_id, a, b FROM l UNION SELECT doc_id, b, a FROM l), r AS (SELECT doc_id, a AS id, a AS other FROM both UNION SELECT r.doc_id, r.id, x.b FROM r JOIN both x ON x.doc_id = r.doc_id AND x.a = r.other)"
+    " SELECT doc_id, id, min(other) AS component FROM r GROUP BY ALL".replace("both", "ends")
+)
+def stroke_components(spark, sf_dir):
+    """Strokes that touch, directly or over others."""
+    s = table(spark, sf_dir, "supplier")
+    return routing.components(s.select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 25 * (1 + F.col("s_suppkey") % 2)).alias("b")))
+
+
+@query(
+    "WITH c AS (SELECT n_regionkey AS doc_id, n_nationkey AS ord, CASE WHEN n_nationkey % 4 = 0 THEN 'interface' ELSE 'class' END AS kind, n_name AS name FROM nation), e AS (SELECT s.doc_id, s.ord AS id, s.kind AS k, d.ord, d.kind AS dk, d.name FROM c s JOIN c d ON s.doc_id = d.doc_id AND d.ord < s.ord)"
+    " SELECT c.doc_id, c.ord AS id, (SELECT arg_min(name, e.ord) FROM e WHERE e.id = c.ord AND e.k <> 'interface' AND e.dk <> 'interface') AS parent, coalesce((SELECT string_agg(name, ', ' ORDER BY e.ord) FROM e WHERE e.id = c.ord AND (e.k = 'interface' OR e.dk = 'interface')), '') AS interfaces FROM c"
+)
+def class_parents(spark, sf_dir):
+    """The parent class and the interfaces of each class (a nation inherits from all before it in its region)."""
+    c = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 == 0, "interface").otherwise("class").alias("kind"), F.col("n_name").alias("name"))
+    d = c.select("doc_id", F.col("id").alias("destination"))
+    e = c.select("doc_id", F.col("id").alias("source")).join(d, "doc_id").where("destination < source").select("doc_id", "source", "destination", F.lit("inheritance").alias("type"), F.col("destination").alias("ord"))
+    return relate.parents(c, e).select("doc_id", "id", "parent", F.array_join("interfaces", ", ").alias("interfaces"))
