@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.arrays import U, Words, as_bytes, batches, mix
 from weftgraph.llm.components import components
-from weftgraph.llm.store import dropped, written
+from weftgraph.llm.store import dropped, released, written
 
 ROWS = 8
 #: Chance that two sets exactly at the threshold share no band.
@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = first.select(F.col("rep").alias("a"), F.col("least").alias("b")).unionByName(ends)
     clusters = components(links, "a", "b").withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     dropped(reps)
-    sized = written(clusters.join(classes.select("rep", F.col("n_shingles").alias("size")), "rep"), release=True)
+    sized = written(clusters.join(classes.select("rep", F.col("n_shingles").alias("size")), "rep"))
+    released(spark)
     totals = sized.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
     totals = totals.withColumn("large", (F.col("docs") > BLOCK_DOCS) | (F.col("shingles") > BLOCK_SHINGLES))
     totals = written(totals)
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     placed = written(placed)
     found = source.withColumnRenamed("doc_id", "rep").join(placed, "rep").groupBy("task").applyInPandas(_verified(words, num, den), "rep long, other long")
     joined = components(written(found), "rep", "other") if any_large else found.groupBy(F.col("rep").alias("node")).agg(F.min("other").alias("component"))
-    joined = written(joined, release=True)
+    joined = written(joined)
     for table in (stars, first, sized, totals, placed):
         dropped(table)
     class_of = classes.select(*key, "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))

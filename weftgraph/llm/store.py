@@ -21,23 +21,22 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftgraph-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, release: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and sizes are known to the planner.
-
-    release: ask the JVM to forget finished shuffles, whose files would else stay on the executors' disks.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and sizes are known to the planner."""
     spark, path = df.sparkSession, folder(df.sparkSession)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._weft_path = path
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; they would else stay on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that no later plan reads."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -7,7 +7,9 @@ A string of ``length`` bytes always holds the same minimal gram of ``GRAM``
 bytes (the leftmost with the smallest hash), so only suffixes that begin at such
 anchors are sorted: about one in ten. The steps:
 
-1. Texts are dealt into chunk rows of about ``CHUNK`` bytes, written once.
+1. Exact copies of a text with a smaller doc_id are known by digest; they are
+   removed whole and compared with nothing. Texts are dealt into chunk rows of
+   about ``CHUNK`` bytes, written once.
 2. Each chunk sends its distinct anchor keys to hash buckets; a key that other
    chunks have too comes back. Anchors seen nowhere else end here.
 3. A chunk sorts the contexts of its remaining anchors and settles what repeats
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.arrays import _INVERSE, U, as_bytes, mix, powers, prefix_sums
-from weftgraph.llm.store import dropped, input_bytes, written
+from weftgraph.llm.store import dropped, input_bytes, released, written
 
 GRAM = 32
 CHUNK = 2 << 20
@@ -56,26 +58,27 @@ _NONE = np.iinfo(np.int64).max
 
 
 def _chunked(size: int):
-    """(doc_id, text, rest) rows to chunk rows."""
+    """(doc_id, text, rest, copy) rows to chunk rows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seq, task = zstandard.ZstdCompressor(level=1), 0, TaskContext.get().partitionId()
-        ids, rest, bodies, total = [], [], [], 0
+        ids, rest, copies, bodies, total = [], [], [], [], 0
 
         def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in bodies]], pa.list_(pa.int64())), pa.array([rest], pa.list_(pa.string())), pa.array([pack.compress(b"".join(bodies))])],
-                ["chunk", "ids", "lengths", "rest", "body"],
+                [pa.array([(task << 32) | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in bodies]], pa.list_(pa.int64())), pa.array([rest], pa.list_(pa.string())), pa.array([copies], pa.list_(pa.bool_())), pa.array([pack.compress(b"".join(bodies))])],
+                ["chunk", "ids", "lengths", "rest", "copies", "body"],
             )
 
         for part in parts:
-            for i, text, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for i, text, more, copy in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 data = as_bytes(text)
                 if ids and total + len(data) > size:
                     yield row()
-                    ids, rest, bodies, total, seq = [], [], [], 0, seq + 1
+                    ids, rest, copies, bodies, total, seq = [], [], [], [], 0, seq + 1
                 ids.append(i)
                 rest.append(more)
+                copies.append(copy)
                 bodies.append(data)
                 total += len(data)
         if ids:
@@ -85,16 +88,17 @@ def _chunked(size: int):
 
 
 class _Chunk:
-    def __init__(self, ids, lengths, body):
+    def __init__(self, ids, lengths, copies, body):
         self.ids = np.array([_NONE if i is None or i != i else i for i in ids], np.int64)
         self.lengths = np.asarray(lengths, np.int64)
+        self.copies = np.asarray(copies, bool)
         self.begin = np.cumsum(self.lengths) - self.lengths
         size = int(self.lengths.sum())
         self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, size)) if size else b"", np.uint8)
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, key) of the leftmost smallest gram of every window of ``length`` bytes within a document."""
-        use = np.flatnonzero((self.lengths >= length) & (self.ids != _NONE))
+        use = np.flatnonzero((self.lengths >= length) & (self.ids != _NONE) & ~self.copies)
         if not len(use):
             return np.zeros(0, np.int64), np.zeros(0, U)
         n, width = len(self.body), length - GRAM + 1
@@ -138,8 +142,8 @@ def _from_five(data: bytes) -> np.ndarray:
 def _keyed(length: int, buckets: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for chunk, ids, lengths, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                bucket, bits = _bucketed(np.unique(_Chunk(ids, lengths, body).anchors(length)[1]), buckets)
+            for chunk, ids, lengths, copies, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                bucket, bits = _bucketed(np.unique(_Chunk(ids, lengths, copies, body).anchors(length)[1]), buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket, bits = bucket[order], bits[order]
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
@@ -286,7 +290,7 @@ def _contexts(length: int, buckets: int, every: int):
     def run(_, chunks: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in chunks.itertuples():
-            c = _Chunk(row.ids, row.lengths, row.body)
+            c = _Chunk(row.ids, row.lengths, row.copies, row.body)
             place, key = c.anchors(length)
             doc = c.doc_of(place)
             bucket, bits = _bucketed(key, buckets)
@@ -383,11 +387,11 @@ def _cut(_, chunks: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
     out = []
     pairs = np.frombuffer(b"".join(ranges["ranges"]), "<i8").reshape(-1, 2)
     for row in chunks.itertuples():
-        c = _Chunk(row.ids, row.lengths, row.body)
+        c = _Chunk(row.ids, row.lengths, row.copies, row.body)
         depth = np.zeros(len(c.body) + 1, np.int32)
         np.add.at(depth, pairs[:, 0], 1)
         np.add.at(depth, pairs[:, 1], -1)
-        gone = np.cumsum(depth[:-1]) > 0
+        gone = (np.cumsum(depth[:-1]) > 0) | np.repeat(c.copies, c.lengths)
         for i, b, n, rest in zip(row.ids, c.begin, c.lengths, row.rest, strict=True):
             g = gone[b : b + n]
             kept = c.body[b : b + n][~g].tobytes()
@@ -399,25 +403,34 @@ def _cut(_, chunks: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
 
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, carry: tuple[str, ...] = (), chunk: int = CHUNK, hot_chunks: int = HOT_CHUNKS, bucket: int = SUFFIXES_PER_BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and the columns named in carry), one row per row of ``docs``."""
+    spark = docs.sparkSession
     rest = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
-    schema = "chunk long, ids array<long>, lengths array<long>, rest array<string>, body binary"
+    source = source.withColumn("digest", F.md5("text"))
+    long = source.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "digest")
+    firsts = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    copies = written(long.join(firsts, "digest").where("doc_id > first").select("doc_id", "digest").distinct())
+    source = source.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "digest"], "left").select("doc_id", "text", "rest", F.coalesce("copy", F.lit(False)).alias("copy"))
+    schema = "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary"
     # text is about three times its file here; a wrong guess only changes the size of a bucket
     buckets = min(1 << 24, max(8, math.ceil(3 * min(input_bytes(docs), 1 << 50) / 10 / KEYS_PER_BUCKET)))
     chunks = written(source.mapInArrow(_chunked(chunk), schema))
-    keys = chunks.select("chunk", "ids", "lengths", "body").mapInArrow(_keyed(length, buckets), "bucket long, chunk long, bits binary")
+    keys = chunks.select("chunk", "ids", "lengths", "copies", "body").mapInArrow(_keyed(length, buckets), "bucket long, chunk long, bits binary")
     met = keys.groupBy("bucket").applyInPandas(_met(hot_chunks), "chunk long, bucket long, bits binary, hot binary")
     contexts = chunks.drop("rest").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(_contexts(length, buckets, max(1, bucket // 20)), "chunk long, n long, sample array<binary>, suffixes binary, local binary")
-    contexts = written(contexts, release=True)
+    contexts = written(contexts)
     del keys, met
+    released(spark)
     n = math.ceil((contexts.agg(F.sum("n")).first()[0] or 0) / bucket)
     # about twenty keys for each splitter
     sample = np.sort(np.array([bytes(r[0]) for r in contexts.select(F.explode("sample")).collect()], f"S{2 * length - GRAM}"))
     splitters = np.unique(sample[np.arange(1, n) * len(sample) // max(1, n)]).tolist() if len(sample) else []
     dealt = contexts.select("chunk", "n", "suffixes").mapInArrow(_dealt(splitters, length), "bucket long, chunk long, n long, suffixes binary")
     settled = dealt.groupBy("bucket").applyInPandas(_settled(length), "chunk long, ranges binary")
-    ranges = written(settled.unionByName(contexts.where("length(local) > 0").select("chunk", F.col("local").alias("ranges"))), release=True)
+    ranges = written(settled.unionByName(contexts.where("length(local) > 0").select("chunk", F.col("local").alias("ranges"))))
+    del dealt, settled
     dropped(contexts)
+    released(spark)
     out = chunks.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest string")
     if carry:
         out = out.withColumn("rest", F.from_json("rest", docs.select(*carry).schema)).select(*[c for c in out.columns if c != "rest"], *[F.col(f"rest.{c}").alias(c) for c in carry])
