@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 
 def near_duplicate_stage(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each component left; of rows that repeat a doc_id one stays."""
+    """``docs`` with one document of each component left; rows that repeat a doc_id are one document and share its verdict."""
     verdict = near_duplicates(docs, **params)
     gone = verdict.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
