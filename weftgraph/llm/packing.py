@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
-PIECES_PER_SHARE = 100_000
+LEAST_SHARES, PIECES_PER_SHARE = 16, 20_000
 
 
 class _Codes(dict):
@@ -215,7 +215,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in pieces.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(pack_lengths(counts, capacity)))
-    shares = int(max(1, counts.sum() // PIECES_PER_SHARE))
+    shares = int(LEAST_SHARES + counts.sum() // PIECES_PER_SHARE)
     salted = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int"))
     before = salted.groupBy("length", "share").count()
     before = before.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("share")) - F.col("count")).drop("count")
