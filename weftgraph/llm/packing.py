@@ -77,10 +77,15 @@ class WordIds:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.last[k] = token.endswith("</w>")
+        self.stems, self.ends = {"": b""}, {"": b""}
         self.clear()
 
     def clear(self):
-        self.code, self.stems, self.ends = _Codes(), {"": b""}, {"": b""}
+        self.code = _Codes()
+        if len(self.stems) > REMEMBERED:  # stems stay longer: their ids cost most
+            self.stems = {"": b""}
+        if len(self.ends) > REMEMBERED:
+            self.ends = {"": b""}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
