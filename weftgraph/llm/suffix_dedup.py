@@ -410,7 +410,8 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     long = source.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "digest")
     firsts = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = written(long.join(firsts, "digest").where("doc_id > first").select("doc_id", "digest").distinct())
-    source = source.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "digest"], "left").select("doc_id", "text", "rest", F.coalesce("copy", F.lit(False)).alias("copy"))
+    # the list of copies grows with the input, so it is never broadcast: the plan is the same at every size
+    source = source.join(copies.withColumn("copy", F.lit(True)).hint("merge"), ["doc_id", "digest"], "left").select("doc_id", "text", "rest", F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary"
     # text is about three times its file here; a wrong guess only changes the size of a bucket
     buckets = min(1 << 24, max(8, math.ceil(3 * min(input_bytes(docs), 1 << 50) / 10 / KEYS_PER_BUCKET)))
