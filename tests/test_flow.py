@@ -1,5 +1,7 @@
 """Structuring of activity graphs, their layout, and graph operators over many documents."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,16 @@ def test_many_documents(spark):
     assert {(r.doc_id, r.rule) for r in validate.activity_violations(broken).collect()} == {(0, "unknown_target_node"), (0, "one_start"), (0, "some_end"), (1, "one_start"), (1, "some_end")}
 
 
+def test_depths_go_on_until_nothing_is_new(spark):
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(12)], "doc_id long, source long, target long")
+    start = spark.createDataFrame([(1, 0, 0)], "doc_id long, origin long, id long")
+    assert inspect.signature(graph.depths).parameters["most"].default is None
+    assert sorted((r.id, r.depth) for r in graph.depths(edges, start).collect()) == [(k, k) for k in range(13)]
+    assert graph.depths(edges, start, most=12).count() == 13
+    with pytest.raises(RuntimeError, match="more than 11 steps"):
+        graph.depths(edges, start, most=11)
+
+
 def test_shortest_paths(spark):
     edges = spark.createDataFrame([(1, "a", "b", 1.0), (1, "b", "c", 1.0), (1, "a", "c", 5.0), (1, "c", "a", 0.0)], "doc_id long, source string, target string, length double")
     got = graph.shortest_paths(edges, spark.createDataFrame([(1, "a")], "doc_id long, id string")).collect()

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from weftgraph.sources.scratch import persisted
 
 
-def depths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), most: int = 1000, boundary: DataFrame | None = None) -> DataFrame:
+def depths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), most: int | None = None, boundary: DataFrame | None = None) -> DataFrame:
     """(key, origin, id, depth) of every node that a source (key, origin, id) reaches, by fewest edges.
 
-    boundary: nodes (key, id) that are reached but not left.
+    boundary: nodes (key, id) that are reached but not left. most: rounds after which it raises if nodes are still found; without it rounds go on until none is.
     """
     key = list(key)
     steps = edges.select(*key, F.col("source").alias("id"), "target").distinct()
@@ -24,17 +24,18 @@ def depths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), m
         steps = steps.join(boundary.select(*key, "id").distinct(), [*key, "id"], "left_anti")
     seen = persisted(sources.select(*key, "origin", "id", F.lit(0).cast("long").alias("depth")).distinct())
     newest, depth = seen, 0
-    while depth < most:
+    while True:
         depth += 1
         ahead = newest.join(steps, [*key, "id"]).select(*key, "origin", F.col("target").alias("id")).distinct()
         ahead = persisted(ahead.join(seen.select(*key, "origin", "id"), [*key, "origin", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if ahead.isEmpty():
-            break
+            return seen
+        if most is not None and depth > most:
+            raise RuntimeError(f"nodes are more than {most} steps away")
         seen = seen.unionByName(ahead)
         if depth % 8 == 0:
             seen = persisted(seen)
         newest = ahead
-    return seen
 
 
 def reaches(edges: DataFrame, pairs: DataFrame, boundary: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
