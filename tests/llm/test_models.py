@@ -48,6 +48,29 @@ def test_training_rows_are_bounded_and_never_held_out(spark):
     assert len(got) == 30 and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
 
 
+def test_training_rows_pass_over_what_does_not_fit(spark):
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    known = [(k, 1) for k in ids] + [(k, 1) for k in range(1000, 1400)]  # the latter have no document
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+    for long in ids[:6]:
+        docs = spark.createDataFrame([(k, "x" * (10 * len(ids) if k == long else 10)) for k in ids], "doc_id long, text string")
+        assert {r.doc_id for r in training_rows(docs, labels, "quality", 60, 10 * len(ids) - 1).collect()} == {*ids} - {long}
+        if long == ids[0]:
+            assert training_rows(docs, labels, "quality", 20, 10 * len(ids) - 1).count() == 20
+
+
+def test_training_rows_of_a_repeated_id(spark):
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    hot = ids[0]
+    labels = spark.createDataFrame([(k, 0) for k in ids], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(hot, f"text {k % 500}") for k in range(2000)] + [(k, "other") for k in ids[1:]] * 2, "doc_id long, text string")
+    got = training_rows(docs, labels, "toxic", len(ids) + 10, 10_000).collect()
+    assert {r.doc_id for r in got} == {*ids} and len(got) == len({*got}) == len(ids) + 10
+    assert {r.doc_id for r in training_rows(docs, labels, "toxic", 10, 10_000).collect()} <= {*ids}
+    few = training_rows(docs, labels, "toxic", 10, 10_000).collect()
+    assert len(few) == len({r.doc_id for r in few}) == 10
+
+
 def test_lm_scores(spark):
     rows = [(1, "the cat sat on the mat"), (2, "the cat sat on the mat"), (3, None), (4, ""), (5, "zebra"), (6, "on mat the the sat cat")] + [(k, "the dog sat on the log") for k in range(10, 40)]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, log_prob double")
