@@ -174,6 +174,40 @@ def test_licenses(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GNU = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+import os
+"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+"""
+
+
+def test_wrapped_licenses_and_full_texts(spark):
+    rows = [(1, "m/LICENSE", MIT_TEXT), (2, "m/src/a.py", "import os"), (3, "g/a.py", GNU.format("", 3)), (4, "g/b.py", GNU.format("Affero ", 3)), (5, "g/c.py", GNU.format("", 2)), (6, "b/a.c", BSD), (7, "t/LICENSE", "MIT License"), (8, "t/x/y.c", "int x;"), (9, "s/a.c", "// SPDX-License-Identifier: MIT\nint x;"),
+            (10, "l/COPYING", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright"), (11, "n/a.txt", "a text of\nlicensed software"), (12, "m2/a.py", MIT_TEXT)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: ("MIT", "licence file"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "header"), 4: ("AGPL-3.0", "header"), 5: ("GPL-2.0", "header"), 6: ("BSD-3-Clause", "header"), 7: ("MIT", "licence file"), 8: ("MIT", "inherited"), 9: ("MIT", "header"), 10: ("LGPL-3.0", "licence file"), 11: (None, None), 12: ("MIT", "header")}
+
+
 def test_license_cosines(spark):
     rng = random.Random(1)
     terms = sorted({t for _, text in licenses.TEMPLATES for t in re.split("[^a-z0-9]+", text.lower()) if t}) + ["foo", "bar"]

@@ -1,7 +1,11 @@
 """License scans, in DataFrame functions only.
 
 Each line of a file, and a licence file as a whole, is a sparse TF-IDF vector;
-the cosine to each template decides. Document frequencies of the templates' terms
+the cosine to each template decides. Where no line suffices, windows of adjacent
+lines (those with terms; up to WINDOW of them) do, to which also the longer
+notices of BLOCKS are held, and in licence files the titles of TITLES. A window of
+more than twice the terms of the longest template is not scored: it has so many
+foreign terms that it can't reach the threshold, unless template terms repeat. Document frequencies of the templates' terms
 are counted over all files; a term of no template has the largest weight. A
 vector can only reach the threshold if it shares one of a template's ANCHOR terms
 (the others together are too short, by Cauchy-Schwarz), so lines without one end
@@ -44,6 +48,35 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Further notices, for windows of lines.
+BLOCKS = [
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights'),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *[(x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense")],
+]
+#: Titles of licence texts, for licence files only.
+TITLES = [
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("ISC", "ISC License"),
+    ("Unlicense", "The Unlicense"),
+]
+WINDOW = 8
 THRESHOLD = 0.8
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 OUT = ("license", "score", "line_no", "basis")
@@ -53,8 +86,8 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _template_terms() -> list[tuple[str, Counter]]:
-    return [(name, Counter(t for t in re.split("[^a-z0-9]+", text.lower()) if t)) for name, text in TEMPLATES]
+def _template_terms(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, Counter]]:
+    return [(name, Counter(t for t in re.split("[^a-z0-9]+", text.lower()) if t)) for name, text in templates]
 
 
 def document_frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, int]]:
@@ -67,9 +100,13 @@ def document_frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, in
 def weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], float, list[tuple[str, str, int, float]], set[str]]:
     """(idf by term, idf of other terms, (licence, term, template, unit weight), anchor terms)."""
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for _, c in _template_terms() for t in c}
+    return idf, math.log(n + 1) + 1, *_vectors(_template_terms(), idf, math.log(n + 1) + 1)
+
+
+def _vectors(templates: list[tuple[str, Counter]], idf: dict[str, float], other: float) -> tuple[list[tuple[str, str, int, float]], set[str]]:
     rows, anchors = [], set()
-    for k, (name, terms) in enumerate(_template_terms()):
-        vector = {t: tf * idf[t] for t, tf in terms.items()}
+    for k, (name, terms) in enumerate(templates):
+        vector = {t: tf * idf.get(t, other) for t, tf in terms.items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
         rest = 1.0
         for t in sorted(vector, key=lambda t: (-vector[t], t)):
@@ -77,29 +114,57 @@ def weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], float, list[t
             if rest >= THRESHOLD**2 - 1e-9:
                 anchors.add(t)
                 rest -= (vector[t] / norm) ** 2
-    return idf, math.log(n + 1) + 1, rows, anchors
+    return rows, anchors
+
+
+def _windows(text: Column, anchor: Column, longest: int) -> Column:
+    """The runs of up to WINDOW lines with terms, of at most ``longest`` terms, in which an anchor is found: (line_no, span, terms)."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), _terms(x).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
+    lines = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), x["terms"].alias("terms"), F.size(x["terms"]).alias("n"), F.arrays_overlap(x["terms"], anchor).alias("near")))
+
+    def of_lines(x: Column) -> Column:
+        def from_line(j: Column) -> Column:
+            def run(s: Column) -> Column:
+                part = F.slice(x, j + 1, s)
+                fits = F.exists(part, lambda p: p["near"]) & (F.aggregate(part, F.lit(0), lambda a, p: a + p["n"]) <= longest)
+                return F.when(fits, F.struct(F.get(x, j)["line_no"].alias("line_no"), s.alias("span"), F.flatten(F.transform(part, lambda p: p["terms"])).alias("terms")))
+
+            return F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size(x) - j)), run), lambda w: w.isNotNull())
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x) - 1), from_line))
+
+    return F.inline(F.get(F.transform(F.filter(F.array(lines), lambda x: F.size(x) > 0), of_lines), F.lit(0)))
 
 
 def own_licenses(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     """(key, license, score, line_no) of the files with a licence of their own; line_no -1: a licence file as a whole."""
     spark = files.sparkSession
-    idf, other, template_rows, anchors = weights(*document_frequencies(files, text))
-    anchor = F.array(*[F.lit(t) for t in sorted(anchors)])
+    idf, other, template_rows, line_anchors = weights(*document_frequencies(files, text))
+    more = _template_terms(TEMPLATES + BLOCKS + TITLES)
+    template_rows, anchors = _vectors(more, idf, other)
+    line_anchor, anchor = (F.array(*[F.lit(t) for t in sorted(a)]) for a in (line_anchors, anchors))
     near = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).where(F.arrays_overlap(_terms(F.col("text")), anchor))
-    whole = F.when(F.coalesce(F.col("path"), F.lit("")).rlike(LICENCE_FILE), F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>"))
+    near = near.withColumn("is_file", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
+    whole = F.when(F.col("is_file"), F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("unit")))
-    units = near.select("key", F.inline(F.concat(whole, lines)))
-    units = units.select("key", "line_no", F.xxhash64("unit").alias("same"), _terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", anchor))
-    counts = units.select("key", "line_no", "same", F.explode("terms").alias("term")).groupBy("key", "line_no", "same", "term").agg(F.count("*").alias("tf"))
+    # span 0: a line or a whole file; else the lines of a window
+    units = near.select("key", "is_file", F.inline(F.concat(whole, lines)))
+    units = units.select("key", "is_file", "line_no", F.lit(0).alias("span"), F.xxhash64("unit").alias("same"), _terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", line_anchor))
+    windows = near.select("key", "is_file", _windows(F.col("text"), anchor, 2 * max(sum(c.values()) for _, c in more)))
+    units = units.unionByName(windows.select("key", "is_file", "line_no", "span", F.xxhash64("terms").alias("same"), "terms"))
+    unit_key = ["key", "is_file", "line_no", "span", "same"]
+    counts = units.select(*unit_key, F.explode("terms").alias("term")).groupBy(*unit_key, "term").agg(F.count("*").alias("tf"))
     # both tables have a row for each term of the templates: their size is fixed
     idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     table = spark.createDataFrame([(t, F_row) for t, F_row in _by_term(template_rows)], "term string, t array<struct<license:string,template:int,weight:double>>")
-    weighted = counts.join(F.broadcast(idfs.join(F.broadcast(table), "term")), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    unit = Window.partitionBy("key", "line_no", "same")
+    weighted = counts.join(F.broadcast(table.join(F.broadcast(idfs), "term", "left")), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    unit = Window.partitionBy(*unit_key)
     weighted = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(unit))).where("t is not null")
-    dots = weighted.select("key", "line_no", "same", "norm", "w", F.inline("t")).groupBy("key", "line_no", "same", "license", "template").agg((F.sum(F.col("w") * F.col("weight")) / F.max("norm")).alias("cosine"))
+    dots = weighted.select(*unit_key, "norm", "w", F.inline("t")).where((F.col("template") < len(TEMPLATES)) | (F.col("span") > 0) & ((F.col("template") < len(TEMPLATES) + len(BLOCKS)) | F.col("is_file")))
+    dots = dots.groupBy(*unit_key, "license", "template").agg((F.sum(F.col("w") * F.col("weight")) / F.max("norm")).alias("cosine"))
     sure = dots.withColumn("score", F.round("cosine", 6)).where(F.col("score") >= THRESHOLD)
-    best = sure.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "line_no", "license")).alias("b"))
+    # a line that suffices stands before windows
+    best = sure.groupBy("key").agg(F.min(F.struct((F.col("span") > 0).alias("w"), (-F.col("score")).alias("s"), "line_no", "license")).alias("b"))
     return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line_no").alias("line_no"))
 
 
