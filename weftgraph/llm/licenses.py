@@ -117,6 +117,20 @@ def _vectors(templates: list[tuple[str, Counter]], idf: dict[str, float], other:
     return rows, anchors
 
 
+def _shares(rows: list[tuple[str, str, int, float]]) -> Column:
+    """For each template its terms and the squares of their weights, as one constant."""
+    of: dict[int, list[str]] = {}
+    for _, term, k, weight in rows:
+        of.setdefault(k, []).append(f"struct('{term}' AS t, {weight * weight!r}D AS m)")
+    return F.expr(f"array({', '.join(f'array({", ".join(x)})' for x in of.values())})")
+
+
+def _can_reach(terms: Column, rows: list[tuple[str, str, int, float]]) -> Column:
+    """Whether the terms hold THRESHOLD squared of some template's length; without that no cosine reaches it, by Cauchy-Schwarz."""
+    held = lambda x: F.aggregate(x, F.lit(0.0), lambda a, p: a + F.when(F.array_contains(terms, p["t"]), p["m"]).otherwise(F.lit(0.0)))
+    return F.exists(_shares(rows), lambda x: held(x) >= THRESHOLD**2 - 1e-5)
+
+
 def _windows(text: Column, anchor: Column, longest: int) -> Column:
     """The runs of up to WINDOW lines with terms, of at most ``longest`` terms, in which an anchor is found: (line_no, span, terms)."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), _terms(x).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
@@ -151,6 +165,12 @@ def own_licenses(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     units = near.select("key", "is_file", F.inline(F.concat(whole, lines)))
     units = units.select("key", "is_file", "line_no", F.lit(0).alias("span"), F.xxhash64("unit").alias("same"), _terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", line_anchor))
     windows = near.select("key", "is_file", _windows(F.col("text"), anchor, 2 * max(sum(c.values()) for _, c in more)))
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, c in more for t in c})])
+    titles = len(TEMPLATES) + len(BLOCKS)
+    usual, named = ([r for r in template_rows if (r[2] >= titles) == k] for k in (False, True))
+    # computed once for each window: the transform keeps it from being copied into each test
+    held = F.transform(F.array(F.array_intersect("terms", vocabulary)), lambda v: _can_reach(v, usual) | F.col("is_file") & _can_reach(v, named))
+    windows = windows.where(F.get(held, F.lit(0)))
     units = units.unionByName(windows.select("key", "is_file", "line_no", "span", F.xxhash64("terms").alias("same"), "terms"))
     unit_key = ["key", "is_file", "line_no", "span", "same"]
     counts = units.select(*unit_key, F.explode("terms").alias("term")).groupBy(*unit_key, "term").agg(F.count("*").alias("tf"))
@@ -160,7 +180,7 @@ def own_licenses(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     weighted = counts.join(F.broadcast(table.join(F.broadcast(idfs), "term", "left")), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     unit = Window.partitionBy(*unit_key)
     weighted = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(unit))).where("t is not null")
-    dots = weighted.select(*unit_key, "norm", "w", F.inline("t")).where((F.col("template") < len(TEMPLATES)) | (F.col("span") > 0) & ((F.col("template") < len(TEMPLATES) + len(BLOCKS)) | F.col("is_file")))
+    dots = weighted.select(*unit_key, "norm", "w", F.inline("t")).where((F.col("template") < len(TEMPLATES)) | (F.col("span") > 0) & ((F.col("template") < titles) | F.col("is_file")))
     dots = dots.groupBy(*unit_key, "license", "template").agg((F.sum(F.col("w") * F.col("weight")) / F.max("norm")).alias("cosine"))
     sure = dots.withColumn("score", F.round("cosine", 6)).where(F.col("score") >= THRESHOLD)
     # a line that suffices stands before windows
