@@ -208,27 +208,54 @@ def test_wrapped_licenses_and_full_texts(spark):
     assert got == {1: ("MIT", "licence file"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "header"), 4: ("AGPL-3.0", "header"), 5: ("GPL-2.0", "header"), 6: ("BSD-3-Clause", "header"), 7: ("MIT", "licence file"), 8: ("MIT", "inherited"), 9: ("MIT", "header"), 10: ("LGPL-3.0", "licence file"), 11: (None, None), 12: ("MIT", "header")}
 
 
+def best_units(rows, n_files, df):
+    """The operator's definition, in plain Python: row -> (s, line_no, license, span)."""
+    weights = licenses.Weights(n_files, df)
+    found = {}
+    for at, (_, path, text) in enumerate(rows):
+        is_file = bool(re.search(licenses.LICENCE_FILE, path or ""))
+        lines = [(k, re.findall("[a-z0-9]+", x.lower())) for k, x in enumerate((text or "").split("\n"))]
+        lines = [x for x in lines if x[1]]
+        most = licenses.TITLE if is_file else licenses.NOTICE
+        first = [(k, 1, t, most) for k, t in lines] + ([(-1, 1, sum((t for _, t in lines), []), licenses.TEXT)] if is_file else [])
+        runs = [(lines[a][0], s, sum((t for _, t in lines[a : a + s]), []), most) for a in range(len(lines)) for s in range(2, licenses.WINDOW + 1) if a + s <= len(lines)]
+        for units in (first, [u for u in runs if len(u[2]) <= licenses.longest_run()]):
+            hits = []
+            for line_no, span, terms, kinds in units:
+                v = {t: c * weights.idf.get(t, weights.other) for t, c in collections.Counter(terms).items()}
+                norm = math.sqrt(sum(x * x for x in v.values())) or 1
+                for kind, name, ws in weights.vectors:
+                    score = round(sum(x * ws.get(t, 0) for t, x in v.items()) / norm, 6)
+                    if kind <= kinds and score >= licenses.THRESHOLD:
+                        hits.append((-score, line_no, name, span))
+            if hits:
+                found[at] = min(hits)
+                break
+    return found
+
+
 def test_license_cosines(spark):
     rng = random.Random(1)
-    terms = sorted({t for _, text in licenses.TEMPLATES for t in re.split("[^a-z0-9]+", text.lower()) if t}) + ["foo", "bar"]
-    rows = [(k, "p", "\n".join(" ".join([*rng.choice(licenses.TEMPLATES)[1].split()[: rng.randint(2, 12)], *rng.choices(terms, k=rng.randint(0, 3))]) for _ in range(2))) for k in range(150)]
+    terms = sorted({t for _, _, c in licenses.template_terms() for t in c})[:60] + ["foo", "bar"]
+    rows = []
+    for k in range(120):
+        words = rng.choice(licenses.ALL)[2].split()
+        cut = rng.randint(1, max(1, min(40, len(words))))
+        body = [*words[:cut], *rng.choices(terms, k=rng.randint(0, 3))]
+        width = rng.choice([4, 7, 50])
+        rows.append((k, rng.choice(["a/LICENSE", "a/b.txt"]), "\n".join(["foo bar"] * rng.randint(0, 2) + [" ".join(body[i : i + width]) for i in range(0, len(body), width)])))
     docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
-    idf, other, weights, _ = licenses.weights(*licenses.document_frequencies(docs, "text"))
-    templates = collections.defaultdict(dict)
-    for name, t, k, x in weights:
-        templates[name, k][t] = x
-    want = {}
-    for i, _, text in rows:
-        for n, line in enumerate(text.split("\n")):
-            tf = collections.Counter(t for t in re.split("[^a-z0-9]+", line.lower()) if t)
-            v = {t: c * idf.get(t, other) for t, c in tf.items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            for (name, _), ws in templates.items():
-                score = round(sum(x * ws.get(t, 0) for t, x in v.items()) / norm, 6)
-                if score >= licenses.THRESHOLD:
-                    want[i] = min(want.get(i, (0, 0, "")), (-score, n, name))
-    got = {r.key: (-r.score, r.line_no, r.license) for r in licenses.own_licenses(docs, "doc_id", "path", "text").collect()}
-    assert got.keys() == want.keys() and len(got) > 20
-    for i, (s, n, name) in got.items():
-        assert (n, name) == want[i][1:] and s == pytest.approx(want[i][0], abs=2e-6)
-    assert docs.where(F.col("doc_id") < 0).count() == 0
+    n, df = licenses.document_frequencies(docs, "text")
+    assert n == 120
+    want = best_units(rows, n, df)
+    own = licenses.own_license(F.col("path"), F.col("text"), licenses.Weights(n, df))
+    got = {r.doc_id: r.o for r in docs.select("doc_id", own.alias("o")).collect() if r.o}
+    assert got.keys() == want.keys() and len(got) > 20 and any(x.span > 1 for x in got.values()) and any(x.line_no == -1 for x in got.values())
+    for i, x in got.items():
+        assert (x.line_no, x.license, x.span) == want[i][1:] and x.s == pytest.approx(want[i][0], abs=2e-6)
+
+
+def test_license_rows_are_judged_alone(spark):
+    rows = [(None, "a.txt", "Released under the MIT License."), (1, "b.txt", "hello"), (1, "c.txt", "Released under the MIT License."), (2, "d.txt", "word " * 200_000 + "\nLicensed under CC BY 4.0."), (3, None, None)]
+    got = {(r.doc_id, r.path): r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {(None, "a.txt"): "MIT", (1, "b.txt"): None, (1, "c.txt"): "MIT", (2, "d.txt"): "CC-BY-4.0", (3, None): None}

@@ -1,32 +1,38 @@
 """License scans, in DataFrame functions only.
 
-Each line of a file, and a licence file as a whole, is a sparse TF-IDF vector;
-the cosine to each template decides. Where no line suffices, windows of adjacent
-lines (those with terms; up to WINDOW of them) do, to which also the longer
-notices of BLOCKS are held, and in licence files the titles of TITLES. A window of
-more than twice the terms of the longest template is not scored: it has so many
-foreign terms that it can't reach the threshold, unless template terms repeat. Document frequencies of the templates' terms
-are counted over all files; a term of no template has the largest weight. A
-vector can only reach the threshold if it shares one of a template's ANCHOR terms
-(the others together are too short, by Cauchy-Schwarz), so lines without one end
-early and none is lost. A file without a licence of its own inherits that of the
-licence file in the nearest directory above it, by joins on path prefixes.
+Files are compared with templates by the cosine of sparse TF-IDF vectors; idf is
+counted over all files for the templates' terms (a term of no template has the
+largest weight). What is compared: each line, and a licence file as a whole;
+where none of these suffices, every run of two to WINDOW adjacent lines that have
+terms. Lines and runs are held to the notices, in licence files also to titles,
+a whole licence file to full texts too. A file without a licence of its own
+inherits that of the licence file in the nearest directory above it, by joins on
+path prefixes.
+
+Two bounds end most work early and lose nothing, by Cauchy-Schwarz: a unit must
+hold one of a template's anchor terms (the others together are too short), and
+its terms must make up the threshold's square of some template's length. A run of
+more than twice the terms of the longest notice isn't scored. Scores are computed
+within the row, so a row's licence is its own, whatever its key.
 
 Defined cases: null or empty texts have no licence of their own; a null path is a
 file outside every directory; of equal cosines the first line, then the first
-licence name counts; rows that repeat are judged alike; other columns pass
-through, the result's own names excepted.
+licence name counts, then the shorter run; null keys and rows that repeat are
+judged row by row; other columns pass through, the result's own names excepted.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.store import written
+
 #: Common notices of public licences.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -48,7 +54,7 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Further notices, for windows of lines.
+#: Further notices.
 BLOCKS = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights'),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
@@ -76,6 +82,15 @@ TITLES = [
     ("ISC", "ISC License"),
     ("Unlicense", "The Unlicense"),
 ]
+#: Whole texts, for licence files as a whole.
+FULL = [
+    ("MIT", 'MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-3-Clause", 'BSD 3-Clause License Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+]
+#: Which templates a unit is held to: kinds up to NOTICE, up to TITLE in licence files, up to TEXT for them as a whole.
+NOTICE, TITLE, TEXT = 0, 1, 2
+ALL = [(NOTICE, *x) for x in TEMPLATES + BLOCKS] + [(TITLE, *x) for x in TITLES] + [(TEXT, *x) for x in FULL]
 WINDOW = 8
 THRESHOLD = 0.8
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
@@ -86,131 +101,151 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _template_terms(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, Counter]]:
-    return [(name, Counter(t for t in re.split("[^a-z0-9]+", text.lower()) if t)) for name, text in templates]
+def template_terms() -> list[tuple[int, str, Counter]]:
+    """(kind, licence, term counts) of all templates."""
+    return [(kind, name, Counter(re.findall("[a-z0-9]+", text.lower()))) for kind, name, text in ALL]
+
+
+def longest_run() -> int:
+    return 2 * max(sum(c.values()) for kind, _, c in template_terms() if kind < TEXT)
 
 
 def document_frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """(files, files with each term of the templates); the driver gets as many rows as templates have terms."""
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, c in _template_terms() for t in c})])
-    found = files.select(F.explode(F.array_intersect(_terms(F.col(text)), vocabulary)).alias("term"))
-    return files.count(), {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
-
-
-def weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], float, list[tuple[str, str, int, float]], set[str]]:
-    """(idf by term, idf of other terms, (licence, term, template, unit weight), anchor terms)."""
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for _, c in _template_terms() for t in c}
-    return idf, math.log(n + 1) + 1, *_vectors(_template_terms(), idf, math.log(n + 1) + 1)
-
-
-def _vectors(templates: list[tuple[str, Counter]], idf: dict[str, float], other: float) -> tuple[list[tuple[str, str, int, float]], set[str]]:
-    rows, anchors = [], set()
-    for k, (name, terms) in enumerate(templates):
-        vector = {t: tf * idf.get(t, other) for t, tf in terms.items()}
-        norm = math.sqrt(sum(x * x for x in vector.values()))
-        rest = 1.0
-        for t in sorted(vector, key=lambda t: (-vector[t], t)):
-            rows.append((name, t, k, vector[t] / norm))
-            if rest >= THRESHOLD**2 - 1e-9:
-                anchors.add(t)
+    """(files, files with each term of the templates), in one scan; the driver gets as many rows as templates have terms."""
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, c in template_terms() for t in c})])
+    # the empty term stands for the file itself
+    found = files.select(F.explode(F.concat(F.array_intersect(_terms(F.col(text)), vocabulary), F.array(F.lit("")))).alias("term"))
+    counts = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+    return counts.pop("", 0), counts
+
+
+class Weights:
+    """idf of the templates' terms and of others, the templates' unit vectors, and their anchor terms."""
+
+    def __init__(self, n: int, df: dict[str, int]):
+        found = template_terms()
+        self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for _, _, c in found for t in c}
+        self.other = math.log(n + 1) + 1
+        self.vectors: list[tuple[int, str, dict[str, float]]] = []
+        self.anchors: set[str] = set()
+        for kind, name, terms in found:
+            vector = {t: tf * self.idf[t] for t, tf in terms.items()}
+            norm = math.sqrt(sum(x * x for x in vector.values()))
+            self.vectors.append((kind, name, {t: x / norm for t, x in vector.items()}))
+            rest = 1.0
+            for t in sorted(vector, key=lambda t: (-vector[t], t)):
+                if rest < THRESHOLD**2 - 1e-9:
+                    break
+                self.anchors.add(t)
                 rest -= (vector[t] / norm) ** 2
-    return rows, anchors
-
-
-def _shares(rows: list[tuple[str, str, int, float]]) -> Column:
-    """For each template its terms and the squares of their weights, as one constant."""
-    of: dict[int, list[str]] = {}
-    for _, term, k, weight in rows:
-        of.setdefault(k, []).append(f"struct('{term}' AS t, {weight * weight!r}D AS m)")
-    return F.expr(f"array({', '.join(f'array({", ".join(x)})' for x in of.values())})")
-
-
-def _can_reach(terms: Column, rows: list[tuple[str, str, int, float]]) -> Column:
-    """Whether the terms hold THRESHOLD squared of some template's length; without that no cosine reaches it, by Cauchy-Schwarz."""
-    held = lambda x: F.aggregate(x, F.lit(0.0), lambda a, p: a + F.when(F.array_contains(terms, p["t"]), p["m"]).otherwise(F.lit(0.0)))
-    return F.exists(_shares(rows), lambda x: held(x) >= THRESHOLD**2 - 1e-5)
-
-
-def _windows(text: Column, anchor: Column, longest: int) -> Column:
-    """The runs of up to WINDOW lines with terms, of at most ``longest`` terms, in which an anchor is found: (line_no, span, terms)."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), _terms(x).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
-    lines = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), x["terms"].alias("terms"), F.size(x["terms"]).alias("n"), F.arrays_overlap(x["terms"], anchor).alias("near")))
-
-    def of_lines(x: Column) -> Column:
-        def from_line(j: Column) -> Column:
-            def run(s: Column) -> Column:
-                part = F.slice(x, j + 1, s)
-                fits = F.exists(part, lambda p: p["near"]) & (F.aggregate(part, F.lit(0), lambda a, p: a + p["n"]) <= longest)
-                return F.when(fits, F.struct(F.get(x, j)["line_no"].alias("line_no"), s.alias("span"), F.flatten(F.transform(part, lambda p: p["terms"])).alias("terms")))
-
-            return F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size(x) - j)), run), lambda w: w.isNotNull())
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x) - 1), from_line))
-
-    return F.inline(F.get(F.transform(F.filter(F.array(lines), lambda x: F.size(x) > 0), of_lines), F.lit(0)))
-
-
-def own_licenses(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """(key, license, score, line_no) of the files with a licence of their own; line_no -1: a licence file as a whole."""
-    spark = files.sparkSession
-    idf, other, template_rows, line_anchors = weights(*document_frequencies(files, text))
-    more = _template_terms(TEMPLATES + BLOCKS + TITLES)
-    template_rows, anchors = _vectors(more, idf, other)
-    line_anchor, anchor = (F.array(*[F.lit(t) for t in sorted(a)]) for a in (line_anchors, anchors))
-    near = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).where(F.arrays_overlap(_terms(F.col("text")), anchor))
-    near = near.withColumn("is_file", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
-    whole = F.when(F.col("is_file"), F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>"))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("unit")))
-    # span 0: a line or a whole file; else the lines of a window
-    units = near.select("key", "is_file", F.inline(F.concat(whole, lines)))
-    units = units.select("key", "is_file", "line_no", F.lit(0).alias("span"), F.xxhash64("unit").alias("same"), _terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", line_anchor))
-    windows = near.select("key", "is_file", _windows(F.col("text"), anchor, 2 * max(sum(c.values()) for _, c in more)))
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, c in more for t in c})])
-    titles = len(TEMPLATES) + len(BLOCKS)
-    usual, named = ([r for r in template_rows if (r[2] >= titles) == k] for k in (False, True))
-    # computed once for each window: the transform keeps it from being copied into each test
-    held = F.transform(F.array(F.array_intersect("terms", vocabulary)), lambda v: _can_reach(v, usual) | F.col("is_file") & _can_reach(v, named))
-    windows = windows.where(F.get(held, F.lit(0)))
-    units = units.unionByName(windows.select("key", "is_file", "line_no", "span", F.xxhash64("terms").alias("same"), "terms"))
-    unit_key = ["key", "is_file", "line_no", "span", "same"]
-    counts = units.select(*unit_key, F.explode("terms").alias("term")).groupBy(*unit_key, "term").agg(F.count("*").alias("tf"))
-    # both tables have a row for each term of the templates: their size is fixed
-    idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    table = spark.createDataFrame([(t, F_row) for t, F_row in _by_term(template_rows)], "term string, t array<struct<license:string,template:int,weight:double>>")
-    weighted = counts.join(F.broadcast(table.join(F.broadcast(idfs), "term", "left")), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    unit = Window.partitionBy(*unit_key)
-    weighted = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(unit))).where("t is not null")
-    dots = weighted.select(*unit_key, "norm", "w", F.inline("t")).where((F.col("template") < len(TEMPLATES)) | (F.col("span") > 0) & ((F.col("template") < titles) | F.col("is_file")))
-    dots = dots.groupBy(*unit_key, "license", "template").agg((F.sum(F.col("w") * F.col("weight")) / F.max("norm")).alias("cosine"))
-    sure = dots.withColumn("score", F.round("cosine", 6)).where(F.col("score") >= THRESHOLD)
-    # a line that suffices stands before windows
-    best = sure.groupBy("key").agg(F.min(F.struct((F.col("span") > 0).alias("w"), (-F.col("score")).alias("s"), "line_no", "license")).alias("b"))
-    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line_no").alias("line_no"))
-
-
-def _by_term(rows: list[tuple[str, str, int, float]]) -> list[tuple[str, list]]:
-    out: dict[str, list] = {}
-    for name, term, k, weight in rows:
-        out.setdefault(term, []).append((name, k, weight))
-    return sorted(out.items())
+
+    def templates(self) -> Column:
+        """One constant, parsed while the plan is made."""
+        rows = [{"kind": kind, "license": name, "terms": [{"t": t, "m": x} for t, x in sorted(v.items())]} for kind, name, v in self.vectors]
+        return F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:int,license:string,terms:array<struct<t:string,m:double>>>>")
+
+    def idfs(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.idf, sort_keys=True)), "map<string,double>")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def own_license(path: Column, text: Column, weights: Weights) -> Column:
+    """struct<s, line_no, license, span> of the best unit, s being the negative score; null without one. line_no -1: a licence file as a whole."""
+    templates, idfs = weights.templates(), weights.idfs()
+    strings = lambda ts: F.array(*[F.lit(t) for t in sorted(ts)])
+    anchors, vocabulary = strings(weights.anchors), strings(weights.idf)
+    is_file = F.coalesce(path.rlike(LICENCE_FILE), F.lit(False))
+
+    def weighted(terms: Column) -> Column:
+        """term -> tf * idf."""
+
+        def counted(s: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+
+            def entries(e: Column) -> Column:
+                weight = lambda i, j: (i - F.coalesce(F.get(e, j - 1), F.lit(0))) * F.coalesce(F.try_element_at(idfs, F.get(s, i - 1)), F.lit(weights.other))
+                return F.map_from_entries(F.transform(e, lambda i, j: F.struct(F.get(s, i - 1), weight(i, j))))
+
+            return let(ends, entries)
+
+        return let(F.array_sort(terms), counted)
+
+    def scores(unit: Column, most: Column) -> Column:
+        """The sufficient (s, line_no, license, span) of a unit (line_no, span, terms)."""
+
+        def hit(held: Column, tm: Column) -> Column:
+            share = F.aggregate(tm["terms"], F.lit(0.0), lambda a, p: a + F.when(F.array_contains(held, p["t"]), p["m"] * p["m"]).otherwise(F.lit(0.0)))
+            return (tm["kind"] <= most) & (share >= THRESHOLD**2 - 1e-5)
+
+        def of(near: Column) -> Column:
+            def cosines(w: Column) -> Column:
+                norm = F.sqrt(F.aggregate(F.map_values(w), F.lit(0.0), lambda a, x: a + x * x))
+                dot = lambda tm: F.aggregate(tm["terms"], F.lit(0.0), lambda a, p: a + p["m"] * F.coalesce(F.try_element_at(w, p["t"]), F.lit(0.0)))
+                rows = F.transform(near, lambda tm: F.struct((-F.round(dot(tm) / norm, 6)).alias("s"), unit["line_no"].alias("line_no"), tm["license"].alias("license"), unit["span"].alias("span")))
+                return F.filter(rows, lambda r: r["s"] <= -THRESHOLD)
+
+            return F.when(F.size(near) > 0, let(weighted(unit["terms"]), cosines))
+
+        return let(let(F.array_intersect(unit["terms"], vocabulary), lambda held: F.filter(templates, lambda tm: hit(held, tm))), of)
+
+    def best(units: Column, most: Column) -> Column:
+        return F.array_min(F.flatten(F.filter(F.transform(units, lambda u: scores(u, most)), lambda r: r.isNotNull())))
+
+    def runs(lines: Column) -> Column:
+        """Runs of two lines or more, each made at its first line with an anchor."""
+
+        def at(near: Column) -> Column:
+            def from_near(j: Column, k: Column) -> Column:
+                first = F.greatest(F.coalesce(F.get(near, k - 1) + 1, F.lit(0)), j - (WINDOW - 1))
+
+                def from_line(a: Column) -> Column:
+                    def run(span: Column) -> Column:
+                        part = F.slice(lines, a + 1, span)
+                        fits = (a + span <= F.size(lines)) & (F.aggregate(part, F.lit(0), lambda n, x: n + F.size(x["terms"])) <= longest_run())
+                        return F.when(fits, F.struct(F.get(lines, a)["line_no"].alias("line_no"), span.alias("span"), F.flatten(F.transform(part, lambda x: x["terms"])).alias("terms")))
+
+                    return F.filter(F.transform(F.sequence(F.greatest(F.lit(2), j - a + 1), F.lit(WINDOW)), run), lambda u: u.isNotNull())
+
+                return F.flatten(F.transform(F.sequence(first, j), from_line))
+
+            return F.flatten(F.transform(near, from_near))
+
+        return let(F.filter(F.transform(lines, lambda x, i: F.when(x["near"], i)), lambda i: i.isNotNull()), at)
+
+    def of_lines(lines: Column) -> Column:
+        most = F.when(is_file, F.lit(TITLE)).otherwise(F.lit(NOTICE))
+        alone = F.transform(F.filter(lines, lambda x: x["near"]), lambda x: F.struct(x["line_no"].alias("line_no"), F.lit(1).alias("span"), x["terms"].alias("terms")))
+        whole = F.when(is_file, best(F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(1).alias("span"), F.flatten(F.transform(lines, lambda x: x["terms"])).alias("terms"))), F.lit(TEXT)))
+        sure = F.array_min(F.filter(F.array(best(alone, most), whole), lambda x: x.isNotNull()))
+        return let(sure, lambda x: F.coalesce(x, best(runs(lines), most)))
+
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), _terms(x).alias("terms")))
+    lines = F.transform(F.filter(lines, lambda x: F.size(x["terms"]) > 0), lambda x: F.struct(x["line_no"].alias("line_no"), x["terms"].alias("terms"), F.arrays_overlap(x["terms"], anchors).alias("near")))
+    return F.when(F.arrays_overlap(_terms(text), anchors), let(lines, of_lines))
 
 
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "(^|/)[^/]*$", "")
 
 
-def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
+def license_scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``files`` without its text, with license, score, line_no and basis ("header", "licence file", "inherited" or null)."""
-    own = own_licenses(files, key, path, text)
-    base = files.drop(text, *OUT)
-    out = base.join(own.withColumnRenamed("key", key), key, "left")
+    weights = Weights(*document_frequencies(files, text))
+    rest = [c for c in files.columns if c not in (text, *OUT)]
+    own = files.select(*rest, own_license(F.col(path), F.col(text), weights).alias("_own"))
+    out = written(own.select(*rest, F.col("_own.license").alias("license"), (-F.col("_own.s")).alias("score"), F.col("_own.line_no").alias("line_no")))
     is_file = F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
     # of a directory's licence files the surest counts
     places = out.where(is_file & F.col("license").isNotNull()).groupBy(_folder(F.col(path)).alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("p")).select("above", F.col("p.license").alias("inherited"))
-    folders = base.where(F.col(path).isNotNull()).select(_folder(F.col(path)).alias("folder")).distinct()
+    folders = out.where(F.col(path).isNotNull()).select(_folder(F.col(path)).alias("folder")).distinct()
     parts = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     nearest = folders.select("folder", F.explode(F.array_distinct(above)).alias("above")).join(places, "above").groupBy("folder").agg(F.max_by("inherited", F.struct(F.length("above"), "inherited")).alias("inherited"))
-    out = out.withColumn("folder", _folder(F.col(path))).join(nearest, "folder", "left")
+    # one folder may hold a third of all files: adaptive execution splits it, as nothing here needs a folder's rows together
+    out = out.withColumn("folder", _folder(F.col(path))).join(written(nearest), "folder", "left")
     basis = F.when(F.col("license").isNotNull(), F.when(is_file, "licence file").otherwise("header")).when(F.col("inherited").isNotNull(), "inherited")
     return out.withColumn("basis", basis).withColumn("license", F.coalesce("license", "inherited")).drop("folder", "inherited")

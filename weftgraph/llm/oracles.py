@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from weftgraph.llm.licenses import TEMPLATES, THRESHOLD
+from weftgraph.llm.licenses import ALL, NOTICE, TEXT, THRESHOLD, TITLE, WINDOW, longest_run
 
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+#: Sufficient cosines of the rows of a table (doc_id, line_no, span, most, terms).
+_COSINES = f"""
+  SELECT doc_id, line_no, span, license, score FROM (
+    SELECT v.doc_id, v.line_no, v.span, t.license, t.template, round(sum(v.w * t.w) / max(v.norm), 6) AS score
+    FROM (SELECT doc_id, line_no, span, most, term, tf * coalesce(idf, ln(n + 1) + 1) AS w, sqrt(sum((tf * coalesce(idf, ln(n + 1) + 1)) ** 2) OVER (PARTITION BY doc_id, line_no, span)) AS norm
+          FROM (SELECT doc_id, line_no, span, most, term, count(*) AS tf FROM (SELECT doc_id, line_no, span, most, unnest(terms) AS term FROM {{}}) GROUP BY ALL) LEFT JOIN idf USING (term), n) v
+    JOIN t_vec t ON t.term = v.term AND t.kind <= v.most GROUP BY ALL) WHERE score >= {THRESHOLD}
+"""
+_SPLIT = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
+
 LICENSES = f"""
-WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_quoted(a)}, {_quoted(b)})" for k, (a, b) in enumerate(TEMPLATES))}) t(template, license, body)),
-t_terms AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS term FROM templates) WHERE term <> '' GROUP BY ALL),
-docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id::VARCHAR || '.txt' AS path, coalesce(text, '') AS text FROM documents),
-df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM docs) WHERE term IN (SELECT term FROM t_terms) GROUP BY term),
+WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {k}, {_quoted(a)}, {_quoted(b)})" for i, (k, a, b) in enumerate(ALL))}) t(template, kind, license, body)),
+t_terms AS (SELECT template, kind, license, term, count(*) AS tf FROM (SELECT template, kind, license, unnest({_SPLIT.format("body")}) AS term FROM templates) GROUP BY ALL),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 8 = 0 THEN concat_ws('/', source, 'LICENSE') WHEN doc_id % 8 = 4 THEN concat_ws('/', source, lang, 'LICENSE') ELSE concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') END AS path, doc_id % 4 = 0 AS is_file FROM documents),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_SPLIT.format("text")}) AS term FROM docs) WHERE term IN (SELECT term FROM t_terms) GROUP BY term),
 n AS (SELECT count(*) AS n FROM docs),
 idf AS (SELECT DISTINCT t.term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM t_terms t LEFT JOIN df USING (term), n),
-t_vec AS (SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM t_terms JOIN idf USING (term)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM docs),
-l_terms AS (SELECT doc_id, line_no, term, count(*) AS tf FROM (SELECT doc_id, line_no, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) AS term FROM lines WHERE lower(line) SIMILAR TO '.*(licen|permission|redistribution|unencumbered|mozilla|public|software|version|work|cc|mit|apache|bsd|nc|by).*') WHERE term <> '' GROUP BY ALL),
-l_vec AS (SELECT doc_id, line_no, term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM l_terms LEFT JOIN idf USING (term), n),
-l_norm AS (SELECT doc_id, line_no, sqrt(sum(w * w)) AS norm FROM l_vec GROUP BY ALL),
-cos AS (SELECT doc_id, line_no, license, template, round(sum(l.w * t.w / t.norm) / max(ln.norm), 6) AS score FROM l_vec l JOIN t_vec t USING (term) JOIN l_norm ln USING (doc_id, line_no) GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, license) AS r FROM cos WHERE score >= {THRESHOLD})
-SELECT doc_id, path, license, score, line_no::INTEGER AS line_no, CASE WHEN license IS NOT NULL THEN 'header' END AS basis FROM docs LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)
+t_vec AS (SELECT template, kind, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM t_terms JOIN idf USING (term)),
+lines AS (SELECT doc_id, is_file, line_no, terms, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM (SELECT doc_id, is_file, line_no, {_SPLIT.format("line")} AS terms FROM (SELECT doc_id, is_file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM docs)) WHERE len(terms) > 0),
+first_units AS (SELECT doc_id, line_no, 1 AS span, CASE WHEN is_file THEN {TITLE} ELSE {NOTICE} END AS most, terms FROM lines UNION ALL SELECT doc_id, -1, 1, {TEXT}, {_SPLIT.format("text")} FROM docs WHERE is_file),
+first_cos AS ({_COSINES.format("first_units")}),
+run_units AS (SELECT a.doc_id, a.line_no, s.span, CASE WHEN a.is_file THEN {TITLE} ELSE {NOTICE} END AS most, (SELECT flatten(list(b.terms ORDER BY b.k)) FROM lines b WHERE b.doc_id = a.doc_id AND b.k BETWEEN a.k AND a.k + s.span - 1) AS terms FROM lines a JOIN (SELECT doc_id, max(k) AS k FROM lines GROUP BY doc_id) z ON z.doc_id = a.doc_id, (SELECT unnest(range(2, {WINDOW} + 1)) AS span) s WHERE a.k + s.span - 1 <= z.k AND a.doc_id NOT IN (SELECT doc_id FROM first_cos)),
+few AS (SELECT * FROM run_units WHERE len(terms) <= {longest_run()}),
+run_cos AS ({_COSINES.format("few")}),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, license, span) AS r FROM (SELECT * FROM first_cos UNION ALL SELECT * FROM run_cos)),
+own AS (SELECT docs.doc_id, path, is_file, regexp_replace(path, '(^|/)[^/]*$', '') AS folder, license, score, line_no FROM docs LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)),
+places AS (SELECT folder, arg_min(license, (-score, license)) AS license FROM own WHERE is_file AND license IS NOT NULL GROUP BY folder),
+above AS (SELECT o.folder, arg_max(p.license, length(p.folder)) AS license FROM (SELECT DISTINCT folder FROM own) o JOIN places p ON p.folder = '' OR o.folder = p.folder OR starts_with(o.folder, p.folder || '/') GROUP BY o.folder)
+SELECT doc_id, path, coalesce(own.license, above.license) AS license, score, line_no::INTEGER AS line_no, CASE WHEN own.license IS NOT NULL THEN CASE WHEN is_file THEN 'licence file' ELSE 'header' END WHEN above.license IS NOT NULL THEN 'inherited' END AS basis FROM own LEFT JOIN above USING (folder)
 """
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
