@@ -101,14 +101,35 @@ def expected_cuts(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("chunk", "hot", "bucket"), [(1 << 21, 1000, 150_000), (3_000, 1000, 300), (2_000, 1, 200)])
-def test_suffix_dedup(spark, chunk, hot, bucket):
+@pytest.mark.parametrize(("chunk", "group", "bucket", "splitters"), [(1 << 21, 64, 150_000, 4096), (3_000, 3, 300, 4096), (2_000, 2, 200, 4)])
+def test_suffix_dedup(spark, chunk, group, bucket, splitters):
     rows = corpus(chunk)
-    rows += [(500 + k, f"{k} " + "the very same passage, longer than fifty bytes, in every one of these texts é" + f" {k * 7}", "", "", 0, 0) for k in range(20)]
-    got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), chunk=chunk, hot_chunks=hot, bucket=bucket, carry=("text2",)).collect()
+    # one passage in every chunk
+    rows += [(500 + k, f"{k} " + "the very same passage, longer than fifty bytes, in every one of these texts é" + f" {k * 7}" * 9, "", "", 0, 0) for k in range(60)]
+    got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), chunk=chunk, group=group, bucket=bucket, splitters=splitters, carry=("text2",)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == expected_cuts(rows, 50)
 
 
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(str(rng.random()) for _ in range(40))
+    long = [" ".join(str(rng.randrange(10**9)) for _ in range(600_000)) for _ in range(2)]
+    rows = [(1, long[0] + passage), (2, passage), (3, long[1][:4_000_000] + passage + long[1][4_000_000:]), (4, long[0][5_000_000:] + "x"), (5, "y" + passage[:60])]
+    got = {r.doc_id: r for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(passage)
+    assert [got[k].n_removed for k in range(1, 6)] == [0, n, n, len(long[0]) - 5_000_000, 60] and got[3].kept_text == long[1] and got[4].kept_text == "x" and got[1].n_bytes > 5_000_000
+
+
+@pytest.mark.parametrize("length", [33, 63])
+def test_suffix_dedup_lengths(spark, length):
+    rows = corpus(length)[:60]
+    got = suffix_dedup(spark.createDataFrame(rows, DOCS), length=length, chunk=2_000, group=2, bucket=500).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == expected_cuts(rows, length)
+    for wrong in (32, 64):
+        with pytest.raises(ValueError):
+            suffix_dedup(spark.createDataFrame(rows, DOCS), length=wrong)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.kept_text for r in suffix_dedup(spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()] == ["short", ""]
