@@ -472,6 +472,8 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     schema = "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary"
     chunks = written(source.mapInArrow(_chunked(chunk), schema))
     dropped(firsts)
+    del source, long
+    released(spark)  # the shuffle of the texts
     size = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = min(1 << 24, max(8, math.ceil(size / 10 / KEYS_PER_BUCKET)))
     keys = chunks.select("chunk", "ids", "lengths", "copies", "body").mapInArrow(_keyed(length, buckets), "bucket long, chunk long, bits binary")
