@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from weftgraph.llm import lm_scoring as lm
-from weftgraph.llm.arrays import LETTER_DIGIT, Words, as_bytes
+from weftgraph.llm import toxicity
+from weftgraph.llm.arrays import LETTER_DIGIT, Words, as_bytes, mix
 from weftgraph.llm.labelled import training_rows
 from weftgraph.llm.quality_classifier import quality_scores
 from weftgraph.llm.toxicity import toxicity_scores
@@ -31,6 +32,57 @@ def test_toxicity_accuracy(spark):
     assert _accuracy(spark, toxicity_scores, "toxic") >= 0.93
 
 
+def plain_models(texts, toxic, cutoff, order):
+    """Both classes' P(w | v), in plain Python from the definition."""
+    seen = [set(), set()]
+    for t, y in zip(texts, toxic, strict=True):
+        w = ["<", "<", *t]
+        seen[y] |= set(zip(w, w[1:], w[2:], strict=False))
+    pairs = [{(v, w) for _, v, w in s} for s in seen]
+    words = sorted({x for s in pairs for p in s for x in p})
+    both = pairs[0] | pairs[1]
+    shared = {w: sum(p[1] == w for p in both) + 0.5 for w in words}
+    z = sum(shared.values()) + 0.5
+    shared = {w: c / z for w, c in shared.items()} | {None: 0.5 / z}
+
+    def level(counts, below):
+        own = [{k: (n - 0.75 if n >= cutoff else 0) / max(1, sum(c.values())) for k, n in c.items()} for c in counts]
+        kept = [sum(x.values()) for x in own]
+        spare = 1 - min(kept)
+        return [(lambda w, k=k: own[k].get(w, 0) * (1 - spare) / (kept[k] or 1) + spare * below[k](w)) for k in (0, 1)]
+
+    word = level([{w: sum(p[1] == w for p in s) for w in words} for s in pairs], [lambda w: shared.get(w, shared[None])] * 2)
+    if order == 1:
+        return words, lambda v: word
+    return words, lambda v: level([{w: sum(x[1:] == (v, w) for x in s) for w in words} for s in seen], word)
+
+
+@pytest.mark.parametrize(("order", "cutoff"), [(1, 1), (1, 2), (2, 1), (2, 2)])
+def test_class_models_are_proper_and_follow_their_definition(order, cutoff):
+    rng = np.random.default_rng(order + 2 * cutoff)
+    names = {"<": np.uint64(1)} | dict(zip("abcdef", mix(np.arange(6, dtype=np.uint64) + np.uint64(9)), strict=True))
+    texts = [[str(x) for x in rng.choice(list("abcdef"), rng.integers(0, 9), p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1])] for _ in range(40)]
+    toxic = rng.integers(0, 2, 40)
+    model = toxicity.Model([np.array([names[c] for c in t], np.uint64) for t in texts], toxic, cutoff=cutoff, few=1)
+    words, p = plain_models(texts, toxic, cutoff, order)
+    assert all(sum(q) == pytest.approx(1) for q in model.word_p)
+    for t in texts:
+        flat = toxicity._Flat([np.array([names[c] for c in t], np.uint64)])
+        got = model.differences(flat, order)
+        for v, w, d in zip(["<", *t], t, got, strict=False):
+            a, b = (q(w) for q in p(v))
+            assert d == pytest.approx(np.log(b / a), abs=1e-9)
+    for v in words:
+        assert all(sum(q(w) for w in [*words, None]) == pytest.approx(1) for q in p(v))
+    flat = toxicity._Flat([np.array([names[c] for c in t], np.uint64) for t in texts])
+    diff = model.differences(flat, order)
+    for run in (1, 3):
+        for k, (s, n) in enumerate(zip(flat.first, flat.counts, strict=True)):
+            part = diff[s : s + n]
+            want = max((part[i : i + run].mean() for i in range(max(1, n - run + 1))), default=0) if n else 0
+            assert model.evidence(flat, run, order)[k] == pytest.approx(want, abs=1e-9)
+
+
 @pytest.mark.parametrize("scores", [quality_scores, toxicity_scores])
 def test_defined_cases(spark, scores):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "x y", 3), (1, "a " * 50_000, 3)], "doc_id long, text string, score int")
