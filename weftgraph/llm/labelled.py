@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.store import dropped, written
+
 
 def held_out(id: str = "doc_id") -> Column:
     """Rows whose crc32(id as text) mod 5 is 0; a null id is not held out."""
@@ -26,11 +28,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     hashed = F.xxhash64("doc_id", F.lit(11))
     size = F.coalesce(F.length("text"), F.lit(0))
-    fitting = docs.where(size <= max_chars)
-    present = known.join(fitting.select("doc_id").distinct(), "doc_id", "left_semi")
+    # one scan finds the labelled texts by hash and size; all choices are made on this table
+    sized = docs.where(size <= max_chars).select("doc_id", F.xxhash64("text").alias("same"), size.alias("n")).distinct()
+    sized = written(sized.join(known, "doc_id"))
+    present = sized.select("doc_id", "label").distinct()
     parts = [present.where(F.col("label") == k).orderBy(hashed, "doc_id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * per_class rows at most
-    texts = fitting.join(sample, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("same"), size.alias("n")).distinct()
+    texts = written(sized.join(sample, ["doc_id", "label"]).select("doc_id", "label", "same", "n"))
     one = texts.groupBy("doc_id", "label").agg(F.min("same").alias("same")).withColumn("first", F.lit(0))
     ranked = texts.join(one, ["doc_id", "label", "same"], "left").select("doc_id", "label", "same", "n", F.coalesce("first", F.lit(1)).alias("later"), F.when(F.col("first") == 0, hashed).otherwise(F.xxhash64("same", "doc_id")).alias("h"))
     order = ["later", "h", "doc_id", "same"]
@@ -40,6 +44,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         if r["n"] <= left[r["label"]]:
             left[r["label"]] -= r["n"]
             chosen.add((r["doc_id"], r["label"], r["same"]))
+    for table in (sized, texts):
+        dropped(table)
     small = spark.createDataFrame(sorted(chosen), "doc_id long, label int, same long")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("same")).join(F.broadcast(small), ["doc_id", "same"])
     return rows.select("doc_id", "label", "text").distinct()
