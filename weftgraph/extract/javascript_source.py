@@ -18,7 +18,6 @@ DOC_TYPES = {"string": "String", "number": "float", "integer": "int", "int": "in
 BUILT_IN = {"Map": "Map", "Set": "Set", "Array": "List", "Date": "Date", "Object": "Object"}
 COMPARISONS = {"==", "!=", "===", "!==", "<", ">", "<=", ">=", "instanceof", "in"}
 UNKNOWN = "any"
-_TAG = re.compile(r"@(param|arg|argument|returns?|type)\s*\{([^}]*)\}\s*(\[?[\w$.=]+\]?)?")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
@@ -46,13 +45,20 @@ class Tags:
 
 def tags_of(doc: str | None) -> Tags:
     out = Tags({})
-    for tag, raw, name in _TAG.findall(doc or ""):
+    for entry in (doc or "").split("@")[1:]:
+        tag, brace, rest = entry.partition("{")
+        raw, closed, after = rest.partition("}")
+        tag, after = tag.strip(), after.split()
+        if not closed:
+            continue
         if tag in ("return", "returns"):
             out.returns = doc_type(raw)
         elif tag == "type":
             out.type = doc_type(raw)
-        elif name:
-            out.params[name.strip("[]").split(".")[0].split("=")[0]] = doc_type(raw)
+        elif tag in ("param", "arg", "argument") and after:
+            name = after[0].strip("[],").split("=")[0].split(".")[0]
+            if _NAME.fullmatch(name):
+                out.params[name] = doc_type(raw)
     return out
 
 
