@@ -1,9 +1,12 @@
 """The three models: held-out accuracy, exact look-ups, defined cases; and the pipeline as a whole."""
 
+import collections
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftgraph.llm import lm_scoring as lm
@@ -123,23 +126,93 @@ def test_training_rows_of_a_repeated_id(spark):
     assert len(few) == len({r.doc_id for r in few}) == 10
 
 
+def test_lm_gradient():
+    rng = np.random.default_rng(2)
+    net = lm.Network(rng.integers(0, 50, lm.GROUPS * lm.MEMBERS), kind=np.float64)
+    net.flat += rng.normal(0, 0.1, len(net.flat))
+    window, target = rng.integers(0, lm.EDGE + 1, (30, 2 * lm.SIDE)), rng.integers(0, lm.RARE + 1, 30)
+    g = {}
+    net.forward(window, target, g)
+    rows = g.pop("rows")
+    for k, x in g.items():
+        full = np.zeros_like(net.part[k])
+        full[rows if k == "word" else slice(None)] = x
+        for at in rng.choice(np.flatnonzero(full), 5):
+            cell = net.part[k].reshape(-1)
+            old, ends = cell[at], []
+            for shift in (1e-5, -1e-5):
+                cell[at] = old + shift
+                ends.append(-net.forward(window, target).mean())
+            cell[at] = old
+            assert full.ravel()[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-9), k
+    every = np.arange(lm.RARE + 1)
+    assert np.exp(net.forward(np.repeat(window[:1], len(every), 0), every)).sum() == pytest.approx(1)
+
+
 def test_lm_scores(spark):
-    rows = [(1, "the cat sat on the mat"), (2, "the cat sat on the mat"), (3, None), (4, ""), (5, "zebra"), (6, "on mat the the sat cat")] + [(k, "the dog sat on the log") for k in range(10, 40)]
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 30))))) for k in range(40)]
+    rows += [(50, "The cat, the mat"), (51, "the cat the mat"), (52, None), (53, ""), (54, "zebra"), (None, "a b c"), (7, rows[7][1])]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, log_prob double")
-    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
-    classes, inner, table = lm.fitted(docs)
-    assert np.allclose(np.exp(table).sum(2), 1)
-    for i, t in rows:
-        w = Words([as_bytes(t, "all")], LETTER_DIGIT)
-        b = (w.hash >> np.uint64(48)).astype(int)
-        c = [lm.EDGE, *classes[b], lm.EDGE]
-        want = sum(table[c[k], c[k + 2], c[k + 1]] + inner[b[k]] for k in range(len(b)))
-        assert got[i].n_words == len(b) and got[i].log_prob == pytest.approx(want, abs=1e-9)
-    assert got[3].mean_log_prob is None and got[4].log_prob == 0
-    assert got[10].mean_log_prob > got[1].mean_log_prob
+    got = sorted((tuple(r) for r in lm.lm_scores(docs.repartition(3)).collect()), key=str)
+    source = docs.select("doc_id", F.lower("text").alias("text"), F.lit(None).cast("string").alias("rest"), F.lit(False).alias("copy"))
+    chunks = source.mapInArrow(lm._chunked(1 << 21), "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary").select("chunk", "ids", "lengths", "body")
+    known, index, outputs = lm.vocabulary_of(chunks)
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for _, t in rows]
+    assert sorted(outputs[outputs > 0].tolist()) == sorted(collections.Counter(sum(words, [])).values())
+    flat, rare = lm.trained(docs.selectExpr("0L AS chunk", "array(doc_id) AS ids", "array(0L) AS lengths", "text AS body").limit(0), known, index, outputs)
+    assert rare == 0 and len(flat) == len(lm.Network(outputs).flat)
+    # with an untrained network the rest can be told in plain Python
+    triples = [{(a, b, c) for a, b, c in zip(["<", *w], w, [*w[1:], ">"], strict=False)} for w in words]
+    count = collections.Counter(x for t in triples for x in t)
+    between = collections.Counter((a, c) for t in triples for a, _, c in t)
+    net = lm.Network(outputs)
+    real = lm.trained
+    lm.trained = lambda *_: (net.flat, 0)
+    try:
+        got = sorted((tuple(r) for r in lm.lm_scores(docs).collect()), key=str)
+    finally:
+        lm.trained = real
+    want = []
+    for (i, _), w, own in zip(rows, words, triples, strict=True):
+        t = lm.Texts([" ".join(w).encode()], known, index)
+        p = np.exp(net.forward(t.windows(), t.target)) if w else []
+        total = 0.0
+        for q, a, b, c in zip(p, ["<", *w], w, [*w[1:], ">"], strict=False):
+            total += np.log((count[a, b, c] - 1 + lm.KAPPA * q) / (between[a, c] - sum(x[0] == a and x[2] == c for x in own) + lm.KAPPA))
+        want.append((i, len(w), total, total / len(w) if w else None))
+    for g, x in zip(got, sorted(want, key=str), strict=True):
+        assert g[:2] == x[:2] and g[2] == pytest.approx(x[2], abs=1e-4) and (g[3] is None) == (x[3] is None)
     assert lm.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_network_learns(spark):
+    """Held-out texts of a language in which a word follows from its neighbours: far better than by word frequency."""
+    rng = np.random.default_rng(1)
+    names = [f"w{k}" for k in range(60)]
+
+    def text():
+        k, out = int(rng.integers(60)), []
+        for _ in range(80):
+            out.append(names[k])
+            k = (k + int(rng.choice([1, 7]))) % 60
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(k, text()) for k in range(1500)], "doc_id long, text string").coalesce(1)
+    source = docs.select("doc_id", "text", F.lit(None).cast("string").alias("rest"), F.lit(False).alias("copy"))
+    chunks = source.mapInArrow(lm._chunked(1 << 21), "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary").select("chunk", "ids", "lengths", "body")
+    known, index, outputs = lm.vocabulary_of(chunks)
+    monkey = lm.STEP
+    lm.STEP = 512  # as the texts are few
+    try:
+        flat, _ = lm.trained(chunks, known, index, outputs)
+    finally:
+        lm.STEP = monkey
+    held = lm.Texts([text().encode() for _ in range(50)], known, index)
+    net, unigram = lm.Network(outputs, flat), np.log(outputs / outputs.sum())[held.target].mean()
+    assert net.forward(held.windows(), held.target).mean() > unigram + 1.0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

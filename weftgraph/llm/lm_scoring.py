@@ -1,148 +1,335 @@
 """Document scores by masked pseudo-likelihood.
 
-Words fall into hashed buckets; the most frequent buckets are classes of their
-own, the others share classes. A network (embeddings of the class on the left and
-of the class on the right, a hidden layer, a softmax over classes) is trained in
-numpy to predict a masked word's class from both sides; within its class a word
-has its bucket's share of the corpus. A document's score is the sum of its
-words' conditional log-probabilities.
-
-Everything the network learns from is counted over all words of all documents:
-bucket counts, and the counts of (left, masked, right) classes, on which training
-is exact, since a gradient needs no more than them. Tasks send their own counts;
-their sums are bounded tables, whatever the input. As there are only
-CLASSES ** 2 contexts, the trained network is evaluated on all of them once and
-documents are scored by look-ups.
+Every word is masked in turn and predicted from both of its sides. A network
+reads a window of SIDE words on each side (shared embeddings, weighted by place,
+a hidden layer) and predicts the word by a two-level softmax over the most
+frequent words; the last output stands for all others, among which a word has its
+share of the corpus's document counts. It is trained in numpy on every word of
+every text: each task goes over its own texts once, by Adagrad, and the tasks'
+networks are averaged cell by cell (parallel SGD with averaging).
+
+What the corpus says of a pair of neighbours is counted too, as a table spread
+over hashed buckets that grows with the corpus: in how many documents (left, word,
+right) occurs, and how many different words documents have between (left, right).
+A word's probability is the network's, updated by these counts without the
+document's own: (c(left, word, right) + KAPPA * P_network) / (c(left, right) +
+KAPPA). Summed logarithms score a document.
+
+Neighbour pairs and words are told apart by hashes (30 and 18 bits within a bucket
+of about a million entries); words that share a hash share their counts.
 
 Defined cases: null, empty and wordless texts have no words and log_prob 0, mean
-null; rows that repeat count as often as they appear; a corpus without words
-scores nothing; other columns are ignored.
+null; rows that repeat are documents of their own; a corpus without words scores
+nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, as_bytes, batches
+from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, batches, mix
+from weftgraph.llm.store import dropped, written
+from weftgraph.llm.suffix_dedup import _chunked, _Chunk
+
+SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 64, 64
+#: Words with an output of their own; the last output is RARE. Other words enter by hash; EDGE lies outside a text.
+RARE = GROUPS * MEMBERS - 1
+HASHED = 4096
+EDGE = RARE + 1 + HASHED
+STEP, RATE, KAPPA = 16384, 0.1, 5.0
+ENTRIES_PER_BUCKET = 1_000_000
+
+
+class Network:
+    """The parameters, kept as one flat array so that tasks' networks can be averaged."""
+
+    SHAPES = {"word": (EDGE + 1, WIDTH), "place": (2 * SIDE, WIDTH), "bias": (WIDTH,), "group": (GROUPS, WIDTH), "group_bias": (GROUPS,), "member": (GROUPS * MEMBERS, WIDTH), "member_bias": (GROUPS * MEMBERS,)}
+
+    def __init__(self, counts: np.ndarray, flat: np.ndarray | None = None, kind=np.float32):
+        """counts: of the GROUPS * MEMBERS outputs, which the biases start from."""
+        sizes = [math.prod(s) for s in self.SHAPES.values()]
+        ends = np.cumsum(sizes)
+        self.flat = np.zeros(ends[-1], kind)
+        self.part = {k: self.flat[e - n : e].reshape(s) for (k, s), n, e in zip(self.SHAPES.items(), sizes, ends, strict=True)}
+        if flat is not None:
+            self.flat[:] = flat
+            return
+        rng = np.random.default_rng(5)
+        for k in ("word", "group", "member"):
+            self.part[k][:] = rng.normal(0, 0.1, self.SHAPES[k])
+        self.part["place"][:] = 1
+        smooth = counts.reshape(GROUPS, MEMBERS) + 0.5
+        self.part["group_bias"][:] = np.log(smooth.sum(1) / smooth.sum())
+        self.part["member_bias"][:] = np.log(smooth / smooth.sum(1, keepdims=True)).ravel()
+
+    def forward(self, window: np.ndarray, target: np.ndarray, gradient: dict | None = None) -> np.ndarray:
+        """log P of each target from its window of 2 * SIDE inputs; gradient: filled with that of the mean negative."""
+        p = self.part
+        seen = p["word"][window]
+        h = np.tanh(np.einsum("bpw,pw->bw", seen, p["place"]) + p["bias"])
+        z = h @ p["group"].T + p["group_bias"]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        group, at = target // MEMBERS, np.arange(len(target))
+        out = np.log(z[at, group])
+        if gradient is not None:
+            z[at, group] -= 1
+            gradient |= {"group": z.T @ h, "group_bias": z.sum(0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
+            dh = z @ p["group"]
+        order = np.argsort(group.astype(np.uint8), kind="stable")  # small numbers sort by radix
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for g in np.unique(group).tolist():
+            rows, own = order[cut[g] : cut[g + 1]], slice(g * MEMBERS, (g + 1) * MEMBERS)
+            y = h[rows] @ p["member"][own].T + p["member_bias"][own]
+            y -= y.max(1, keepdims=True)
+            np.exp(y, out=y)
+            y /= y.sum(1, keepdims=True)
+            inner = target[rows] % MEMBERS
+            out[rows] += np.log(y[np.arange(len(rows)), inner])
+            if gradient is not None:
+                y[np.arange(len(rows)), inner] -= 1
+                gradient["member"][own], gradient["member_bias"][own] = y.T @ h[rows], y.sum(0)
+                dh[rows] += y @ p["member"][own]
+        if gradient is not None:
+            dh *= 1 - h * h
+            gradient |= {"bias": dh.sum(0), "place": np.einsum("bw,bpw->pw", dh, seen)}
+            flat = window.ravel()
+            by = np.argsort(flat.astype(np.uint16), kind="stable")
+            first = np.flatnonzero(np.append(True, flat[by][1:] != flat[by][:-1]))
+            rows = (dh[:, None, :] * p["place"]).reshape(-1, WIDTH)[by]
+            gradient |= {"rows": flat[by][first], "word": np.add.reduceat(rows, first, axis=0)}
+            for k in gradient.keys() - {"rows"}:
+                gradient[k] = gradient[k] / len(target)
+        return out
+
+
+class Trainer:
+    """Adagrad steps from the common start; tells which cells it has moved."""
+
+    def __init__(self, counts: np.ndarray):
+        self.net = Network(counts)
+        self.start, self.square, self.seen = self.net.flat.copy(), Network(counts, 1e-3), 0
+
+    def step(self, window: np.ndarray, target: np.ndarray) -> None:
+        g: dict = {}
+        self.net.forward(window, target, g)
+        rows = g.pop("rows")
+        for k, x in g.items():
+            at = rows if k == "word" else slice(None)
+            x *= 100.0  # gradients of a mean are small beside the start of the squares
+            self.square.part[k][at] += x * x
+            self.net.part[k][at] -= np.float32(RATE) * x / np.sqrt(self.square.part[k][at])
+        self.seen += len(target)
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        cell = np.flatnonzero(self.net.flat != self.start)
+        return cell, self.net.flat[cell]
+
+
+class Texts:
+    """The words of some texts: hashes, outputs, windows of inputs, and the pairs of neighbours."""
+
+    def __init__(self, texts: list[bytes], known: np.ndarray, index: np.ndarray):
+        """known: sorted hashes of the words with outputs of their own; index: these outputs."""
+        self.words = w = Words(texts, LETTER_DIGIT)
+        h = w.hash
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        frequent = known[at] == h if len(known) else np.zeros(len(h), bool)
+        self.target = np.where(frequent, index[at] if len(known) else 0, RARE).astype(np.int64)
+        self.input = np.where(frequent, self.target, RARE + 1 + (h % U(HASHED)).astype(np.int64))
+        left, right = self.beside(h, -1, U(1)), self.beside(h, 1, U(2))
+        self.pair = mix(left * U(3) + mix(right, 4), 6)
+
+    def beside(self, values: np.ndarray, shift: int, edge) -> np.ndarray:
+        out = np.full(len(values), edge, values.dtype)
+        n = len(values) - abs(shift)
+        if n > 0:
+            a, b = (slice(0, n), slice(-shift, None)) if shift < 0 else (slice(shift, None), slice(0, n))
+            same = self.words.doc[a] == self.words.doc[b]
+            out[b] = np.where(same, values[a], edge)
+        return out
+
+    def windows(self) -> np.ndarray:
+        return np.column_stack([self.beside(self.input, s, EDGE) for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is counted once a document: (key, what) of (pair, word) and of (word, nothing), the entry of each word in either, and how many entries its document has of its pair."""
+        w = self.words
+        doc = mix(w.doc.astype(U), 21)
+        _, first, inverse = np.unique(mix(self.pair ^ mix(w.hash, 2)) ^ doc, return_index=True, return_inverse=True)
+        _, pairs, of_pair = np.unique(self.pair[first] ^ doc[first], return_index=True, return_inverse=True)
+        own = np.bincount(of_pair, minlength=len(pairs))[of_pair]
+        _, words, word_of = np.unique(w.hash ^ doc, return_index=True, return_inverse=True)
+        key = np.concatenate([self.pair[first], mix(w.hash[words], 31)])
+        what = np.concatenate([w.hash[first] & U((1 << 18) - 1), np.zeros(len(words), U)])
+        return key, what, inverse, len(first) + word_of, own[inverse]
+
+
+def _texts(chunk: _Chunk) -> list[bytes]:
+    return [chunk.body[b : b + n].tobytes() for b, n in zip(chunk.begin.tolist(), chunk.lengths.tolist(), strict=True)]
+
+
+def _chunk_texts(part: pa.RecordBatch) -> Iterator[tuple[int, list, list[bytes]]]:
+    for chunk, ids, lengths, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        yield chunk, ids, _texts(_Chunk(ids, lengths, [False] * len(ids), body))
+
 
-BUCKET_BITS, CLASSES, OWN = 16, 64, 31
-EDGE = 0  # the class before the first and after the last word
-WIDTH, HIDDEN, STEPS, RATE = 16, 32, 150, 0.03
+def _placed(key: np.ndarray, what: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, bucket, 48-bit value) of the entries, by bucket and value."""
+    bucket, value = (key % U(buckets)).astype(np.int64), ((key >> U(34)) << U(18)) | what
+    order = np.argsort(value)
+    order = order[np.argsort(bucket[order].astype(np.min_scalar_type(buckets)), kind="stable")]
+    return order, bucket[order], value[order]
 
 
-def _words(column: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
-    for batch in batches((as_bytes(x, "all") for x in column.to_pylist()), lambda x: len(x) + 1):
-        w = Words(batch, LETTER_DIGIT)
-        yield w, (w.hash >> U(64 - BUCKET_BITS)).astype(np.int64)
+def _planes(value: np.ndarray) -> bytes:
+    """Sorted values byte by byte of all, which compresses well."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
 
 
-def _counted(rows: DataFrame, count) -> np.ndarray:
-    """The sum over all tasks of the arrays that ``count`` makes of a text column's words; tasks send their non-zero cells."""
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=6 * n), np.uint8).reshape(6, n).T
+    return out.view(U).ravel()
+
+
+def _sent(vocabulary, buckets: int):
+    known, index = vocabulary.value[:2]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for part in parts:
-            for w, bucket in _words(part.column(0)):
-                one = count(w, bucket)
-                total = one if total is None else total + one
-        if total is not None:
-            cell = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
-
-    got = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(count(Words([]), np.zeros(0, np.int64)).size, np.int64)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out
-
-
-def classes_of(buckets: np.ndarray) -> np.ndarray:
-    """The class of each bucket, from the buckets' counts."""
-    order = np.lexsort((np.arange(len(buckets)), -buckets))
-    out = 1 + OWN + np.arange(len(buckets)) % (CLASSES - OWN - 1)
-    out[order[:OWN]] = 1 + np.arange(OWN)
-    return out
-
-
-def contexts(w: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes left and right of each word."""
-    left, right = np.full(len(classes), EDGE), np.full(len(classes), EDGE)
-    same = w.doc[1:] == w.doc[:-1]
-    left[1:][same], right[:-1][same] = classes[:-1][same], classes[1:][same]
-    return left, right
-
-
-def trained(counts: np.ndarray) -> np.ndarray:
-    """log P(class | left, right) as a (left, right, class) table, from the counts of such triples."""
-    n = counts.reshape(CLASSES * CLASSES, CLASSES)
-    seen = np.flatnonzero(n.any(1))  # the other contexts have no gradient
-    target = (n[seen] / max(1, n.sum())).astype(np.float32)
-    weight = target.sum(1, keepdims=True)
-    rng = np.random.default_rng(5)
-    start = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-    p = {"l": start(0.1, CLASSES, WIDTH), "r": start(0.1, CLASSES, WIDTH), "h": start(0.2, 2 * WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, np.float32), "o": start(0.1, HIDDEN, CLASSES)}
-    p["ob"] = np.log((n.sum(0) + 1) / (n.sum() + CLASSES)).astype(np.float32)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    sides = np.divmod(seen, CLASSES)
-    pick = [(np.arange(CLASSES)[:, None] == side).astype(np.float32) for side in sides]  # sums a gradient by class
-
-    def forward(left: np.ndarray, right: np.ndarray):
-        x = np.concatenate([p["l"][left], p["r"][right]], 1)
-        h = np.tanh(x @ p["h"] + p["hb"])
-        z = h @ p["o"] + p["ob"]
-        z -= z.max(1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    for step in range(1, STEPS + 1 if len(seen) else 1):
-        x, h, logp = forward(*sides)
-        dz = np.exp(logp) * weight - target
-        dh = (dz @ p["o"].T) * (1 - h * h)
-        dx = dh @ p["h"].T
-        grad = {"o": h.T @ dz, "ob": dz.sum(0), "h": x.T @ dh, "hb": dh.sum(0), "l": pick[0] @ dx[:, :WIDTH], "r": pick[1] @ dx[:, WIDTH:]}
-        for k, g in grad.items():
-            a, b = moment[k]
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.001) * (g * g - b)
-            p[k] -= np.float32(RATE / (1 - 0.9**step)) * a / (np.sqrt(b / np.float32(1 - 0.999**step)) + np.float32(1e-8))
-    return forward(*np.divmod(np.arange(CLASSES * CLASSES), CLASSES))[2].reshape(CLASSES, CLASSES, CLASSES).astype(np.float64)
-
-
-def fitted(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each bucket, log P(bucket | class), log P(class | left, right))."""
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    buckets = _counted(rows, lambda w, bucket: np.bincount(bucket, minlength=1 << BUCKET_BITS))
-    classes = classes_of(buckets)
-
-    def triples(w: Words, bucket: np.ndarray) -> np.ndarray:
-        c = classes[bucket]
-        left, right = contexts(w, c)
-        return np.bincount((left * CLASSES + right) * CLASSES + c, minlength=CLASSES**3)
-
-    table = trained(_counted(rows, triples))
-    smooth = buckets + 1.0
-    return classes, np.log(smooth / np.bincount(classes, smooth, CLASSES)[classes]), table
+            for chunk, _, texts in _chunk_texts(part):
+                key, what, *_ = Texts(texts, known, index).entries()
+                _, bucket, value = _placed(key, what, buckets)
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+                ends = np.append(cut[1:], len(bucket)).astype(int)[: len(cut)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), chunk)), pa.array(ends - cut), pa.array([_planes(value[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "chunk", "n", "values"])
 
+    return run
+
+
+def _counted(part: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk's entries of a bucket how often the entry and its key occur in all."""
+    sizes = part["n"].to_numpy()
+    value = np.concatenate([_from_planes(x, n) for x, n in zip(part["values"], sizes, strict=True)])
+    order = np.argsort(value, kind="stable")
+    s = value[order]
+    counts = np.empty((2, len(s)), "<u4")
+    for k, x in enumerate((s, s >> U(18))):
+        start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        n = np.diff(np.append(start, len(s)))
+        counts[k, order] = np.repeat(n, n)
+    ends = np.cumsum(sizes)
+    pack = zstandard.ZstdCompressor(level=1)
+    return pd.DataFrame({"chunk": part["chunk"], "bucket": part["bucket"], "counts": [pack.compress(np.ascontiguousarray(counts[:, e - n : e]).tobytes()) for e, n in zip(ends, sizes, strict=True)]})
 
-def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob), one row per row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, text))
+
+def _scored(vocabulary, network, buckets: int):
+    def run(_, chunks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        known, index, output_counts, rare = vocabulary.value
+        net = Network(output_counts, network.value)
+        counted = counted.sort_values("bucket")
+        out = []
+        for row in chunks.itertuples():
+            c = _Chunk(row.ids, row.lengths, [False] * len(row.ids), row.body)
+            t = Texts(_texts(c), known, index)
+            key, what, of_pair, of_word, own = t.entries()
+            order, _, _ = _placed(key, what, buckets)
+            raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4").reshape(2, -1) for x in counted["counts"]]
+            met = np.empty((2, len(order)), np.int64)
+            if raw:
+                met[:, order] = np.concatenate(raw, axis=1)
+            p, windows = np.empty(len(t.target)), t.windows()
+            for a in range(0, len(p), STEP):
+                p[a : a + STEP] = net.forward(windows[a : a + STEP], t.target[a : a + STEP])
+            share = np.where(t.target == RARE, met[0, of_word] / max(1, rare), 1.0)
+            p = np.exp(p) * share
+            p = (met[0, of_pair] - 1 + KAPPA * p) / (met[1, of_pair] - own + KAPPA)
+            total, n = np.bincount(t.words.doc, np.log(p), t.words.n), t.words.counts
+            out += [(None if i is None or i != i else int(i), int(k), float(x), float(x) / int(k) if k else None) for i, k, x in zip(row.ids, n, total, strict=True)]
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "log_prob", "mean_log_prob"]).astype({"doc_id": "Int64", "mean_log_prob": "Float64"})
+
+    return run
+
+
+def vocabulary_of(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the words with outputs of their own, these outputs, counts of all outputs); RARE words at most reach the driver."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, inner, table = sent.value
+        held, size = [], 0
+
+        def merged():
+            words, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return words, np.bincount(of, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+
+        def row(words, n):
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+        for part in parts:
+            for _, _, texts in _chunk_texts(part):
+                held.append(np.unique(Words(texts, LETTER_DIGIT).hash, return_counts=True))
+                size += len(held[-1][0])
+                if size > 4_000_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 2_000_000:
+                        yield row(*held[0])
+                        held, size = [], 0
+        if held:
+            yield row(*merged())
+
+    counts = written(chunks.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = counts.orderBy(F.col("n").desc(), "word").limit(RARE).collect()
+    words, n = np.array([r["word"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.int64)
+    outputs = np.append(n, np.zeros(GROUPS * MEMBERS - len(n), np.int64))
+    outputs[RARE] = (counts.agg(F.sum("n")).first()[0] or 0) - n.sum()
+    dropped(counts)
+    by = np.argsort(words)
+    return words[by], by, outputs
+
+
+def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the averaged network, document counts of all rare words together)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, rare = Trainer(outputs), 0
         for part in parts:
-            n, total = [], []
-            for w, bucket in _words(part.column(1)):
-                c = classes[bucket]
-                left, right = contexts(w, c)
-                n.append(w.counts)
-                total.append(np.bincount(w.doc, table[left, right, c] + inner[bucket], w.n))
-            n, total = np.concatenate(n or [np.zeros(0, int)]), np.concatenate(total or [np.zeros(0)])
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+            for _, _, texts in _chunk_texts(part):
+                t = Texts(texts, known, index)
+                w = t.words
+                few = t.target == RARE
+                rare += len(np.unique(w.hash[few] ^ mix(w.doc[few].astype(U), 21)))
+                windows = t.windows()
+                for a in range(0, len(t.target), STEP):
+                    trainer.step(windows[a : a + STEP], t.target[a : a + STEP])
+        if trainer.seen:
+            cell, value = trainer.moved()
+            cell, value = np.append(-1, cell), np.append(rare / trainer.seen, value.astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(value * trainer.seen), pa.array(np.full(len(cell), float(trainer.seen)))], ["cell", "total", "weight"])
+
+    rows = chunks.mapInArrow(run, "cell long, total double, weight double").groupBy("cell").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toPandas()
+    flat, one = Network(outputs).flat, rows["cell"] >= 0
+    flat[rows.loc[one, "cell"].to_numpy()] = (rows.loc[one, "total"] / rows.loc[one, "weight"]).to_numpy()
+    return flat, round(float(rows.loc[~one, "total"].sum()))
+
+
+def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob), one row per row of ``docs``."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"), F.lit(None).cast("string").alias("rest"), F.lit(False).alias("copy"))
+    chunks = written(source.mapInArrow(_chunked(1 << 21), "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary").select("chunk", "ids", "lengths", "body"))
+    known, index, outputs = vocabulary_of(chunks)
+    network, rare = trained(chunks, known, index, outputs)
+    buckets = min(1 << 24, max(8, math.ceil(1.5 * int(outputs.sum()) / ENTRIES_PER_BUCKET)))
+    vocabulary = spark.sparkContext.broadcast((known, index, outputs, rare))
+    counted = chunks.mapInArrow(_sent(vocabulary, buckets), "bucket long, chunk long, n long, values binary").groupBy("bucket").applyInPandas(_counted, "chunk long, bucket long, counts binary")
+    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, spark.sparkContext.broadcast(network), buckets), "doc_id long, n_words long, log_prob double, mean_log_prob double")
