@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, batches, mix
-from weftgraph.llm.store import dropped, written
+from weftgraph.llm.store import dropped, released, written
 from weftgraph.llm.suffix_dedup import _chunked, _Chunk
 
-SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 64, 64
+SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 32, 64
 #: Words with an output of their own; the last output is RARE. Other words enter by hash; EDGE lies outside a text.
 RARE = GROUPS * MEMBERS - 1
 HASHED = 4096
 EDGE = RARE + 1 + HASHED
-STEP, RATE, KAPPA = 16384, 0.1, 5.0
+STEP, RATE, KAPPA, BOUND = 16384, 0.1, 5.0, 4.0
 ENTRIES_PER_BUCKET = 1_000_000
 
 
@@ -75,37 +75,45 @@ class Network:
         p = self.part
         seen = p["word"][window]
         h = np.tanh(np.einsum("bpw,pw->bw", seen, p["place"]) + p["bias"])
-        z = h @ p["group"].T + p["group_bias"]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        group, at = target // MEMBERS, np.arange(len(target))
-        out = np.log(z[at, group])
+        own_group, out = target // MEMBERS, np.empty(len(target), h.dtype)
+        # the outputs' biases are weights of a unit that is always on; weights are kept within BOUND, so nothing overflows
+        on = np.column_stack([h, np.ones(len(h), h.dtype)])
+
+        def softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, wanted: np.ndarray):
+            """(log P of what is wanted, the gradient of the weights, of the biases, and of h)."""
+            full, at = np.column_stack([weights, bias]), np.arange(len(rows))
+            e = rows @ full.T
+            logit = e[at, wanted]
+            np.exp(e, out=e)
+            total = e.sum(1)
+            found = logit - np.log(total)
+            if gradient is None:
+                return found, None, None, None
+            e *= (1 / total)[:, None]
+            e[at, wanted] -= 1
+            back = e.T @ rows
+            return found, back[:, :-1], back[:, -1], e @ weights
+
+        out, group, group_bias, dh = softmax(on, p["group"], p["group_bias"], own_group)
         if gradient is not None:
-            z[at, group] -= 1
-            gradient |= {"group": z.T @ h, "group_bias": z.sum(0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
-            dh = z @ p["group"]
-        order = np.argsort(group.astype(np.uint8), kind="stable")  # small numbers sort by radix
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in np.unique(group).tolist():
+            gradient |= {"group": group, "group_bias": group_bias, "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
+        order = np.argsort(own_group.astype(np.uint8), kind="stable")  # small numbers sort by radix
+        cut = np.searchsorted(own_group[order], np.arange(GROUPS + 1))
+        for g in np.flatnonzero(np.diff(cut)).tolist():
             rows, own = order[cut[g] : cut[g + 1]], slice(g * MEMBERS, (g + 1) * MEMBERS)
-            y = h[rows] @ p["member"][own].T + p["member_bias"][own]
-            y -= y.max(1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(1, keepdims=True)
-            inner = target[rows] % MEMBERS
-            out[rows] += np.log(y[np.arange(len(rows)), inner])
+            found, member, bias, d = softmax(on[rows], p["member"][own], p["member_bias"][own], target[rows] % MEMBERS)
+            out[rows] += found
             if gradient is not None:
-                y[np.arange(len(rows)), inner] -= 1
-                gradient["member"][own], gradient["member_bias"][own] = y.T @ h[rows], y.sum(0)
-                dh[rows] += y @ p["member"][own]
+                gradient["member"][own], gradient["member_bias"][own] = member, bias
+                dh[rows] += d
         if gradient is not None:
             dh *= 1 - h * h
             gradient |= {"bias": dh.sum(0), "place": np.einsum("bw,bpw->pw", dh, seen)}
             flat = window.ravel()
             by = np.argsort(flat.astype(np.uint16), kind="stable")
             first = np.flatnonzero(np.append(True, flat[by][1:] != flat[by][:-1]))
-            rows = (dh[:, None, :] * p["place"]).reshape(-1, WIDTH)[by]
+            rows = dh[by // (2 * SIDE)]
+            rows *= p["place"][by % (2 * SIDE)]
             gradient |= {"rows": flat[by][first], "word": np.add.reduceat(rows, first, axis=0)}
             for k in gradient.keys() - {"rows"}:
                 gradient[k] = gradient[k] / len(target)
@@ -127,7 +135,8 @@ class Trainer:
             at = rows if k == "word" else slice(None)
             x *= 100.0  # gradients of a mean are small beside the start of the squares
             self.square.part[k][at] += x * x
-            self.net.part[k][at] -= np.float32(RATE) * x / np.sqrt(self.square.part[k][at])
+            new = self.net.part[k][at] - np.float32(RATE) * x / np.sqrt(self.square.part[k][at])
+            self.net.part[k][at] = new if k.endswith("bias") else np.clip(new, -BOUND, BOUND)
         self.seen += len(target)
 
     def moved(self) -> tuple[np.ndarray, np.ndarray]:
@@ -162,16 +171,27 @@ class Texts:
         return np.column_stack([self.beside(self.input, s, EDGE) for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What is counted once a document: (key, what) of (pair, word) and of (word, nothing), the entry of each word in either, and how many entries its document has of its pair."""
-        w = self.words
-        doc = mix(w.doc.astype(U), 21)
-        _, first, inverse = np.unique(mix(self.pair ^ mix(w.hash, 2)) ^ doc, return_index=True, return_inverse=True)
-        _, pairs, of_pair = np.unique(self.pair[first] ^ doc[first], return_index=True, return_inverse=True)
-        own = np.bincount(of_pair, minlength=len(pairs))[of_pair]
-        _, words, word_of = np.unique(w.hash ^ doc, return_index=True, return_inverse=True)
-        key = np.concatenate([self.pair[first], mix(w.hash[words], 31)])
-        what = np.concatenate([w.hash[first] & U((1 << 18) - 1), np.zeros(len(words), U)])
-        return key, what, inverse, len(first) + word_of, own[inverse]
+        """What is counted once a document: (key, what) of (pair, word) and of (rare word, nothing), the entry of each word and of each rare word, and how many entries its document has of each word's pair."""
+        h, n = self.words.hash, len(self.words.hash)
+        doc = mix(self.words.doc.astype(U), 21)
+        within = self.pair ^ doc
+        by = np.argsort(within)
+        start = np.flatnonzero(np.append(True, within[by][1:] != within[by][:-1])) if n else np.zeros(0, int)
+        size = np.diff(np.append(start, n))
+        single, own = by[start[size == 1]], np.ones(n, np.int64)
+        # only pairs that a document has more than once can repeat a word
+        more = by[np.repeat(size > 1, size)]
+        _, first, inverse = np.unique(mix(within[more]) ^ h[more], return_index=True, return_inverse=True)
+        _, of_pair, each = np.unique(within[more[first]], return_inverse=True, return_counts=True)
+        own[more] = each[of_pair][inverse]
+        entry = np.empty(n, np.int64)
+        entry[single], entry[more] = np.arange(len(single)), len(single) + inverse
+        at = np.append(single, more[first])
+        few = np.flatnonzero(self.target == RARE)
+        _, words, word_of = np.unique(h[few] ^ doc[few], return_index=True, return_inverse=True)
+        key = np.concatenate([self.pair[at], mix(h[few[words]], 31)])
+        what = np.concatenate([h[at] & U((1 << 18) - 1), np.zeros(len(words), U)])
+        return key, what, entry, len(at) + word_of, own
 
 
 def _texts(chunk: _Chunk) -> list[bytes]:
@@ -251,8 +271,8 @@ def _scored(vocabulary, network, buckets: int):
             p, windows = np.empty(len(t.target)), t.windows()
             for a in range(0, len(p), STEP):
                 p[a : a + STEP] = net.forward(windows[a : a + STEP], t.target[a : a + STEP])
-            share = np.where(t.target == RARE, met[0, of_word] / max(1, rare), 1.0)
-            p = np.exp(p) * share
+            p = np.exp(p)
+            p[t.target == RARE] *= met[0, of_word] / max(1, rare)
             p = (met[0, of_pair] - 1 + KAPPA * p) / (met[1, of_pair] - own + KAPPA)
             total, n = np.bincount(t.words.doc, np.log(p), t.words.n), t.words.counts
             out += [(None if i is None or i != i else int(i), int(k), float(x), float(x) / int(k) if k else None) for i, k, x in zip(row.ids, n, total, strict=True)]
@@ -329,7 +349,8 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     chunks = written(source.mapInArrow(_chunked(1 << 21), "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary").select("chunk", "ids", "lengths", "body"))
     known, index, outputs = vocabulary_of(chunks)
     network, rare = trained(chunks, known, index, outputs)
-    buckets = min(1 << 24, max(8, math.ceil(1.5 * int(outputs.sum()) / ENTRIES_PER_BUCKET)))
+    released(spark)
+    buckets = min(1 << 24, max(8, math.ceil(1.2 * int(outputs.sum()) / ENTRIES_PER_BUCKET)))
     vocabulary = spark.sparkContext.broadcast((known, index, outputs, rare))
     counted = chunks.mapInArrow(_sent(vocabulary, buckets), "bucket long, chunk long, n long, values binary").groupBy("bucket").applyInPandas(_counted, "chunk long, bucket long, counts binary")
     return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, spark.sparkContext.broadcast(network), buckets), "doc_id long, n_words long, log_prob double, mean_log_prob double")
