@@ -66,6 +66,15 @@ def test_near_duplicate_stage_and_empty_table(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_of_large_sets_are_exact():
+    n, shared = 395_820, 363_727  # 100 * shared >= 85 * union holds from 363,727 on
+    assert 100 * shared >= 85 * (n + n - 1 - shared) and 100 * (shared - 1) < 85 * (n + n - 1 - (shared - 1))
+    for k in (shared, shared - 1):
+        first, second = np.arange(n - 1), np.append(np.arange(k), np.arange(10**6, 10**6 + n - k))
+        doc, element = np.repeat([0, 1], [n - 1, n]), mix(np.concatenate([first, second]).astype(np.uint64))
+        assert near.linked(doc, element, 2, 85, 100).tolist() == ([0, 0] if k == shared else [0, 1])
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)

@@ -100,7 +100,7 @@ def linked(doc: np.ndarray, element: np.ndarray, n: int, num: int, den: int) ->
     """For each of n sets the smallest index of a set that it is linked with, directly or over others. Exact."""
     size = np.bincount(doc, minlength=n)
     values, column, df = np.unique(element, return_inverse=True, return_counts=True)
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n))  # a block of columns is exact in single precision, their sum needs double
     dense = np.flatnonzero(df > 12)
     place = np.full(len(values), -1)
     for at in range(0, len(dense), 2048):
@@ -121,7 +121,7 @@ def linked(doc: np.ndarray, element: np.ndarray, n: int, num: int, den: int) ->
         i, j = d[same], d[same + gap]
         np.add.at(common, (i, j), 1)
         np.add.at(common, (j, i), 1)
-    link = (den + num) * common >= num * (size[:, None] + size[None, :]).astype(np.float32)
+    link = (den + num) * common.astype(np.int64) >= num * (size[:, None] + size[None, :])
     link &= (size > 0)[:, None] & (size > 0)[None, :]
     label = np.arange(n)
     seen = size == 0
