@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import licenses
+from weftgraph.llm import decontaminate, licenses
 from weftgraph.llm.chat import chat_digests, format_chats, format_turns, parse, unescape
 from weftgraph.llm.decontaminate import contaminated, decontaminate_stage, tiles
 from weftgraph.llm.packing import CAPACITY, WordIds, pack_documents, pack_lengths
@@ -104,6 +104,24 @@ def test_decontamination(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_seeds_and_threshold_against_brute_force(monkeypatch):
+    """Whole matches(): every pair of texts and items, from the definition alone; with few pairs held at once."""
+    rng = random.Random(7)
+    for expanded in (4_000_000, 10):
+        monkeypatch.setattr(decontaminate, "EXPANDED", expanded)
+        items = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 14)))) for k in range(12)]
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 3, 20, 60]))) for _ in range(15)] + ["", items[3][1] + " x " + items[5][1]]
+        got = decontaminate.Items(items, 4).matches([t.encode() for t in texts], 0.6)
+        want = []
+        for t, text in enumerate(texts):
+            for i, (_, item) in enumerate(items):
+                found = plain_tiles(text.split(), item.split(), 4)
+                matched, m = sum(x[2] for x in found), len(item.split())
+                if m >= 4 and matched >= 0.6 * m:
+                    want.append((t, i, m, matched, len(found)))
+        assert sorted(got) == want and len(want) > 5
+
+
 def test_word_ids_equal_the_tokenizers():
     texts = ["", "  ", "don't I'm we'll 've's ŒUVRE Σίσυφος ΟΔΟΣ İstanbul ǅ ª º", "<|endoftext|> a<|startoftext|>b </w> x_y 12ab3 é Ａ \x1c\x1d a\x85b", "a...b ,, 'tis (hello) \"q\" **bold** don't. 1,000.50 naïve—dash …", "日本語 mix한국 ٣٤ ½ ²"]
     w = WordIds(TOKENIZER)

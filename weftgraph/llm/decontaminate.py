@@ -32,6 +32,8 @@ from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, _odd, as_bytes, batches
 LEAST = 4
 COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
+#: Pairs of a text's and a block's grams that are held at once, if one text alone has no more.
+EXPANDED = 4_000_000
 
 
 def _windows(tokens: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = w = Words([as_bytes(t, "all") for _, t in rows], LETTER_DIGIT)
         at, gram = w.grams(least)
+        self.in_order, self.ordered = at, gram
         order = np.argsort(gram, kind="stable")
         self.gram, self.at = gram[order], at[order]
         self.maybe = np.zeros(1 << 20, bool)
@@ -102,14 +105,30 @@ class Items:
         use = np.flatnonzero(self.maybe[gram & U((1 << 20) - 1)])
         at, gram = at[use], gram[use]
         lo, hi = np.searchsorted(self.gram, gram), np.searchsorted(self.gram, gram, side="right")
-        n = hi - lo
-        place = np.repeat(at, n)
-        other = self.at[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(n) else np.zeros(0, int)
-        pair = w.doc[place] * len(self.ids) + self.words.doc[other]
+        use = np.flatnonzero(hi > lo)
+        at, gram, lo, hi, doc = at[use], gram[use], lo[use], hi[use], w.doc[at[use]]
+        out = []
+        # each gram counts once a text, so a text makes at most as many pairs as the block has grams
+        start = np.searchsorted(doc, np.arange(w.n + 1))
+        pairs = np.append(0, np.cumsum(hi - lo))[start]
+        text = 0
+        while text < w.n:
+            to = max(text + 1, int(np.searchsorted(pairs, pairs[text] + EXPANDED, side="right")) - 1)
+            part = slice(start[text], start[to])
+            out += self._of(w, at[part], gram[part], lo[part], hi[part], coverage)
+            text = to
+        return out
+
+    def _of(self, w: Words, at: np.ndarray, gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+        once = np.sort(np.unique(mix(gram ^ mix(w.doc[at].astype(U), 5)), return_index=True)[1])
+        n = (hi - lo)[once]
+        doc = np.repeat(w.doc[at[once]], n)
+        other = self.at[np.repeat(lo[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else np.zeros(0, int)
+        pair = doc * len(self.ids) + self.words.doc[other]
         order = np.argsort(pair, kind="stable")
-        pair, place, other = pair[order], place[order], other[order]
+        pair, other = pair[order], other[order]
         cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, int)
-        out = []
+        out, of = [], w.doc[at]
         for a, b in zip(cut, np.append(cut, len(pair))[1:], strict=True):
             text, item = divmod(int(pair[a]), len(self.ids))
             first, m = self.words.first[item], int(self.words.counts[item])
@@ -117,7 +136,9 @@ class Items:
             seeded[((other[a:b] - first)[:, None] + np.arange(self.least)).ravel()] = True
             if seeded.sum() < coverage * m:
                 continue
-            near = np.unique(place[a:b][:, None] + np.arange(self.least))
+            own = slice(*np.searchsorted(of, [text, text + 1]))
+            place = at[own][np.isin(gram[own], self.gram_of(item))]
+            near = np.unique(place[:, None] + np.arange(self.least))
             gap = np.flatnonzero(np.diff(near) > 1) + 1  # runs of seeded tokens, a token that matches nothing between them
             tokens = np.insert(w.hash[near], gap, mix(np.arange(len(gap), dtype=U), 77))
             found = tiles(tokens, self.words.hash[first : first + m], self.least)
@@ -126,17 +147,22 @@ class Items:
                 out.append((text, item, m, matched, len(found)))
         return out
 
+    def gram_of(self, item: int) -> np.ndarray:
+        """The grams of one item."""
+        a, b = np.searchsorted(self.in_order, [self.words.first[item], self.words.first[item] + self.words.counts[item]])
+        return self.ordered[a:b]
+
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of bounded size; rows come over one partition at a time."""
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark in blocks of bounded size, one at a time: rows come over partition by partition, and a block is let go once it is broadcast."""
+    block, size = [], 0
     for i, text in benchmark.toLocalIterator():
         if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, text))
+            yield block
+            block, size = [], 0
+        block.append((i, text))
         size += len(text or "") + 50
-    return blocks
+    yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
@@ -160,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
 
         return source.mapInArrow(run, "doc_id long, item_id long, item_tokens long, matched_tokens long, n_tiles long, coverage double")
 
-    return reduce(DataFrame.unionByName, [found(b) for b in _blocks(benchmark.select("item_id", "text"))])
+    return reduce(DataFrame.unionByName, (found(b) for b in _blocks(benchmark.select("item_id", "text"))))
 
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
