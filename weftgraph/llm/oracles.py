@@ -86,7 +86,7 @@ lines AS (SELECT doc_id, host, text, line FROM (SELECT doc_id, host, text, unnes
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 norm AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM lines),
 hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-hot AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT text) AS n_docs FROM norm GROUP BY ALL) JOIN hosts USING (host) WHERE n_docs > 20 AND n_docs > 0.1 * n),
+hot AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT text) AS n_docs FROM norm GROUP BY ALL) JOIN hosts USING (host) WHERE n_docs > 10 AND n_docs > 0.005 * n),
 lost AS (SELECT doc_id, sum(len({_WORDS.format("line")})) AS n FROM norm JOIN hot USING (host, key) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words

@@ -3,7 +3,8 @@
 A line is normalised (lower case, white space runs to one space, trimmed) and
 hashed; for each host the distinct documents (by text) that hold it are
 counted. Lines in more than ``share`` of a host's documents, and in more than
-``least`` of them, are removed; a document that loses more than ``deplete`` of
+``least`` of them, are removed: boilerplate of a part of a host counts too, so the
+share is small, and the least keeps what a few documents of a small host quote; a document that loses more than ``deplete`` of
 its words is rejected, as is one that fails the base rules.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
@@ -22,6 +23,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -58,7 +60,11 @@ def _repeated(hashes: Column) -> Column:
         ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) < F.size(w), let(ordered, places)).otherwise(F.lit(0))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+    def doubled(h: Column, k: int) -> Column:
+        """Hashes of windows twice as long, from those of windows of k words."""
+        return F.zip_with(F.slice(h, F.lit(1), F.size(h) - k), F.slice(h, F.lit(k + 1), F.size(h) - k), lambda a, b: F.xxhash64(a, b))
+
+    windows = let(doubled(hashes, 1), lambda two: let(doubled(two, 2), lambda four: doubled(four, 4)))  # of WINDOW words
     return F.when(F.size(hashes) >= WINDOW, let(windows, of_windows)).otherwise(F.lit(0))
 
 
@@ -77,7 +83,7 @@ def with_metrics(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", share: float = 0.10, least: int = 20) -> DataFrame:
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", share: float = 0.005, least: int = 10) -> DataFrame:
     """One row per host that has such lines: host_key, and hot: the keys of its too frequent lines."""
     texts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"), F.col(text).alias("text"))
     rows = texts.select("host_key", "copy", F.explode(F.array_distinct(F.transform(lines(F.col("text")), line_key))).alias("line"))
@@ -88,13 +94,15 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", sh
     return written(hot.groupBy("host_key").agg(F.collect_set("line").alias("hot")))
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", share: float = 0.10, least: int = 20, deplete: float = 0.70) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", host: str = "source", share: float = 0.005, least: int = 10, deplete: float = 0.70) -> DataFrame:
     """docs with the metrics, n_lost_words (words in removed lines), kept, and clean_text.
 
     The hosts' lists are joined without a hint: their file size decides whether they are broadcast.
     """
     hot = frequent_lines(docs, text, host, share, least).withColumnRenamed("host_key", "_host").withColumnRenamed("hot", "_hot")
-    out = with_metrics(docs, text).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(hot, "_host", "left")
+    # a host may have a third of all rows: its documents are dealt over SALTS shares, each with a copy of the list
+    hot = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = with_metrics(docs, text).withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_salt": F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int")}).join(hot, ["_host", "_salt"], "left").drop("_salt")
     all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     rest = F.filter(all_lines, lambda x: ~(x.rlike(HAS_WORD) & F.array_contains("_hot", line_key(x))))
     cut = let(rest, lambda r: F.when(F.size(r) < F.size(all_lines), F.array_join(r, "\n")))
@@ -105,7 +113,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", share: flo
 
 
 def quality_stage(docs: DataFrame, **params) -> DataFrame:
-    """The documents that pass, without their too frequent lines, in the columns of ``docs``."""
+    """The documents that pass, without their too frequent lines, in the columns of ``documents`` (others are dropped)."""
     out = judged(docs.select("doc_id", "text", "lang", "source", "n_chars"), **params)
     # the row number keeps the filter above the metrics, which would else be computed twice
     out = out.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
