@@ -52,6 +52,8 @@ def test_usernames(spark):
     emails = ["sam@a.com", "sam@b.com", "x@c.com", "sam2@d.com", "SAM@e.com"]
     users = catalog.evolved(spark.createDataFrame(list(enumerate(emails)), "id int, email string"), S.USERS)
     assert [r.username for r in catalog.backfilled_usernames(users).orderBy("id").collect()] == ["sam", "sam2", "user", "sam22", "SAM3"]
+    some = spark.createDataFrame([(1, "sam@x.org", None), (2, "kim@x.org", "sam"), (3, "sam@y.org", None), (4, "boss@x.org", "Boss")], "id int, email string, username string")
+    assert {r.id: r.username for r in catalog.backfilled_usernames(some).collect()} == {1: "sam2", 2: "sam", 3: "sam3", 4: "Boss"}
 
 
 def test_relationships(spark):

@@ -128,20 +128,24 @@ def username_base(email: Column | str) -> Column:
 
 
 def backfilled_usernames(users: DataFrame) -> DataFrame:
-    """Usernames from the emails of accounts that have none, in the order of ids.
+    """Usernames from the emails of accounts that have none, in the order of ids; usernames that are there stay and count as taken.
 
     Bases that no other row can reach are settled by a window; the others (a
     base that looks like another with a number, or was cut) are few, share a
     prefix, and go through a fold per prefix.
     """
-    rows = users.withColumn("base", username_base("email"))
+    own = F.col("username") if "username" in users.columns else F.lit(None).cast("string")
+    rows = users.withColumn("kept", own.isNotNull()).withColumn("base", F.coalesce(own, username_base("email")))
     # names of one stem - the base without a numeric tail, and short enough to take a number - can only meet each other
     rows = rows.withColumn("stem", F.regexp_replace(F.lower(F.substring("base", 1, 20)), "[0-9]+$", ""))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        taken, next_of, names = set(), {}, []
-        for base in part["base"]:
+        part = part.sort_values(["kept", "id"], ascending=[False, True])
+        taken, next_of, names = set(part.loc[part["kept"], "base"].str.lower()), {}, []
+        for base, kept in zip(part["base"], part["kept"], strict=True):
+            if kept:
+                names.append(base)
+                continue
             name, k = base, next_of.get(base.lower(), 1)
             while name.lower() in taken:
                 k += 1
@@ -154,7 +158,7 @@ def backfilled_usernames(users: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("stem"))
     rows = rows.withColumn("n", n)
     alone = rows.where("n = 1").select("id", F.col("base").alias("username"))
-    shared = rows.where("n > 1").select("id", "stem", "base").groupBy("stem").applyInPandas(fold, "id int, username string")
+    shared = rows.where("n > 1").select("id", "stem", "base", "kept").groupBy("stem").applyInPandas(fold, "id int, username string")
     return users.drop("username").join(alone.unionByName(shared), "id")
 
 

@@ -140,8 +140,8 @@ def first_assigned(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def reconciled(names: DataFrame, key: str = "doc_id", column: str = "name") -> DataFrame:
     """Spellings of a name that differ in case only become the one with fewest capitals (the first of equals)."""
-    best = names.groupBy(key, F.lower(column).alias("_low")).agg(F.min_by(column, F.struct(capitals(column), "ord", column)).alias("_best"))
-    return names.withColumn("_low", F.lower(column)).join(best, [key, "_low"]).withColumn(column, F.col("_best")).drop("_low", "_best")
+    w = Window.partitionBy(key, F.lower(column)).orderBy(capitals(column), "ord", column)
+    return names.withColumn(column, F.first(column).over(w))
 
 
 def standard_imports(types: DataFrame, table: dict[str, str], key: str = "doc_id") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import schemas as S
 from weftgraph.extract import tables
-from weftgraph.functions import phrasing, text
+from weftgraph.functions import text
 from weftgraph.operators import catalog, edits, flow, graph, relate, routing, spatial, validate
 from weftgraph.render import codegen, mermaid
 
@@ -195,14 +195,14 @@ def overlap_pairs(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT source AS doc_id, doc_id AS ord, unnest(string_split_regex(text, '[^A-Za-z]+')) AS name FROM documents), n AS (SELECT doc_id, name, min(ord) AS ord FROM t WHERE name <> '' GROUP BY ALL),"
-    " k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY length(regexp_replace(name, '[^A-Z]', '', 'g')), ord, name) AS r FROM n)"
-    " SELECT n.doc_id, n.ord, k.name FROM n JOIN k ON k.doc_id = n.doc_id AND lower(k.name) = lower(n.name) AND k.r = 1"
+    "WITH t AS (SELECT source AS doc_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS name, doc_id AS ord FROM documents), n AS (SELECT doc_id, name, min(ord) AS ord FROM t WHERE name <> '' GROUP BY ALL),"
+    " k AS (SELECT doc_id, ord, name AS spelling, first_value(name) OVER (PARTITION BY doc_id, lower(name) ORDER BY length(regexp_replace(name, '[^A-Z]', '', 'g')), ord, name) AS name FROM n) SELECT doc_id, ord, spelling, name FROM k WHERE spelling <> name"
 )
 def name_reconciliation(spark, sf_dir):
-    """Spellings that differ in case only become one."""
+    """Spellings that differ in case only become one; the rows whose spelling changes."""
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.explode(F.split("text", "[^A-Za-z]+")).alias("name"))
-    return relate.reconciled(rows.where("name != ''").groupBy("doc_id", "name").agg(F.min("ord").alias("ord"))).select("doc_id", "ord", "name")
+    names = rows.where("name != ''").groupBy("doc_id", "name").agg(F.min("ord").alias("ord")).withColumn("spelling", F.col("name"))
+    return relate.reconciled(names).where("spelling != name").select("doc_id", "ord", "spelling", "name")
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(replace(replace(replace(text, '—', '-'), '–', '-'), '·', '.'), '\s+', ' ', 'g')) AS label FROM documents")
@@ -224,10 +224,19 @@ def plural_names(spark, sf_dir):
     return words.select("word", text.plural("word").alias("plural"), text.singular("word").alias("singular"))
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN t IN ('yes', 'y', 'true', 't') THEN 'yes' WHEN t IN ('no', 'n', 'false', 'f') THEN 'no' ELSE '' END AS guard FROM (SELECT conv_id, turn, regexp_replace(lower(left(text, 3)), '[^a-z]', '', 'g') AS t FROM conversations)")
+@query(r"SELECT word, CASE WHEN t IN ('yes', 'y', 'true', 't') THEN 'yes' WHEN t IN ('no', 'n', 'false', 'f') THEN 'no' ELSE '' END AS guard FROM (SELECT DISTINCT word, regexp_replace(lower(word), '[^a-z]', '', 'g') AS t FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM conversations)) WHERE word <> ''".replace("\\\\", "\\"))
 def guard_exact(spark, sf_dir):
-    """F10, known tokens only."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.guard_exact(F.substring("text", 1, 3)).alias("guard"))
+    """every word as a guard, by the known tokens."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"\s+")).alias("word")).where("word != ''").distinct()
+    return words.select("word", text.guard_exact("word").alias("guard"))
+
+
+@query("SELECT doc_id, guard FROM (SELECT o_orderkey AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'yes' WHEN '2-HIGH' THEN 'no' WHEN '3-MEDIUM' THEN 'yes' WHEN '4-NOT SPECIFIED' THEN '' ELSE 'no' END AS guard FROM orders)")
+def guard_misread(spark, sf_dir):
+    """known tokens, near ones (ves, nno) and others, one for each priority."""
+    p = F.col("o_orderpriority")
+    said = F.when(p == "1-URGENT", " Yes.").when(p == "2-HIGH", "[F]").when(p == "3-MEDIUM", "ves").when(p == "4-NOT SPECIFIED", "quantity").otherwise("nno")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.guard(said).alias("guard"))
 
 
 @query("SELECT n_regionkey AS doc_id, '    ' || r_name || ' \"1\" *-- \"*\" ' || n_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -255,15 +264,6 @@ def port_spreading(spark, sf_dir):
     return spatial.ports(ends).select("box", "side", "edge", "fraction")
 
 
-_PHRASES = [("int z = y * 2", "Calculate z"), ("this.items.push(item)", "Add item to items"), ("return a / b", "Return result"), ("pass", "Do nothing"), ("count += 1", "Increase count"), ("i++", "Increase i"), ("const cart = new CartItem(1)", "Create CartItem"), ('print("Cart is empty.")', 'Print "Cart is empty."'), ("raise ValueError('x')", "Raise ValueError"), ("x ? y", "x ? y")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in p)) for p in _PHRASES) + ") t(statement, phrase)")
-def phrase_goldens(spark, sf_dir):
-    """F11 on literal statements: golden rows, not a computation of the SQL's own."""
-    return spark.createDataFrame([(s,) for s, _ in _PHRASES], "statement string").select("statement", phrasing.phrase("statement").alias("phrase"))
-
-
 def _values(rows: list[tuple], names: str) -> str:
     """Golden rows as SQL: they state what is expected, they don't compute it."""
     cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
@@ -347,17 +347,21 @@ def domain_violations(spark, sf_dir):
     return validate.outside_domain(rows, "status", ("F", "O"))
 
 
+_DAYS = "SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', ts::DATE) AS doc_id, event_type AS source, lead(event_type) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS target FROM events"
+
+
 @query(
-    f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE (length(source) + length(target) + user_id) % 3 = 0), n AS (SELECT DISTINCT user_id, event_type AS id FROM events), s AS (SELECT user_id, min(id) AS id FROM n GROUP BY user_id),"
-    " r AS (SELECT user_id, id FROM s UNION SELECT r.user_id, e.target FROM r JOIN e ON e.user_id = r.user_id AND e.source = r.id) SELECT n.user_id AS doc_id, n.id FROM n ANTI JOIN r ON r.user_id = n.user_id AND r.id = n.id"
+    f"WITH RECURSIVE d AS ({_DAYS}), e AS (SELECT DISTINCT * FROM d WHERE target IS NOT NULL), n AS (SELECT DISTINCT doc_id, source AS id FROM d), s AS (SELECT doc_id, min(id) AS id FROM n GROUP BY doc_id),"
+    " r AS (SELECT doc_id, id FROM s UNION SELECT r.doc_id, e.target FROM r JOIN e ON e.doc_id = r.doc_id AND e.source = r.id) SELECT n.doc_id, n.id FROM n ANTI JOIN r ON r.doc_id = n.doc_id AND r.id = n.id"
 )
 def flow_unreachable(spark, sf_dir):
-    """Nodes that the start (a user's first event type by name) doesn't lead to."""
-    nodes, edges = _flow(spark, sf_dir)
-    edges = edges.where((F.length("source") + F.length("target") + F.col("doc_id")) % 3 == 0)
-    starts = nodes.groupBy("doc_id").agg(F.min("id").alias("_first"))
-    nodes = nodes.join(starts, "doc_id").withColumn("type", F.when(F.col("id") == F.col("_first"), "start").otherwise("action")).drop("_first")
-    return graph.unreachable(nodes, edges).select("doc_id", "id")
+    """Nodes of a user's day that its start (the first event type by name) doesn't lead to."""
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    steps = table(spark, sf_dir, "events").select((F.col("user_id") * 100000 + day).alias("doc_id"), F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
+    starts = Window.partitionBy("doc_id")
+    nodes = steps.select("doc_id", F.col("source").alias("id")).distinct().withColumn("type", F.when(F.col("id") == F.min("id").over(starts), "start").otherwise("action"))
+    return graph.unreachable(nodes, steps.where("target is not null").distinct()).select("doc_id", "id")
 
 
 @query(
@@ -380,3 +384,6 @@ def class_parents(spark, sf_dir):
     d = c.select("doc_id", F.col("id").alias("destination"))
     e = c.select("doc_id", F.col("id").alias("source")).join(d, "doc_id").where("destination < source").select("doc_id", "source", "destination", F.lit("inheritance").alias("type"), F.col("destination").alias("ord"))
     return relate.parents(c, e).select("doc_id", "id", "parent", F.array_join("interfaces", ", ").alias("interfaces"))
+
+
+from weftgraph.plans import more as more  # noqa: E402  registers its queries

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -15,9 +16,18 @@ def _own() -> str:
     return tempfile.mkdtemp(prefix="weftgraph-")
 
 
+def base_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster; only a session that runs on one machine, as in tests, may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return base or _own()
+
+
 def persisted(df: DataFrame) -> DataFrame:
+    """Written once and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
+    base = base_folder(spark)
     path, schema = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
