@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@cache
-def _own() -> str:
-    return tempfile.mkdtemp(prefix="weftgraph-")
+from weftgraph.sources.scratch import base_folder
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder; only where the setting is missing (tests) a local one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
-    return f"{base.rstrip('/')}/weftgraph-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{base_folder(spark).rstrip('/')}/weftgraph-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,8 +36,3 @@ def dropped(df: DataFrame) -> None:
     jvm = df.sparkSession.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._weft_path)
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of the input in bytes: file sizes for tables that are read from files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
