@@ -9,7 +9,7 @@ from weftgraph.llm.decontaminate import decontaminate_stage
 from weftgraph.llm.near_duplicates import near_duplicate_stage
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality_rules import quality_stage
-from weftgraph.llm.store import written
+from weftgraph.llm.store import dropped, written
 from weftgraph.llm.suffix_dedup import suffix_dedup_stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
