@@ -1,6 +1,7 @@
 """The three models: held-out accuracy, exact look-ups, defined cases; and the pipeline as a whole."""
 
 import collections
+import pathlib
 import re
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftgraph.llm import lm_scoring as lm
-from weftgraph.llm import toxicity
+from weftgraph.llm import quality_classifier, toxicity
 from weftgraph.llm.arrays import LETTER_DIGIT, Words, as_bytes, mix
 from weftgraph.llm.labelled import training_rows
 from weftgraph.llm.quality_classifier import quality_scores
@@ -114,6 +115,12 @@ def test_training_rows_pass_over_what_does_not_fit(spark):
             assert training_rows(docs, labels, "quality", 20, 10 * len(ids) - 1).count() == 20
 
 
+def test_documented_bounds_are_the_codes():
+    said = re.sub(r"\s+", " ", (pathlib.Path(__file__).parents[2] / "README.md").read_text())
+    q, t = quality_classifier, toxicity
+    assert f"at most {q.PER_CLASS:,} (quality) and {t.PER_CLASS:,} (toxicity) rows of each class and {q.MAX_CHARS:,} and {t.MAX_CHARS:,} characters" in said
+
+
 def test_training_rows_of_a_repeated_id(spark):
     ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
     hot = ids[0]
