@@ -104,6 +104,16 @@ def test_decontamination(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_without_spaces(spark):
+    """Scripts without spaces are matched by the character, and punctuation of any script parts words."""
+    item = "\u5317\u4eac\u7684\u79cb\u5929\u5929\u6c14\u51c9\u723d\uff0c\u5f88\u9002\u5408\u51fa\u53bb\u8d70\u8d70\u3002"
+    thai = "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e0a\u0e32\u0e27\u0e42\u0e25\u0e01"
+    docs = spark.createDataFrame([(1, "\u6628\u5929\u6211\u8bf4" + item + "\u4f60\u5462"), (2, item[9:] + item[:9]), (3, "\u660e\u5929\u4f1a\u4e0b\u5927\u96e8"), (4, "x" + thai + "y"), (5, "\u00abIl \u00e9tait\u2014une fois\u00bb"), (6, "il \u00e9tait une fin")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, thai), (3, "il \u00e9tait une fois")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in contaminated(docs, bench).collect()) == [(1, 1, 1.0), (2, 1, 1.0), (4, 2, 1.0), (5, 3, 1.0)]
+    assert {r.doc_id for r in decontaminate_stage(docs, bench).collect()} == {3, 6}
+
+
 def test_seeds_and_threshold_against_brute_force(monkeypatch):
     """Whole matches(): every pair of texts and items, from the definition alone; with few pairs held at once."""
     rng = random.Random(7)

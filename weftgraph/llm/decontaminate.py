@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items become token hashes (lower case, runs of letters and
-digits). Grams of ``least`` tokens that a document shares with an item are
+Texts and benchmark items become token hashes: lower case, runs of letters and
+digits; in scripts that put no spaces between words (Chinese, Japanese, Thai) each
+character is a token, and punctuation of any script parts tokens. Grams of ``least`` tokens that a document shares with an item are
 seeds; a pair whose seeds can't reach the threshold is dropped (a tile consists
 of seeds, so none is lost). Then the longest runs of tokens that are still
 unmarked on both sides are found by running Karp-Rabin hashes and marked,
@@ -13,12 +14,13 @@ The benchmark is broadcast in blocks of at most BLOCK_BYTES, each with its own
 pass over the documents, so its size is bounded wherever it is sent.
 
 Defined cases: null or empty texts and items match nothing, nor do items of fewer
-than ``least`` tokens; rows are judged one by one, so repeats each appear; rows
+than ``least`` tokens (so few words are no evidence); rows are judged one by one, so repeats each appear; rows
 with a null doc_id are judged too; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,6 +37,17 @@ BLOCK_BYTES = 16 << 20
 #: Pairs of a text's and a block's grams that are held at once, if one text alone has no more.
 EXPANDED = 4_000_000
 
+#: Characters of scripts written without spaces, and punctuation and signs beyond ASCII.
+ALONE = re.compile("[\u0e01-\u0e4e\u3005-\u3007\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0e4f-\u0e5b\u2000-\u2bff\u3000-\u3004\u3008-\u303f\ufe10-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
+def _plain(text: str | None) -> bytes:
+    """Lower-case UTF-8 in which every token is a run of letters and digits."""
+    if text and not text.isascii():
+        text = ALONE.sub(r" \g<0> ", PARTING.sub(" ", text))
+    return as_bytes(text, "all")
+
 
 def _windows(tokens: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, running hash) of the windows without a marked token."""
@@ -89,7 +102,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]], least: int):
         self.ids = [i for i, _ in rows]
-        self.words = w = Words([as_bytes(t, "all") for _, t in rows], LETTER_DIGIT)
+        self.words = w = Words([_plain(t) for _, t in rows], LETTER_DIGIT)
         at, gram = w.grams(least)
         self.in_order, self.ordered = at, gram
         order = np.argsort(gram, kind="stable")
@@ -175,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, least)
             for part in parts:
-                rows = zip(part.column(0).to_pylist(), (as_bytes(x, "all") for x in part.column(1).to_pylist()), strict=True)
+                rows = zip(part.column(0).to_pylist(), map(_plain, part.column(1).to_pylist()), strict=True)
                 for batch in batches(rows, lambda r: len(r[1]) + 1):
                     hits = items.matches([x for _, x in batch], coverage)
                     cols = list(zip(*hits, strict=True)) or [[]] * 5
@@ -200,7 +213,7 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, least: int = LEAS
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 keep = np.ones(part.num_rows, bool)
                 at = 0
-                for batch in batches((as_bytes(x, "all") for x in texts), lambda x: len(x) + 1):
+                for batch in batches(map(_plain, texts), lambda x: len(x) + 1):
                     for hit in items.matches(batch, coverage):
                         keep[at + hit[0]] = False
                     at += len(batch)
