@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.routing import components
+from weftgraph.sources.scratch import persisted
 
 # Fixed values. Grey levels that are ink at least and at most; darker cuts tried when fills count as ink; share of a page that is a fill.
 INK_FLOOR, INK_CEILING = 200, 225
@@ -167,6 +168,7 @@ def measures(found: DataFrame) -> DataFrame:
 
 def class_boxes(found: DataFrame) -> DataFrame:
     """(doc_id, x, y, w, h, dividers): rules of one extent, each joined to the next below it by both sides."""
+    found = persisted(found)  # read several times; the images are gone through once
     m = measures(found.where("layer = 'rule'")).where(F.col("h") <= STROKE_THICKNESS)
     rule = m.select("doc_id", "piece", F.col("x").alias("a"), (F.col("x") + F.col("w")).alias("b"), (F.col("y") + F.floor(F.col("h") / 2)).alias("at"))
     bucket = lambda r: r.withColumn("cell", F.floor(F.col("a") / (2 * EXTENT_TOLERANCE)))
@@ -196,6 +198,7 @@ def activity_shapes(found: DataFrame) -> DataFrame:
     A figure is told by the share of its bounds that it fills; what encloses the
     centre of a smaller one is a loop of lines and no figure.
     """
+    found = persisted(found)  # read several times; the images are gone through once
     white = measures(found.where("layer = 'blank'"))
     least = F.least("w", "h")
     small = (F.col("hull") < HOLE_AREA) | (least < HOLE_SIDE)

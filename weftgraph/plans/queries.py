@@ -386,4 +386,5 @@ def class_parents(spark, sf_dir):
     return relate.parents(c, e).select("doc_id", "id", "parent", F.array_join("interfaces", ", ").alias("interfaces"))
 
 
+from weftgraph.plans import drawings as drawings  # noqa: E402  registers its queries
 from weftgraph.plans import more as more  # noqa: E402  registers its queries
