@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import pixels
+from weftgraph.operators import connectors, pixels
 from weftgraph.plans.queries import query, table
 from weftgraph.render import raster
 
@@ -58,3 +58,25 @@ def class_boxes_read_back(spark, sf_dir):
     pages = raster.drawn(boxes, boxes.selectExpr("doc_id", "ord", "ord AS source", "ord AS target").limit(0))
     found = pixels.class_boxes(pixels.runs(pages, coloured=False, layers=("rule", "side")))
     return found.select("doc_id", (F.col("x") - raster.MARGIN).cast("int").alias("x"), (F.col("y") - raster.MARGIN).cast("int").alias("y"), F.col("w"), F.col("h").cast("int").alias("h"), F.size("dividers").alias("dividers"))
+
+
+_STYLES = [("arrow", False), ("arrow", True), ("triangle", False), ("triangle", True), ("hollow_diamond", False), ("filled_diamond", False)]
+
+
+@query(
+    "SELECT n_nationkey::BIGINT AS doc_id, (CASE WHEN k IN (4, 5) THEN 1 ELSE 0 END)::BIGINT AS source, (CASE WHEN k IN (4, 5) THEN 0 ELSE 1 END)::BIGINT AS target, k IN (1, 3) AS dashed,"
+    " CASE k WHEN 0 THEN 'association' WHEN 1 THEN 'dependency' WHEN 2 THEN 'inheritance' WHEN 3 THEN 'realization' WHEN 4 THEN 'aggregation' ELSE 'composition' END AS type"
+    " FROM (SELECT n_nationkey, (n_nationkey + n_regionkey) % 6 AS k FROM nation)"
+)
+def relationships_read_back(spark, sf_dir):
+    """A relationship per page, drawn with its marker and dashes, found by the ink between the boxes."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), ((F.col("n_nationkey") + F.col("n_regionkey")) % 6).alias("k"), (F.col("n_nationkey") % 2 == 0).alias("down"))
+    away = lambda on, by: F.when(on, by).otherwise(0.0)
+    box = lambda k, x, y: rows.select("doc_id", F.lit(k).alias("ord"), F.lit("action").alias("kind"), x.alias("x"), y.alias("y"), F.lit(90.0).alias("w"), F.lit(60.0).alias("h"))
+    boxes = box(0, F.lit(0.0), F.lit(0.0)).unionByName(box(1, away(~F.col("down"), 240.0), away(F.col("down"), 210.0)))
+    style = F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(d).alias("dashed")) for m, d in _STYLES])[F.col("k")]
+    edges = rows.select("doc_id", F.lit(0).alias("ord"), F.lit(0).alias("source"), F.lit(1).alias("target"), style["marker"].alias("marker"), style["dashed"].alias("dashed"))
+    pages = raster.drawn(boxes, edges)
+    placed = boxes.select("doc_id", "ord", (F.col("x") + raster.MARGIN).alias("x"), (F.col("y") + raster.MARGIN).alias("y"), "w", "h")
+    found = connectors.connectors(pages, placed, reach=int(raster.EDGE_GAP) + 4)
+    return found.select("doc_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "dashed", "type")

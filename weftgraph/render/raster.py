@@ -19,6 +19,8 @@ from weftgraph.functions.geometry import anchor
 
 # Fixed values of the drawing: margin, stroke width, and the gap between a box and its line.
 MARGIN, STROKE, EDGE_GAP = 60, 3, 14.0
+#: Markers at the ends of lines: length of a triangle or arrow, of a diamond, half width; a dash and the gap behind it.
+HEAD, DIAMOND, HALF_WIDTH, DASH, DASH_GAP = 18, 24, 9, 9, 6
 #: Sides beyond this are refused, as one drawing is rasterised in one task.
 MOST_SIDE = 16_384
 WHITE = 255
@@ -34,12 +36,16 @@ def _apart(x: Column, y: Column, tx: Column, ty: Column, w: Column, h: Column) -
 
 
 def lines(edges: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ord, x1, y1, x2, y2) for edges (ord, source, target) between boxes (ord, x, y, w, h); an edge without both boxes is left out."""
+    """(key, ord, x1, y1, x2, y2, marker, dashed) for edges (ord, source, target) between boxes (ord, x, y, w, h); an edge without both boxes is left out.
+
+    Columns marker (at the target) and dashed may be missing: plain lines.
+    """
+    style = [(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in (("marker", "string"), ("dashed", "boolean"))]
     end = lambda p: boxes.select(key, F.col("ord").alias({"a": "source", "b": "target"}[p]), (F.col("x") + F.col("w") / 2).alias(f"{p}x"), (F.col("y") + F.col("h") / 2).alias(f"{p}y"), F.col("w").alias(f"{p}w"), F.col("h").alias(f"{p}h"))
-    met = edges.select(key, "ord", "source", "target").join(end("a"), [key, "source"]).join(end("b"), [key, "target"])
+    met = edges.select(key, "ord", "source", "target", *style).join(end("a"), [key, "source"]).join(end("b"), [key, "target"])
     c = {n: F.col(n) for n in ("ax", "ay", "aw", "ah", "bx", "by", "bw", "bh")}
     met = met.withColumn("p", _apart(c["ax"], c["ay"], c["bx"], c["by"], c["aw"], c["ah"])).withColumn("q", _apart(c["bx"], c["by"], c["ax"], c["ay"], c["bw"], c["bh"]))
-    return met.select(key, "ord", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+    return met.select(key, "ord", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"), "marker", "dashed")
 
 
 def png(grey: np.ndarray) -> bytes:
@@ -76,16 +82,44 @@ def _draw(page: np.ndarray, kind: str, x: float, y: float, w: float, h: float) -
     page[y0:y1, x0:x1][ink] = 0
 
 
-def _line(page: np.ndarray, x1: float, y1: float, x2: float, y2: float) -> None:
-    n = int(np.hypot(x2 - x1, y2 - y1) * 2) + 2
+def _line(page: np.ndarray, x1: float, y1: float, x2: float, y2: float, dashed: bool | None = False) -> None:
+    far = np.hypot(x2 - x1, y2 - y1)
+    n = int(far * 2) + 2
     x, y = np.linspace(x1, x2, n).astype(int), np.linspace(y1, y2, n).astype(int)
+    if dashed:
+        on = np.linspace(0, far, n) % (DASH + DASH_GAP) < DASH
+        x, y = x[on], y[on]
     for dx in range(-(STROKE // 2), STROKE // 2 + 1):
         for dy in range(-(STROKE // 2), STROKE // 2 + 1):
             page[np.clip(y + dy, 0, len(page) - 1), np.clip(x + dx, 0, page.shape[1] - 1)] = 0
 
 
+def _marker(page: np.ndarray, kind: str, x1: float, y1: float, x2: float, y2: float) -> None:
+    """A marker whose tip is the line's second end: "arrow" (open), "triangle" and "hollow_diamond" (white inside), "filled_diamond"."""
+    far = np.hypot(x2 - x1, y2 - y1)
+    if not far:
+        return
+    ux, uy = (x2 - x1) / far, (y2 - y1) / far
+    x0, y0 = max(0, int(x2) - DIAMOND - 2), max(0, int(y2) - DIAMOND - 2)
+    part = page[y0 : int(y2) + DIAMOND + 3, x0 : int(x2) + DIAMOND + 3]
+    px, py = np.arange(part.shape[1])[None, :] + x0 - x2, np.arange(part.shape[0])[:, None] + y0 - y2
+    back, aside = -(px * ux + py * uy), np.abs(py * ux - px * uy)
+    if kind in ("triangle", "arrow"):
+        edge = HALF_WIDTH * back / HEAD
+        inside, core = (back >= 0) & (back <= HEAD) & (aside <= edge), (back <= HEAD - STROKE) & (aside <= edge - STROKE)
+        if kind == "arrow":
+            part[(back >= 0) & (back <= HEAD) & (np.abs(aside - edge) <= STROKE / 2)] = 0
+            return
+    else:
+        edge = HALF_WIDTH * (1 - np.abs(2 * back / DIAMOND - 1))
+        inside, core = (back >= 0) & (back <= DIAMOND) & (aside <= edge), aside <= edge - STROKE
+    part[inside] = 0
+    if kind != "filled_diamond":
+        part[inside & core] = WHITE
+
+
 def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str = "long") -> DataFrame:
-    """(key, error, left, top, width, height, grey, png) for each drawing of boxes (ord, kind, x, y, w, h) and edges (ord, source, target).
+    """(key, error, left, top, width, height, grey, png) for each drawing of boxes (ord, kind, x, y, w, h) and edges (ord, source, target, perhaps marker and dashed).
 
     The page starts MARGIN left of and above the boxes, at (left, top). Boxes
     without a place or size aren't drawn; a page too large, or of null boxes only,
@@ -94,7 +128,7 @@ def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str
     place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
     boxes = boxes.select(key, "ord", "kind", *place).where("x is not null and y is not null and w >= 0 and h >= 0")
     of = boxes.groupBy(key).agg(F.collect_list(F.struct("kind", "x", "y", "w", "h")).alias("boxes"))
-    way = lines(edges, boxes, key).groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("lines"))
+    way = lines(edges, boxes, key).groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "marker", "dashed")).alias("lines"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [key, "error", "left", "top", "width", "height", "grey", "png"]
@@ -107,7 +141,10 @@ def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str
                     continue
                 page = np.full((height, width), WHITE, np.uint8)
                 for a in ways if ways is not None else []:
-                    _line(page, a["x1"] - left, a["y1"] - top, a["x2"] - left, a["y2"] - top)
+                    way = a["x1"] - left, a["y1"] - top, a["x2"] - left, a["y2"] - top
+                    _line(page, *way, a["dashed"])
+                    if a["marker"]:
+                        _marker(page, a["marker"], *way)
                 for b in found:
                     _draw(page, b["kind"], b["x"] - left, b["y"] - top, b["w"], b["h"])
                 yield pd.DataFrame([[k, None, left, top, width, height, page.tobytes(), png(page)]], columns=names)
