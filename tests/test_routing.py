@@ -1,3 +1,8 @@
+import heapq
+import random
+
+from pyspark.sql import functions as F
+
 from weftgraph.operators import relate, routing
 from weftgraph.operators.edits import coalesced
 from weftgraph.streaming.edits import edit_sessions
@@ -6,12 +11,12 @@ from weftgraph.streaming.edits import edit_sessions
 def test_route():
     used = set()
     box = [{"x": 40.0, "y": -40.0, "w": 40.0, "h": 80.0}]
-    path = routing.route(box, (0.0, 0.0), (120.0, 0.0), used)
+    path = routing.route(routing.walls(box), (0.0, 0.0), (120.0, 0.0), used)
     assert path[0] == (0.0, 0.0) and path[-1] == (120.0, 0.0) and len(path) >= 4
     for (x1, y1), (x2, y2) in zip(path, path[1:], strict=False):
         assert x1 == x2 or y1 == y2
         assert not (y1 == y2 and -40 < y1 < 40 and min(x1, x2) < 80 and max(x1, x2) > 40)
-    assert routing.route([], (0.0, 0.0), (50.0, 0.0), set()) == [(0.0, 0.0), (50.0, 0.0)]
+    assert routing.route(set(), (0.0, 0.0), (50.0, 0.0), set()) == [(0.0, 0.0), (50.0, 0.0)]
 
 
 def test_routed(spark):
@@ -20,6 +25,61 @@ def test_routed(spark):
     assert len(routing.routed(docs).first().points) >= 4
 
 
+def plain_cost(blocked, start, goal, area):
+    """Dijkstra over (cell, direction)."""
+    best, queue = {}, [(0, start, None)]
+    while queue:
+        cost, here, way = heapq.heappop(queue)
+        if best.setdefault((here, way), cost) < cost:
+            continue
+        if here == goal:
+            return cost
+        for step in ((1, 0), (0, 1), (-1, 0), (0, -1)):
+            to = here[0] + step[0], here[1] + step[1]
+            if (to not in blocked or to == goal) and area[0] <= to[0] <= area[2] and area[1] <= to[1] <= area[3] and (to, step) not in best:
+                heapq.heappush(queue, (cost + 1 + (6 if way not in (None, step) else 0), to, step))
+    return None
+
+
+def test_routes_are_as_cheap_as_brute_force():
+    rng, area, missing = random.Random(4), (0, 0, 9, 9), 0
+    for _ in range(60):
+        blocked = {(rng.randrange(10), rng.randrange(10)) for _ in range(35)}
+        a, b = ((rng.randrange(10), rng.randrange(10)) for _ in range(2))
+        got, want = routing.route(blocked, (a[0] * 10.0, a[1] * 10.0), (b[0] * 10.0, b[1] * 10.0), set(), area), plain_cost(blocked, a, b, area)
+        assert (got is None) == (want is None)
+        if want is None:
+            missing += 1
+            continue
+        steps = [(q[0] - p[0], q[1] - p[1]) for p, q in zip(got, got[1:], strict=False) if p != q]
+        assert sum(abs(x) + abs(y) for x, y in steps) / 10 + 6 * max(0, len(steps) - 1) == want
+    assert missing
+
+
+def test_routed_edges(spark):
+    boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 60.0), (1, 1, 400.0, 0.0, 100.0, 60.0), (1, 2, 200.0, -40.0, 80.0, 140.0), (1, 3, None, 0.0, 1.0, 1.0)], "doc_id long, ord long, x double, y double, w double, h double")
+    edges = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 0, 1), (1, 2, 2, 2), (1, 3, 0, 3), (1, 4, 0, 9), (2, 0, 0, 1)], "doc_id long, edge long, source long, target long")
+    got = {(r.doc_id, r.edge): [(p.x, p.y) for p in r.points] for r in routing.routed_edges(edges, boxes).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2)}
+    assert got[1, 2] == [(280.0, 0.0), (320.0, 0.0), (320.0, 70.0), (280.0, 70.0)]  # -5 goes up to 0, 65 to 70
+    assert got[1, 0][0] == (100.0, 20.0) and got[1, 1][0] == (100.0, 40.0) and got[1, 0][-1] == (400.0, 20.0)
+    cells = []
+    for k in (0, 1):
+        way, seen = got[1, k], set()
+        for (x1, y1), (x2, y2) in zip(way, way[1:], strict=False):
+            assert x1 == x2 or y1 == y2
+            n = int(max(abs(x2 - x1), abs(y2 - y1)) / 10)
+            for i in range(n + 1):
+                x, y = x1 + (x2 - x1) * i / n, y1 + (y2 - y1) * i / n
+                assert not (184 < x < 296 and -56 < y < 116), way  # 16 away from the box between
+                seen.add((x, y))
+        cells.append(seen)
+    assert len(cells[0] & cells[1]) <= 4  # the second avoids the first
+    wide = boxes.where("ord = 0").unionByName(boxes.where("ord = 1").withColumn("x", F.lit(1e8)))
+    assert [(r.edge, len(r.points)) for r in routing.routed_edges(edges, wide).orderBy("edge").collect()] == [(0, 2), (1, 2)]  # too large to search
+    assert {r.side for r in routing.terminals(edges, boxes).collect()} == {"left", "right"}
+
+
 def test_strokes(spark):
     ends = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, -1.0, 0.0), (1, 0, 1, 10.0, 0.0, 1.0, 0.0), (1, 1, 0, 20.0, 0.0, -1.0, 0.0), (1, 1, 1, 30.0, 0.0, 1.0, 0.0), (1, 2, 0, 25.0, 1.0, -1.0, 0.0), (1, 2, 1, 60.0, 1.0, 1.0, 0.0)], "doc_id long, stroke long, end long, x double, y double, dx double, dy double")
     met = routing.facing_ends(ends)

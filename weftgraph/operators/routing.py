@@ -1,25 +1,40 @@
-"""Orthogonal edge routing and stroke pairing: sequential work on one drawing at a time."""
+"""Orthogonal edge routing and stroke pairing.
+
+Where edges leave boxes is joins, windows and column arithmetic; only the search,
+in which later edges avoid earlier ones, is sequential work on one drawing at a time.
+"""
 
 from __future__ import annotations
 
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.geometry import anchor, snap
+from weftgraph.operators import spatial
 from weftgraph.sources.scratch import persisted
 
 # Fixed values of the router: grid, costs of a turn and of a cell that another edge uses, and how far a search may go.
 CELL, TURN, SHARED, MOST = 10, 6, 4, 80_000
+# Fixed values. Room kept round boxes, straight ends before the first turn, room searched beyond everything, width of an edge to its own box.
+PADDING, STUB, MARGIN, LOOP = 16, 20, 120, 40
+#: A drawing of more cells isn't searched.
+MOST_CELLS = 4_000_000
 _STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
 
 
-def route(boxes: list[dict], start: tuple[float, float], goal: tuple[float, float], used: set[tuple[int, int]]) -> list[tuple[float, float]]:
-    """A path of right angles round the boxes, by A* on a grid; a straight line if the search is too long."""
+def walls(boxes: list[dict], pad: float = 0) -> set[tuple[int, int]]:
+    """Cells strictly inside the boxes, each grown by ``pad`` on all sides."""
+    within = lambda low, size: range(math.floor((low - pad) / CELL) + 1, math.ceil((low + size + pad) / CELL))
+    return {(x, y) for r in boxes for x in within(r["x"], r["w"]) for y in within(r["y"], r["h"])}
+
+
+def route(blocked: set[tuple[int, int]], start: tuple[float, float], goal: tuple[float, float], used: set[tuple[int, int]], area: tuple[int, int, int, int] | None = None) -> list[tuple[float, float]] | None:
+    """A path of right angles round blocked cells, by A* on a grid, inside an area (left, top, right, bottom in cells); None if there is none or the search is too long."""
     cell = lambda p: (round(p[0] / CELL), round(p[1] / CELL))
     a, b = cell(start), cell(goal)
-    walls = {(x, y) for r in boxes for x in range(math.floor(r["x"] / CELL) + 1, math.ceil((r["x"] + r["w"]) / CELL)) for y in range(math.floor(r["y"] / CELL) + 1, math.ceil((r["y"] + r["h"]) / CELL))} - {a, b}
     far = lambda c: abs(c[0] - b[0]) + abs(c[1] - b[1])
     best, came, queue, taken = {(a, -1): 0}, {}, [(far(a), 0, a, -1)], 0
     while queue and taken < MOST:
@@ -38,14 +53,14 @@ def route(boxes: list[dict], start: tuple[float, float], goal: tuple[float, floa
         taken += 1
         for k, (dx, dy) in enumerate(_STEPS):
             to = here[0] + dx, here[1] + dy
-            if to in walls:
+            if to in blocked and to != b or area and not (area[0] <= to[0] <= area[2] and area[1] <= to[1] <= area[3]):
                 continue
             price = cost + 1 + (TURN if way not in (-1, k) else 0) + (SHARED if to in used else 0)
             if price < best.get((to, k), math.inf):
                 best[to, k] = price
                 came[to, k] = (here, way)
                 heapq.heappush(queue, (price + far(to), price, to, k))
-    return [start, goal]
+    return None
 
 
 def routed(drawings: DataFrame, key_type: str = "long") -> DataFrame:
@@ -54,11 +69,99 @@ def routed(drawings: DataFrame, key_type: str = "long") -> DataFrame:
 
     def work(d: dict) -> list[dict]:
         used: set[tuple[int, int]] = set()
-        return [{"edge": r["edge"], "points": [{"x": float(x), "y": float(y)} for x, y in route(d["boxes"], (r["x1"], r["y1"]), (r["x2"], r["y2"]), used)]} for r in d["requests"]]
+        blocked, out = walls(d["boxes"]), []
+        for r in d["requests"]:
+            start, goal = (r["x1"], r["y1"]), (r["x2"], r["y2"])
+            points = route(blocked, start, goal, used) or [start, goal]
+            out.append({"edge": r["edge"], "points": [{"x": float(x), "y": float(y)} for x, y in points]})
+        return out
 
     return per_document(drawings, work, f"doc_id {key_type}, error string, edge long, points array<struct<x:double,y:double>>")
 
 
+def facing_side(x: Column, y: Column, w: Column, h: Column, ox: Column, oy: Column, ow: Column, oh: Column) -> Column:
+    """The side of a box that faces another: by the wider gap between them, or between centres if they overlap in both directions."""
+    across, down = F.greatest(ox - x - w, x - ox - ow), F.greatest(oy - y - h, y - oy - oh)
+    right, below = ox + ow / 2 - x - w / 2, oy + oh / 2 - y - h / 2
+    beside = F.when(F.greatest(across, down) > 0, (across > 0) & (across >= down)).otherwise(F.abs(right) >= F.abs(below))
+    return F.when(beside, F.when(right >= 0, "right").otherwise("left")).otherwise(F.when(below >= 0, "bottom").otherwise("top"))
+
+
+def terminals(edges: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, edge, end, side, px, py, sx, sy, ax, ay): where each edge (edge, source, target) meets its two boxes (ord, x, y, w, h).
+
+    Edges at one side are spread along it. (sx, sy) is the end of the straight
+    piece before the first turn, (ax, ay) where a straight line would leave.
+    Edges to the same box, or without both boxes, have no terminals.
+    """
+    boxes = boxes.where("x is not null and y is not null and w is not null and h is not null")
+    rect = lambda p, name: boxes.select(key, F.col("ord").alias(name), *[F.col(c).cast("double").alias(p + c) for c in "xywh"])
+    met = edges.where("source != target").select(key, "edge", "source", "target").join(rect("", "source"), [key, "source"]).join(rect("o", "target"), [key, "target"])
+    there = met.select(key, "edge", F.lit(0).alias("end"), F.col("source").alias("box"), "x", "y", "w", "h", "ox", "oy", "ow", "oh")
+    back = met.select(key, "edge", F.lit(1).alias("end"), F.col("target").alias("box"), *[F.col("o" + c).alias(c) for c in "xywh"], *[F.col(c).alias("o" + c) for c in "xywh"])
+    ends = there.unionByName(back).withColumn("side", facing_side(*map(F.col, ("x", "y", "w", "h", "ox", "oy", "ow", "oh"))))
+    upright = F.col("side").isin("left", "right")
+    ends = ends.withColumn("other_centre", F.when(upright, F.col("oy") + F.col("oh") / 2).otherwise(F.col("ox") + F.col("ow") / 2))
+    ends = spatial.ports(ends, key)
+    along = lambda low, size: snap(F.col(low) + F.col(size) * F.col("fraction"), CELL)
+    px = F.when(upright, F.col("x") + F.when(F.col("side") == "right", F.col("w")).otherwise(0)).otherwise(along("x", "w"))
+    py = F.when(upright, along("y", "h")).otherwise(F.col("y") + F.when(F.col("side") == "bottom", F.col("h")).otherwise(0))
+    ends = ends.withColumns({"px": px.cast("double"), "py": py.cast("double")})
+    out = lambda p, low, high: F.when(F.col("side") == high, F.ceil((F.col(p) + STUB) / CELL) * CELL).when(F.col("side") == low, F.floor((F.col(p) - STUB) / CELL) * CELL).otherwise(F.col(p)).cast("double")
+    straight = anchor("rect", F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w"), F.col("h"), F.col("ox") + F.col("ow") / 2, F.col("oy") + F.col("oh") / 2)
+    return ends.select(key, "edge", "end", "side", "px", "py", out("px", "left", "right").alias("sx"), out("py", "top", "bottom").alias("sy"), straight["x"].alias("ax"), straight["y"].alias("ay"))
+
+
+def self_loops(edges: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, edge, points) of edges from a box to itself: out of its right side at a quarter of the height, back at three quarters."""
+    met = edges.where("source = target").select(key, "edge", F.col("source").alias("ord")).join(boxes.select(key, "ord", "x", "y", "w", "h"), [key, "ord"])
+    right = (F.col("x") + F.col("w")).cast("double")
+    at = lambda part: snap(F.col("y") + F.col("h") * part, CELL).cast("double")
+    points = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((right, at(0.25)), (right + LOOP, at(0.25)), (right + LOOP, at(0.75)), (right, at(0.75)))])
+    return met.select(key, "edge", points.alias("points"))
+
+
+def routed_edges(edges: DataFrame, boxes: DataFrame, key: str = "doc_id", key_type: str = "long") -> DataFrame:
+    """(key, edge, points) of edges (edge, source, target) between boxes (ord, x, y, w, h), by number of the edge.
+
+    Routes keep PADDING away from all boxes but at their ends; where no route is
+    found, and in drawings over MOST_CELLS, the edge is a straight line between the
+    boxes.
+    """
+    from weftgraph.operators.flow import per_document
+
+    places = boxes.where("x is not null and y is not null and w is not null and h is not null")
+    names = ("px", "py", "sx", "sy", "ax", "ay")
+    at = terminals(edges, places, key).groupBy(key, "edge").agg(*[F.max(F.when(F.col("end") == k, F.struct(*names))).alias(n) for k, n in ((0, "a"), (1, "b"))])
+    of = places.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in "xywh"])).alias("boxes"))
+    docs = at.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("edge", "a", "b"))).alias("requests")).join(of, key).select(key, F.struct("boxes", "requests").alias("doc"))
+
+    def work(d: dict) -> list[dict]:
+        used: set[tuple[int, int]] = set()
+        ends, span, out = [r[e] for r in d["requests"] for e in "ab"], [], []
+        for c, size in (("x", "w"), ("y", "h")):
+            found = [b[c] for b in d["boxes"]] + [b[c] + b[size] for b in d["boxes"]] + [e[p + c] for e in ends for p in "ps"]
+            span.append((math.floor((min(found) - MARGIN) / CELL), math.ceil((max(found) + MARGIN) / CELL)))
+        area = span[0][0], span[1][0], span[0][1], span[1][1]
+        small = (area[2] - area[0] + 1) * (area[3] - area[1] + 1) <= MOST_CELLS
+        blocked = walls(d["boxes"], PADDING) if small else set()
+        for r in d["requests"]:
+            a, b = r["a"], r["b"]
+            way = route(blocked, (a["sx"], a["sy"]), (b["sx"], b["sy"]), used, area) if small else None
+            if way is None:
+                points = [(a["ax"], a["ay"]), (b["ax"], b["ay"])]
+            else:
+                points = [(a["px"], a["py"]), *way, (b["px"], b["py"])]
+                points = [p for k, p in enumerate(points) if not k or p != points[k - 1]]
+                inner = [q for p, q, n in zip(points, points[1:], points[2:], strict=False) if not (p[0] == q[0] == n[0] or p[1] == q[1] == n[1])]
+                points = [points[0], *inner, points[-1]]
+            out.append({"edge": r["edge"], "points": [{"x": float(x), "y": float(y)} for x, y in points]})
+        return out
+
+    schema = f"{key} {key_type}, error string, edge long, points array<struct<x:double,y:double>>"
+    return per_document(docs, work, schema, key).select(key, "edge", "points").unionByName(self_loops(edges, places, key))
+
+
 def greedy_pairs(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     """Candidate pairs (distance, end, end) taken closest first, each end once."""
     out, taken = [], set()

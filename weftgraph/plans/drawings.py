@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import connectors, pixels
+from weftgraph.operators import connectors, pixels, routing
 from weftgraph.plans.queries import query, table
 from weftgraph.render import raster
 
@@ -80,3 +80,48 @@ def relationships_read_back(spark, sf_dir):
     placed = boxes.select("doc_id", "ord", (F.col("x") + raster.MARGIN).alias("x"), (F.col("y") + raster.MARGIN).alias("y"), "w", "h")
     found = connectors.connectors(pages, placed, reach=int(raster.EDGE_GAP) + 4)
     return found.select("doc_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "dashed", "type")
+
+
+_ENDS = (
+    f"WITH b AS ({_PLACED}), m AS (SELECT a.doc_id, a.ord * 2 + j AS edge, a.ord AS s, c.ord AS t, a.x, a.y, a.w, a.h, c.x AS ox, c.y AS oy, c.w AS ow, c.h AS oh FROM b a CROSS JOIN (VALUES (0), (1)) v(j) JOIN b c ON c.doc_id = a.doc_id AND c.ord = a.ord + CASE j WHEN 0 THEN 1 ELSE 6 END),"
+    " e AS (SELECT doc_id, edge, 0 AS n, s AS box, x, y, w, h, ox, oy, ow, oh FROM m UNION ALL SELECT doc_id, edge, 1, t, ox, oy, ow, oh, x, y, w, h FROM m),"
+    " g AS (SELECT *, greatest(ox - x - w, x - ox - ow) AS gx, greatest(oy - y - h, y - oy - oh) AS gy, ox + ow / 2 AS cx, oy + oh / 2 AS cy FROM e),"
+    " f AS (SELECT *, CASE WHEN CASE WHEN gx > 0 AND gx >= gy THEN true WHEN gy > 0 THEN false ELSE abs(cx - x - w / 2) >= abs(cy - y - h / 2) END THEN CASE WHEN cx >= x + w / 2 THEN 'right' ELSE 'left' END ELSE CASE WHEN cy >= y + h / 2 THEN 'bottom' ELSE 'top' END END AS side FROM g),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, box, side ORDER BY CASE WHEN side IN ('left', 'right') THEN cy ELSE cx END, edge) / (count(*) OVER (PARTITION BY doc_id, box, side) + 1) AS part FROM f),"
+    " p AS (SELECT *, CASE side WHEN 'right' THEN x + w WHEN 'left' THEN x ELSE floor((x + w * part) / 10 + 0.5) * 10 END AS px, CASE side WHEN 'bottom' THEN y + h WHEN 'top' THEN y ELSE floor((y + h * part) / 10 + 0.5) * 10 END AS py FROM r)"
+    " SELECT doc_id::BIGINT AS doc_id, edge::BIGINT AS edge, n::BIGINT AS n, side, px::DOUBLE AS px, py::DOUBLE AS py,"
+    " (CASE side WHEN 'right' THEN ceil((px + 20) / 10) * 10 WHEN 'left' THEN floor((px - 20) / 10) * 10 ELSE px END)::DOUBLE AS sx, (CASE side WHEN 'bottom' THEN ceil((py + 20) / 10) * 10 WHEN 'top' THEN floor((py - 20) / 10) * 10 ELSE py END)::DOUBLE AS sy FROM p"
+)
+
+
+def _neighbours(spark, sf_dir):
+    """Each figure's edges to the next one and to the one below."""
+    boxes = _placed(spark, sf_dir)
+    step = F.explode(F.array(F.struct(F.lit(0).alias("j"), F.lit(1).alias("by")), F.struct(F.lit(1).alias("j"), F.lit(6).alias("by"))))
+    return boxes, boxes.withColumn("step", step).select("doc_id", (F.col("ord") * 2 + F.col("step.j")).alias("edge"), F.col("ord").alias("source"), (F.col("ord") + F.col("step.by")).alias("target"))
+
+
+@query(_ENDS)
+def edge_terminals(spark, sf_dir):
+    """Sides that face each other, places along them, and the straight ends of routes."""
+    boxes, edges = _neighbours(spark, sf_dir)
+    return routing.terminals(edges, boxes).select("doc_id", "edge", F.col("end").cast("long").alias("n"), "side", "px", "py", "sx", "sy")
+
+
+@query(f"SELECT doc_id, edge, max(CASE n WHEN 0 THEN px END) AS x1, max(CASE n WHEN 0 THEN py END) AS y1, max(CASE n WHEN 1 THEN px END) AS x2, max(CASE n WHEN 1 THEN py END) AS y2, true AS square FROM ({_ENDS}) GROUP BY doc_id, edge")
+def routes_of_edges(spark, sf_dir):
+    """Every edge is routed, from terminal to terminal, in right angles."""
+    boxes, edges = _neighbours(spark, sf_dir)
+    way = F.col("points")
+    square = F.expr("forall(sequence(1, size(points) - 1), i -> points[i].x = points[i - 1].x OR points[i].y = points[i - 1].y)")
+    first, last = way[0], F.element_at(way, -1)
+    return routing.routed_edges(edges, boxes).select("doc_id", "edge", first["x"].alias("x1"), first["y"].alias("y1"), last["x"].alias("x2"), last["y"].alias("y2"), square.alias("square"))
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, ord::BIGINT AS edge, x + w AS x1, x + w + 40 AS x2, floor((y + h * 0.25) / 10 + 0.5) * 10 AS y1, floor((y + h * 0.75) / 10 + 0.5) * 10 AS y2 FROM ({_PLACED})")
+def loops_of_boxes(spark, sf_dir):
+    """Edges from a figure to itself."""
+    boxes = _placed(spark, sf_dir)
+    way = F.col("points")
+    loops = routing.self_loops(boxes.selectExpr("doc_id", "ord AS edge", "ord AS source", "ord AS target"), boxes)
+    return loops.select("doc_id", F.col("edge").cast("long").alias("edge"), way[0]["x"].alias("x1"), way[1]["x"].alias("x2"), way[0]["y"].alias("y1"), way[2]["y"].alias("y2"))
