@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import oracles
 from weftgraph.llm.chat import chat_digests, format_chats
 from weftgraph.llm.decontaminate import contaminated
+from weftgraph.llm.divergence import source_divergence
 from weftgraph.llm.licenses import license_scan
 from weftgraph.llm.lm_scoring import lm_scores
 from weftgraph.llm.near_duplicates import near_duplicates
@@ -73,6 +74,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_toxicity,
         op10_pack,
+        op13_source_divergence,
     )
 }
 
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": oracles.CHATS,
     "op6_suffix_dedup": oracles.SUFFIXES,
     "op7_quality_rules": oracles.QUALITY,
+    "op13_source_divergence": oracles.DIVERGENCE,
 }
