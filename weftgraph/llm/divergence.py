@@ -39,7 +39,7 @@ from weftgraph.llm.store import released, written
 
 MIN_DOCS, TOP, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
 #: Rows that a task holds before it sends them; sources and terms of a unit of pairs.
-HELD, BLOCK, SLICE = 1_000_000, 64, 1024
+HELD, BLOCK, SLICE = 400_000, 64, 1024
 
 LETTERS = np.zeros(256, bool)
 for _a, _b in ((65, 91), (97, 123), (128, 256)):

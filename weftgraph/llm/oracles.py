@@ -109,3 +109,21 @@ parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
   UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts) WHERE part = 'pair' OR rank <= 50
 """
+
+TRIE = """
+WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, {'role': role, 'text': text} AS turn, octet_length(encode(text)) AS bytes
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+bits AS (SELECT DISTINCT c, c::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS v FROM t UNION ALL
+  SELECT c, s, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE v END AS x FROM bits WHERE k < 8 * length(s))),
+h AS (SELECT c, c - c % 5 AS base, xor(v, 4294967295::BIGINT) % 9 AS h FROM bits WHERE k = 8 * length(s)),
+r AS (SELECT h.c, t.i AS k, turn, bytes FROM h JOIN t ON t.c = h.base WHERE t.i < h.h UNION ALL SELECT t.c, 1000000 + t.i, turn, bytes FROM t JOIN h USING (c) WHERE t.i >= h.h),
+l AS (SELECT c, list(turn ORDER BY k) AS turns, list(bytes ORDER BY k) AS sizes FROM (SELECT h.c, k, turn, bytes FROM r RIGHT JOIN h USING (c)) WHERE turn IS NOT NULL GROUP BY c),
+seq AS (SELECT h.c, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM h LEFT JOIN l USING (c)),
+m AS (SELECT c, d, turns[1:d] AS prefix, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS bytes, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM seq)),
+node AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, prefix),
+kids AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.d = node.d AND kids.prefix = node.prefix),
+sub AS (SELECT a.d, a.prefix, sum(b.saved) AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves FROM full_node a JOIN (SELECT *, unnest(range(0, d + 1)) AS up FROM full_node) b ON b.up = a.d AND b.prefix[1:a.d] = a.prefix GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN sub ON sub.d = n.d AND sub.prefix = n.prefix LEFT JOIN node p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+"""

@@ -1,4 +1,4 @@
-"""The queries of the ten operators, and the SQL that states them where SQL can."""
+"""The queries of the operators, and the SQL that states them where SQL can."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from weftgraph.llm import oracles
 from weftgraph.llm.chat import chat_digests, format_chats
 from weftgraph.llm.decontaminate import contaminated
 from weftgraph.llm.divergence import source_divergence
+from weftgraph.llm.language_id import languages
 from weftgraph.llm.licenses import license_scan
 from weftgraph.llm.lm_scoring import lm_scores
 from weftgraph.llm.near_duplicates import near_duplicates
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.prefix_trie import conversation_trie
 from weftgraph.llm.quality_classifier import quality_scores
 from weftgraph.llm.quality_rules import judged
 from weftgraph.llm.suffix_dedup import suffix_dedup
@@ -74,6 +76,14 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -91,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_toxicity,
         op10_pack,
+        op11_language_id,
+        op12_prefix_trie,
         op13_source_divergence,
     )
 }
@@ -101,5 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": oracles.CHATS,
     "op6_suffix_dedup": oracles.SUFFIXES,
     "op7_quality_rules": oracles.QUALITY,
+    "op12_prefix_trie": oracles.TRIE,
     "op13_source_divergence": oracles.DIVERGENCE,
 }
