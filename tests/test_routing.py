@@ -11,7 +11,7 @@ from weftgraph.streaming.edits import edit_sessions
 def test_route():
     used = set()
     box = [{"x": 40.0, "y": -40.0, "w": 40.0, "h": 80.0}]
-    path = routing.route(routing.walls(box), (0.0, 0.0), (120.0, 0.0), used)
+    path = routing.route(routing.Walls(box), (0.0, 0.0), (120.0, 0.0), used)
     assert path[0] == (0.0, 0.0) and path[-1] == (120.0, 0.0) and len(path) >= 4
     for (x1, y1), (x2, y2) in zip(path, path[1:], strict=False):
         assert x1 == x2 or y1 == y2

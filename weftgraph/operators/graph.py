@@ -87,17 +87,26 @@ def obligations(classes: DataFrame, methods: DataFrame, edges: DataFrame, key: l
     return due.groupBy(*key, F.col("origin").alias("id"), "name").agg(F.min_by(due["id"], F.struct("depth", "_class_ord", "ord")).alias("from_class"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), most: int = 1000) -> DataFrame:
-    """(key, id, distance) from the sources (key, id) over edges with a length >= 0, by relaxing until nothing gets shorter."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
+    """(key, id, distance) from the sources (key, id) over edges with a length, by relaxing until nothing gets shorter.
+
+    The shortest path of a node has fewer edges than there are nodes, so only a cycle
+    of negative length still finds shorter ones after as many rounds: that raises.
+    """
     key = list(key)
-    best = persisted(sources.select(*key, "id", F.lit(0.0).alias("distance")).distinct())
-    newest = best
-    for _ in range(most):
-        ahead = newest.join(edges.select(*key, F.col("source").alias("id"), "target", "length"), [*key, "id"])
-        ahead = ahead.groupBy(*key, F.col("target").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("new"))
+    edges = persisted(edges.select(*key, F.col("source").alias("id"), "target", "length").where("id is not null and target is not null and length is not null"))
+    best = persisted(sources.select(*key, "id", F.lit(0.0).alias("distance")).where("id is not null").distinct())
+    newest, rounds, nodes = best, 0, None
+    while True:
+        ahead = newest.join(edges, [*key, "id"]).groupBy(*key, F.col("target").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("new"))
         both = ahead.join(best, [*key, "id"], "left").where("distance is null or new < distance")
         newest = persisted(both.select(*key, "id", F.col("new").alias("distance")))
         if newest.isEmpty():
             return best
+        rounds += 1
+        if rounds % 64 == 0:
+            if nodes is None:
+                nodes = edges.select(*key, "id").union(edges.select(*key, "target")).distinct().groupBy(*key).count().agg(F.max("count")).first()[0]
+            if rounds > nodes:
+                raise RuntimeError("the paths don't settle: a cycle of negative length")
         best = persisted(best.unionByName(newest).groupBy(*key, "id").agg(F.min("distance").alias("distance")))
-    raise RuntimeError("the paths didn't settle: a cycle of negative length?")

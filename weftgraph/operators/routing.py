@@ -20,18 +20,35 @@ from weftgraph.sources.scratch import persisted
 CELL, TURN, SHARED, MOST = 10, 6, 4, 80_000
 # Fixed values. Room kept round boxes, straight ends before the first turn, room searched beyond everything, width of an edge to its own box.
 PADDING, STUB, MARGIN, LOOP = 16, 20, 120, 40
-#: A drawing of more cells isn't searched.
-MOST_CELLS = 4_000_000
 _STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
 
 
-def walls(boxes: list[dict], pad: float = 0) -> set[tuple[int, int]]:
-    """Cells strictly inside the boxes, each grown by ``pad`` on all sides."""
-    within = lambda low, size: range(math.floor((low - pad) / CELL) + 1, math.ceil((low + size + pad) / CELL))
-    return {(x, y) for r in boxes for x in within(r["x"], r["w"]) for y in within(r["y"], r["h"])}
+class Walls:
+    """The cells strictly inside boxes that are each grown by ``pad``; boxes are kept by coarse squares, so a drawing costs its boxes and not its area."""
 
+    SQUARE, WIDE = 64, 256
 
-def route(blocked: set[tuple[int, int]], start: tuple[float, float], goal: tuple[float, float], used: set[tuple[int, int]], area: tuple[int, int, int, int] | None = None) -> list[tuple[float, float]] | None:
+    def __init__(self, boxes: list[dict], pad: float = 0):
+        within = lambda low, size: (math.floor((low - pad) / CELL) + 1, math.ceil((low + size + pad) / CELL))
+        self.squares: dict[tuple[int, int], list[tuple]] = {}
+        self.wide: list[tuple] = []
+        for r in boxes:
+            (left, right), (top, bottom) = within(r["x"], r["w"]), within(r["y"], r["h"])
+            across, down = range(left // self.SQUARE, (right - 1) // self.SQUARE + 1), range(top // self.SQUARE, (bottom - 1) // self.SQUARE + 1)
+            if len(across) * len(down) > self.WIDE:
+                self.wide.append((left, right, top, bottom))
+                continue
+            for x in across:
+                for y in down:
+                    self.squares.setdefault((x, y), []).append((left, right, top, bottom))
+
+    def __contains__(self, cell: tuple[int, int]) -> bool:
+        x, y = cell
+        near = self.squares.get((x // self.SQUARE, y // self.SQUARE), ())
+        return any(a <= x < b and c <= y < d for a, b, c, d in (*near, *self.wide))
+
+
+def route(blocked: Walls | set[tuple[int, int]], start: tuple[float, float], goal: tuple[float, float], used: set[tuple[int, int]], area: tuple[int, int, int, int] | None = None) -> list[tuple[float, float]] | None:
     """A path of right angles round blocked cells, by A* on a grid, inside an area (left, top, right, bottom in cells); None if there is none or the search is too long."""
     cell = lambda p: (round(p[0] / CELL), round(p[1] / CELL))
     a, b = cell(start), cell(goal)
@@ -69,7 +86,7 @@ def routed(drawings: DataFrame, key_type: str = "long") -> DataFrame:
 
     def work(d: dict) -> list[dict]:
         used: set[tuple[int, int]] = set()
-        blocked, out = walls(d["boxes"]), []
+        blocked, out = Walls(d["boxes"]), []
         for r in d["requests"]:
             start, goal = (r["x1"], r["y1"]), (r["x2"], r["y2"])
             points = route(blocked, start, goal, used) or [start, goal]
@@ -125,8 +142,7 @@ def routed_edges(edges: DataFrame, boxes: DataFrame, key: str = "doc_id", key_ty
     """(key, edge, points) of edges (edge, source, target) between boxes (ord, x, y, w, h), by number of the edge.
 
     Routes keep PADDING away from all boxes but at their ends; where no route is
-    found, and in drawings over MOST_CELLS, the edge is a straight line between the
-    boxes.
+    found the edge is a straight line between the boxes.
     """
     from weftgraph.operators.flow import per_document
 
@@ -143,11 +159,10 @@ def routed_edges(edges: DataFrame, boxes: DataFrame, key: str = "doc_id", key_ty
             found = [b[c] for b in d["boxes"]] + [b[c] + b[size] for b in d["boxes"]] + [e[p + c] for e in ends for p in "ps"]
             span.append((math.floor((min(found) - MARGIN) / CELL), math.ceil((max(found) + MARGIN) / CELL)))
         area = span[0][0], span[1][0], span[0][1], span[1][1]
-        small = (area[2] - area[0] + 1) * (area[3] - area[1] + 1) <= MOST_CELLS
-        blocked = walls(d["boxes"], PADDING) if small else set()
+        blocked = Walls(d["boxes"], PADDING)
         for r in d["requests"]:
             a, b = r["a"], r["b"]
-            way = route(blocked, (a["sx"], a["sy"]), (b["sx"], b["sy"]), used, area) if small else None
+            way = route(blocked, (a["sx"], a["sy"]), (b["sx"], b["sy"]), used, area)
             if way is None:
                 points = [(a["ax"], a["ay"]), (b["ax"], b["ay"])]
             else:
@@ -185,15 +200,26 @@ def facing_ends(ends: DataFrame, gap: tuple[float, float] = (0.0, 40.0), most_an
     return met.where(ahead).select(key, F.col("id").alias("a"), F.col("b_id").alias("b"), "d")
 
 
-def matched_ends(candidates: DataFrame, key: str = "doc_id", key_type: str = "long") -> DataFrame:
-    """(doc_id, a, b): the greedy matching within each drawing."""
-    import pandas as pd
+def matched_ends(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, a, b): the greedy matching within each drawing.
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_pairs(list(zip(part["d"], part["a"], part["b"], strict=True)))
-        return pd.DataFrame([(part[key].iloc[0], a, b) for a, b in found], columns=[key, "a", "b"])
-
-    return candidates.groupBy(key).applyInPandas(work, f"{key} {key_type}, a long, b long")
+    A pair that is the smallest (d, a, b) at both of its ends is one that the greedy
+    order takes whatever else is taken, so each round takes all of these and drops what
+    they touch, until no pair is left.
+    """
+    left = persisted(candidates.where("a != b and d is not null").groupBy(key, "a", "b").agg(F.min("d").alias("d")))
+    taken = left.select(key, "a", "b").limit(0)
+    while True:
+        ends = left.select(key, F.explode(F.array("a", "b")).alias("id"), F.struct("d", "a", "b").alias("p"))
+        least = ends.groupBy(key, "id").agg(F.min("p").alias("p"))
+        chosen = persisted(least.groupBy(key, "p").count().where("count = 2").select(key, "p.a", "p.b"))
+        if chosen.isEmpty():
+            return taken
+        taken = taken.unionByName(chosen)
+        used = persisted(chosen.select(key, F.explode(F.array("a", "b")).alias("id")))
+        for end in ("a", "b"):
+            left = left.join(used.withColumnRenamed("id", end), [key, end], "left_anti")
+        left = persisted(left)
 
 
 def components(links: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
