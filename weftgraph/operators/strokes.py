@@ -39,6 +39,8 @@ AROUND = ((-1, 0), (0, 1), (1, 0), (0, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))
 LOOK = 4
 #: Segments up to JOINT pixels at a fork, and up to MARKER between places within ZONE of one box, are part of a place.
 JOINT, MARKER, ZONE = 8, 32, 44
+#: A ring up to this long at a place within ZONE of a box is a marker's outline.
+RING = 100
 #: Segments in line deviate by at most STRAIGHT; loose ends face each other across at most DASH_GAP.
 STRAIGHT, DASH_GAP = math.radians(30), 34.0
 #: Thinning takes so many pixels off the end of a line.
@@ -190,7 +192,7 @@ def farthest(pieces: DataFrame, starts: DataFrame, key: str = "doc_id") -> DataF
 
 
 def places(pieces: DataFrame, boxes: DataFrame, reach: float, key: str = "doc_id") -> DataFrame:
-    """(key, id, place, box, cx, cy) of every node: what it is one place with, the place's middle, and the box that the place is at."""
+    """(key, id, place, box, zone, cx, cy) of every node: what it is one place with, the place's middle, and the boxes that the place is at and near."""
     x, y = at_pixel("id")
     nodes = persisted(pieces.select(key, F.col("a").alias("id")).groupBy(key, "id").agg(F.count("*").alias("degree")).select(key, "id", "degree", F.col("id").alias("point"), x.alias("px"), y.alias("py")))
     placed = persisted(nearest_box(nodes, boxes, key, cutoff=ZONE).select(key, "id", "degree", "px", "py", F.col("box_ord").alias("zone"), "d"))
@@ -201,8 +203,8 @@ def places(pieces: DataFrame, boxes: DataFrame, reach: float, key: str = "doc_id
     one = components(met.where(joint | marker).where("a < b").select(key, "a", "b"), [key])
     of = placed.join(one, [key, "id"], "left").withColumn("place", F.coalesce("component", "id"))
     near = F.when(F.col("d") <= reach + SHORTER, F.struct("d", "zone"))
-    middle = of.groupBy(key, "place").agg(F.min(near)["zone"].alias("box"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
-    return of.select(key, "id", "place").join(middle, [key, "place"]).select(key, "id", "place", "box", "cx", "cy")
+    middle = of.groupBy(key, "place").agg(F.min(near)["zone"].alias("box"), F.min(F.when(F.col("zone").isNotNull(), F.struct("d", "zone")))["zone"].alias("zone"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
+    return of.select(key, "id", "place").join(middle, [key, "place"]).select(key, "id", "place", "box", "zone", "cx", "cy")
 
 
 def main_axes(found: DataFrame, by: list[str]) -> DataFrame:
@@ -227,10 +229,10 @@ def arms(pieces: DataFrame, at: DataFrame, key: str = "doc_id") -> DataFrame:
 
     end: a number for this end of the segment.
     """
-    begin = at.select(key, F.col("id").alias("a"), "place", "box", "cx", "cy")
+    begin = at.select(key, F.col("id").alias("a"), "place", "box", "zone", "cx", "cy")
     end = at.select(key, F.col("id").alias("b"), F.col("place").alias("other"))
     (x, y), (ax, ay) = at_pixel("a"), at_pixel("ahead")
-    met = pieces.join(begin, [key, "a"]).join(end, [key, "b"]).where((F.col("place") != F.col("other")) | (F.col("length") > MARKER))
+    met = pieces.join(begin, [key, "a"]).join(end, [key, "b"]).where((F.col("place") != F.col("other")) | (F.col("length") > F.when(F.col("zone").isNotNull(), RING).otherwise(MARKER)))
     vx, vy = ax - F.col("cx"), ay - F.col("cy")
     far = F.nullif(F.hypot(vx, vy), F.lit(0.0))
     seg = F.least("e", "back")
