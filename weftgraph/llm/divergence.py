@@ -191,14 +191,16 @@ def _partial_pairs(key: tuple, runs: pd.DataFrame, groups: pd.DataFrame) -> pd.D
     p = np.tile(base, (len(terms), 1))
     if len(runs):
         p[row, column[runs["source"]].to_numpy()] = runs["p"].to_numpy()
-    out = []
+    first, second, values = [], [], []
     for i in range(len(groups)):
         others = np.flatnonzero(((block == b) & (np.arange(len(groups)) > i)) if a == b else (block == b) & (block[i] == a))
-        if len(others):
-            apart = np.abs(base[others] - base[i])
-            value = np.abs(p[:, others] - p[:, [i]]).sum(0) - len(terms) * apart + (v * apart if piece == 0 else 0)
-            out.append(pd.DataFrame({"lang": lang, "source": groups["source"][i], "item": groups["source"].to_numpy()[others], "value": value}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
+        apart = np.abs(base[others] - base[i])
+        first += [i] * len(others)
+        second += others.tolist()
+        values.append(np.abs(p[:, others] - p[:, [i]]).sum(0) - len(terms) * apart + (v * apart if piece == 0 else 0))
+    name = groups["source"].to_numpy(object)
+    value = np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)
+    return pd.DataFrame({"lang": np.full(len(value), lang, object), "source": name[first], "item": name[second], "value": value})
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

@@ -45,7 +45,7 @@ TOP = 2_000
 SLOT_BITS, HASHES = 18, 3
 #: Filters of 64 languages that one pass over the texts looks up (2 MB each).
 MASKS = 64
-PIECE, HELD = 1 << 20, 1_000_000
+PIECE, HELD, PARTS = 1 << 20, 1_000_000, 32
 GRAM = U((1 << 44) - 1)
 _odd = np.random.default_rng(77).integers(1, 1 << 62, max(SIZES) + 1, dtype=U) * U(2) + U(1)
 
@@ -188,6 +188,10 @@ def filters(docs: DataFrame, top: int = TOP) -> list[Filter]:
     if not names:
         return []
     counts = known.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a language's n-grams are ranked in parts first, so that no task gets more of them than PARTS * top
+    counts = counts.withColumn("part", F.col("gram") % PARTS)
+    by = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram")
+    counts = counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).drop("rank", "part")
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     number = spark.createDataFrame(list(enumerate(names)), "number int, lang string")
     chosen = counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).join(number, "lang").select("number", "gram")
