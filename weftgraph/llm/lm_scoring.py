@@ -4,23 +4,23 @@ Every word is masked in turn and predicted from both of its sides. A network
 reads a window of SIDE words on each side (shared embeddings, weighted by place,
 a hidden layer) and predicts the word by a two-level softmax over the most
 frequent words; the last output stands for all others, among which a word has its
-share of the corpus's document counts. It is trained in numpy on every word of
-every text: each task goes over its own texts once, by Adagrad, and the tasks'
-networks are averaged cell by cell (parallel SGD with averaging).
+share of what the corpus has of them, without the document's own. The sum of the
+words' log-probabilities scores a document.
 
-What the corpus says of a pair of neighbours is counted too, as a table spread
-over hashed buckets that grows with the corpus: in how many documents (left, word,
-right) occurs, and how many different words documents have between (left, right).
-A word's probability is the network's, updated by these counts without the
-document's own: (c(left, word, right) + KAPPA * P_network) / (c(left, right) +
-KAPPA). Summed logarithms score a document.
+The network is trained in numpy on every word of every text, once. Documents are
+dealt by a hash to shards of about SHARD bytes, which follows from the rows alone and
+not from how they are partitioned. ROUNDS groups of shards take turns: each shard of
+a group goes on from the network so far by Adagrad, and the shards' networks (and
+their squares) are averaged by their numbers of words, cell by cell.
 
-Neighbour pairs and words are told apart by hashes (30 and 18 bits within a bucket
-of about a million entries); words that share a hash share their counts.
+What is looked up is the corpus's count of each rare word: a table of words, which
+grows with the corpus. A shard asks once for each of its different rare words; a
+rare word isn't among the OUTPUTS most frequent, and adds one row a shard at most.
 
 Defined cases: null, empty and wordless texts have no words and log_prob 0, mean
 null; rows that repeat are documents of their own; a corpus without words scores
-nothing; other columns are ignored.
+nothing; other columns are ignored. A text is one value and must fit in a worker, and
+rows that are equal in id and text are of one shard, which is cut after CUT bytes.
 """
 
 from __future__ import annotations
@@ -35,17 +35,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, batches, mix
-from weftgraph.llm.store import dropped, released, written
-from weftgraph.llm.suffix_dedup import _chunked, _Chunk
+from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, mix
+from weftgraph.llm.store import released, written
 
-SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 32, 64
+SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 64, 64
 #: Words with an output of their own; the last output is RARE. Other words enter by hash; EDGE lies outside a text.
 RARE = GROUPS * MEMBERS - 1
 HASHED = 4096
 EDGE = RARE + 1 + HASHED
-STEP, RATE, KAPPA, BOUND = 16384, 0.1, 5.0, 4.0
-ENTRIES_PER_BUCKET = 1_000_000
+STEP, RATE, BOUND = 8192, 0.1, 4.0
+SHARD, CUT, ROUNDS = 1 << 21, 1 << 23, 3
+#: Averages are rounded to multiples of GRAIN, so that they don't depend on the order in which they are added up.
+GRAIN = 2.0**-20
+CHUNKS = "chunk long, ids array<long>, lengths array<long>, body binary"
 
 
 class Network:
@@ -121,11 +123,12 @@ class Network:
 
 
 class Trainer:
-    """Adagrad steps from the common start; tells which cells it has moved."""
+    """Adagrad steps from a network and its squares."""
 
-    def __init__(self, counts: np.ndarray):
-        self.net = Network(counts)
-        self.start, self.square, self.seen = self.net.flat.copy(), Network(counts, 1e-3), 0
+    def __init__(self, counts: np.ndarray, state: np.ndarray | None = None):
+        """state: the network's cells and then their squares; None: the start."""
+        self.net = Network(counts) if state is None else Network(counts, state[: len(state) // 2])
+        self.square, self.seen = Network(counts, 1e-3 if state is None else state[len(state) // 2 :]), 0
 
     def step(self, window: np.ndarray, target: np.ndarray) -> None:
         g: dict = {}
@@ -139,13 +142,12 @@ class Trainer:
             self.net.part[k][at] = new if k.endswith("bias") else np.clip(new, -BOUND, BOUND)
         self.seen += len(target)
 
-    def moved(self) -> tuple[np.ndarray, np.ndarray]:
-        cell = np.flatnonzero(self.net.flat != self.start)
-        return cell, self.net.flat[cell]
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.net.flat, self.square.flat]).astype(float)
 
 
 class Texts:
-    """The words of some texts: hashes, outputs, windows of inputs, and the pairs of neighbours."""
+    """The words of some texts: hashes, outputs, and windows of inputs."""
 
     def __init__(self, texts: list[bytes], known: np.ndarray, index: np.ndarray):
         """known: sorted hashes of the words with outputs of their own; index: these outputs."""
@@ -155,8 +157,6 @@ class Texts:
         frequent = known[at] == h if len(known) else np.zeros(len(h), bool)
         self.target = np.where(frequent, index[at] if len(known) else 0, RARE).astype(np.int64)
         self.input = np.where(frequent, self.target, RARE + 1 + (h % U(HASHED)).astype(np.int64))
-        left, right = self.beside(h, -1, U(1)), self.beside(h, 1, U(2))
-        self.pair = mix(left * U(3) + mix(right, 4), 6)
 
     def beside(self, values: np.ndarray, shift: int, edge) -> np.ndarray:
         out = np.full(len(values), edge, values.dtype)
@@ -170,119 +170,58 @@ class Texts:
     def windows(self) -> np.ndarray:
         return np.column_stack([self.beside(self.input, s, EDGE) for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What is counted once a document: (key, what) of (pair, word) and of (rare word, nothing), the entry of each word and of each rare word, and how many entries its document has of each word's pair."""
-        h, n = self.words.hash, len(self.words.hash)
-        doc = mix(self.words.doc.astype(U), 21)
-        within = self.pair ^ doc
-        by = np.argsort(within)
-        start = np.flatnonzero(np.append(True, within[by][1:] != within[by][:-1])) if n else np.zeros(0, int)
-        size = np.diff(np.append(start, n))
-        single, own = by[start[size == 1]], np.ones(n, np.int64)
-        # only pairs that a document has more than once can repeat a word
-        more = by[np.repeat(size > 1, size)]
-        _, first, inverse = np.unique(mix(within[more]) ^ h[more], return_index=True, return_inverse=True)
-        _, of_pair, each = np.unique(within[more[first]], return_inverse=True, return_counts=True)
-        own[more] = each[of_pair][inverse]
-        entry = np.empty(n, np.int64)
-        entry[single], entry[more] = np.arange(len(single)), len(single) + inverse
-        at = np.append(single, more[first])
-        few = np.flatnonzero(self.target == RARE)
-        _, words, word_of = np.unique(h[few] ^ doc[few], return_index=True, return_inverse=True)
-        key = np.concatenate([self.pair[at], mix(h[few[words]], 31)])
-        what = np.concatenate([h[at] & U((1 << 18) - 1), np.zeros(len(words), U)])
-        return key, what, entry, len(at) + word_of, own
+    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different rare words; where they stand; which of them stands there, and how often it does in its document."""
+        at = np.flatnonzero(self.target == RARE)
+        words, of = np.unique(self.words.hash[at], return_inverse=True)
+        _, which, n = np.unique(self.words.hash[at] ^ mix(self.words.doc[at].astype(U), 21), return_inverse=True, return_counts=True)
+        return words, at, of, n[which]
 
 
-def _texts(chunk: _Chunk) -> list[bytes]:
-    return [chunk.body[b : b + n].tobytes() for b, n in zip(chunk.begin.tolist(), chunk.lengths.tolist(), strict=True)]
+def _sharded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, doc_id, text), by shard, to chunk rows: the texts of a shard, or of so much of it as CUT allows, compressed."""
+    pack = zstandard.ZstdCompressor(level=1)
+    shard, k, ids, bodies, total = None, 0, [], [], 0
 
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([(shard << 20) + k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in bodies]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(bodies))], pa.binary())], ["chunk", "ids", "lengths", "body"])
 
-def _chunk_texts(part: pa.RecordBatch) -> Iterator[tuple[int, list, list[bytes]]]:
-    for chunk, ids, lengths, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
-        yield chunk, ids, _texts(_Chunk(ids, lengths, [False] * len(ids), body))
+    for part in parts:
+        for own, i, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            if ids and (own != shard or total + len(data) > CUT):
+                yield row()
+                k = k + 1 if own == shard else 0
+                ids, bodies, total = [], [], 0
+            shard = own
+            ids.append(i)
+            bodies.append(data)
+            total += len(data)
+    if ids:
+        yield row()
 
 
-def _placed(key: np.ndarray, what: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, bucket, 48-bit value) of the entries, by bucket and value."""
-    bucket, value = (key % U(buckets)).astype(np.int64), ((key >> U(34)) << U(18)) | what
-    order = np.argsort(value)
-    order = order[np.argsort(bucket[order].astype(np.min_scalar_type(buckets)), kind="stable")]
-    return order, bucket[order], value[order]
+def sharded(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(chunk, ids, lengths, body): the lower-cased texts by shards that depend on nothing but the rows."""
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / SHARD))))
+    rows = rows.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "text"), "doc_id", "text")
+    return written(rows.select("shard", "doc_id", "text").mapInArrow(_sharded, CHUNKS))
 
 
-def _planes(value: np.ndarray) -> bytes:
-    """Sorted values byte by byte of all, which compresses well."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
+def _texts(lengths: list[int], body: bytes) -> list[bytes]:
+    data, ends = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, sum(lengths))), np.cumsum(lengths).tolist()
+    return [data[e - n : e] for n, e in zip(lengths, ends, strict=True)]
 
 
-def _from_planes(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=6 * n), np.uint8).reshape(6, n).T
-    return out.view(U).ravel()
+def _chunk_texts(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    for chunk, lengths, body in zip(*(part.column(k).to_pylist() for k in ("chunk", "lengths", "body")), strict=True):
+        yield chunk, _texts(lengths, body)
 
 
-def _sent(vocabulary, buckets: int):
-    known, index = vocabulary.value[:2]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for chunk, _, texts in _chunk_texts(part):
-                key, what, *_ = Texts(texts, known, index).entries()
-                _, bucket, value = _placed(key, what, buckets)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
-                ends = np.append(cut[1:], len(bucket)).astype(int)[: len(cut)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), chunk)), pa.array(ends - cut), pa.array([_planes(value[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "chunk", "n", "values"])
-
-    return run
-
-
-def _counted(part: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk's entries of a bucket how often the entry and its key occur in all."""
-    sizes = part["n"].to_numpy()
-    value = np.concatenate([_from_planes(x, n) for x, n in zip(part["values"], sizes, strict=True)])
-    order = np.argsort(value, kind="stable")
-    s = value[order]
-    counts = np.empty((2, len(s)), "<u4")
-    for k, x in enumerate((s, s >> U(18))):
-        start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        n = np.diff(np.append(start, len(s)))
-        counts[k, order] = np.repeat(n, n)
-    ends = np.cumsum(sizes)
-    pack = zstandard.ZstdCompressor(level=1)
-    return pd.DataFrame({"chunk": part["chunk"], "bucket": part["bucket"], "counts": [pack.compress(np.ascontiguousarray(counts[:, e - n : e]).tobytes()) for e, n in zip(ends, sizes, strict=True)]})
-
-
-def _scored(vocabulary, network, buckets: int):
-    def run(_, chunks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        known, index, output_counts, rare = vocabulary.value
-        net = Network(output_counts, network.value)
-        counted = counted.sort_values("bucket")
-        out = []
-        for row in chunks.itertuples():
-            c = _Chunk(row.ids, row.lengths, [False] * len(row.ids), row.body)
-            t = Texts(_texts(c), known, index)
-            key, what, of_pair, of_word, own = t.entries()
-            order, _, _ = _placed(key, what, buckets)
-            raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4").reshape(2, -1) for x in counted["counts"]]
-            met = np.empty((2, len(order)), np.int64)
-            if raw:
-                met[:, order] = np.concatenate(raw, axis=1)
-            p, windows = np.empty(len(t.target)), t.windows()
-            for a in range(0, len(p), STEP):
-                p[a : a + STEP] = net.forward(windows[a : a + STEP], t.target[a : a + STEP])
-            p = np.exp(p)
-            p[t.target == RARE] *= met[0, of_word] / max(1, rare)
-            p = (met[0, of_pair] - 1 + KAPPA * p) / (met[1, of_pair] - own + KAPPA)
-            total, n = np.bincount(t.words.doc, np.log(p), t.words.n), t.words.counts
-            out += [(None if i is None or i != i else int(i), int(k), float(x), float(x) / int(k) if k else None) for i, k, x in zip(row.ids, n, total, strict=True)]
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "log_prob", "mean_log_prob"]).astype({"doc_id": "Int64", "mean_log_prob": "Float64"})
-
-    return run
-
-
-def vocabulary_of(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the words with outputs of their own, these outputs, counts of all outputs); RARE words at most reach the driver."""
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(word, n): how often each word, by its hash, is in the corpus."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -295,62 +234,111 @@ def vocabulary_of(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
         for part in parts:
-            for _, _, texts in _chunk_texts(part):
+            for _, texts in _chunk_texts(part):
                 held.append(np.unique(Words(texts, LETTER_DIGIT).hash, return_counts=True))
                 size += len(held[-1][0])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 2_000_000:
+                    if size > 500_000:
                         yield row(*held[0])
                         held, size = [], 0
         if held:
             yield row(*merged())
 
-    counts = written(chunks.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return written(chunks.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the words with outputs of their own, these outputs, counts of all outputs); RARE words at most reach the driver."""
     top = counts.orderBy(F.col("n").desc(), "word").limit(RARE).collect()
     words, n = np.array([r["word"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.int64)
     outputs = np.append(n, np.zeros(GROUPS * MEMBERS - len(n), np.int64))
     outputs[RARE] = (counts.agg(F.sum("n")).first()[0] or 0) - n.sum()
-    dropped(counts)
     by = np.argsort(words)
     return words[by], by, outputs
 
 
-def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np.ndarray) -> tuple[np.ndarray, int]:
-    """(the averaged network, document counts of all rare words together)."""
-
+def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    """The network, after ROUNDS rounds."""
+    spark, state = chunks.sparkSession, Trainer(outputs).state()
+    vocabulary = spark.sparkContext.broadcast((known, index, outputs))
+
+    def round_of(sent):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, index, outputs = vocabulary.value
+            total, seen = None, 0
+            for part in parts:
+                for _, texts in _chunk_texts(part):
+                    t, trainer = Texts(texts, known, index), Trainer(outputs, sent.value)
+                    # steps of about equal size, however many words there are
+                    windows, steps = t.windows(), max(1, round(len(t.target) / STEP))
+                    for a, b in zip(*(np.linspace(0, len(t.target), steps + 1).astype(int)[k : steps + k] for k in (0, 1)), strict=True):
+                        if b > a:
+                            trainer.step(windows[a:b], t.target[a:b])
+                    if trainer.seen:
+                        moved = trainer.state() * trainer.seen
+                        total, seen = moved if total is None else total + moved, seen + trainer.seen
+            if seen:
+                yield from pa.table({"cell": pa.array(np.arange(len(total))), "total": pa.array(total), "weight": pa.array(np.full(len(total), seen))}).to_batches(max_chunksize=100_000)
+
+        return run
+
+    for k in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(state)
+        shards = chunks.where(F.shiftright("chunk", 20) % ROUNDS == k)
+        rows = shards.mapInArrow(round_of(sent), "cell long, total double, weight long").groupBy("cell").agg((F.sum("total") / F.sum("weight")).alias("mean")).toArrow()
+        if rows.num_rows:
+            state = state.copy()
+            state[rows["cell"].to_numpy()] = np.maximum(np.round(rows["mean"].to_numpy() / GRAIN) * GRAIN, np.where(rows["cell"].to_numpy() >= len(state) // 2, 1e-3, -np.inf))
+        sent.destroy()
+    vocabulary.destroy()
+    return state[: len(state) // 2].astype(np.float32)
+
+
+def _asked(vocabulary):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, rare = Trainer(outputs), 0
         for part in parts:
-            for _, _, texts in _chunk_texts(part):
-                t = Texts(texts, known, index)
-                w = t.words
-                few = t.target == RARE
-                rare += len(np.unique(w.hash[few] ^ mix(w.doc[few].astype(U), 21)))
-                windows = t.windows()
-                for a in range(0, len(t.target), STEP):
-                    trainer.step(windows[a : a + STEP], t.target[a : a + STEP])
-        if trainer.seen:
-            cell, value = trainer.moved()
-            cell, value = np.append(-1, cell), np.append(rare / trainer.seen, value.astype(float))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(value * trainer.seen), pa.array(np.full(len(cell), float(trainer.seen)))], ["cell", "total", "weight"])
-
-    rows = chunks.mapInArrow(run, "cell long, total double, weight double").groupBy("cell").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toPandas()
-    flat, one = Network(outputs).flat, rows["cell"] >= 0
-    flat[rows.loc[one, "cell"].to_numpy()] = (rows.loc[one, "total"] / rows.loc[one, "weight"]).to_numpy()
-    return flat, round(float(rows.loc[~one, "total"].sum()))
+            for chunk, texts in _chunk_texts(part):
+                words = Texts(texts, *vocabulary.value[:2]).rare()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), chunk))], ["word", "chunk"])
+
+    return run
+
+
+def _scored(vocabulary, network):
+    def run(_, chunks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        known, index, outputs = vocabulary.value
+        net, out = Network(outputs, network.value), []
+        words = counted["word"].to_numpy(np.int64).view(U)
+        by = np.argsort(words)
+        words, counts = words[by], counted["n"].to_numpy(np.int64)[by]
+        for row in chunks.itertuples():
+            t = Texts(_texts(list(row.lengths), row.body), known, index)
+            p, windows = np.empty(len(t.target)), t.windows()
+            for a in range(0, len(p), STEP):
+                p[a : a + STEP] = net.forward(windows[a : a + STEP], t.target[a : a + STEP])
+            asked, at, of, own = t.rare()
+            if len(at):
+                n = counts[np.searchsorted(words, asked)]
+                p[at] += np.log((n[of] - own + 1) / (outputs[RARE] + 1))
+            total, n = np.bincount(t.words.doc, p, t.words.n), t.words.counts
+            out += [(None if i is None or i != i else int(i), int(k), float(x), float(x) / int(k) if k else None) for i, k, x in zip(row.ids, n, total, strict=True)]
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "log_prob", "mean_log_prob"]).astype({"doc_id": "Int64", "mean_log_prob": "Float64"})
+
+    return run
 
 
 def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob), one row per row of ``docs``."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"), F.lit(None).cast("string").alias("rest"), F.lit(False).alias("copy"))
-    chunks = written(source.mapInArrow(_chunked(1 << 21), "chunk long, ids array<long>, lengths array<long>, rest array<string>, copies array<boolean>, body binary").select("chunk", "ids", "lengths", "body"))
-    known, index, outputs = vocabulary_of(chunks)
-    network, rare = trained(chunks, known, index, outputs)
+    chunks = sharded(docs, id, text)
+    released(spark)
+    counts = word_counts(chunks)
+    known, index, outputs = vocabulary_of(counts)
+    network = spark.sparkContext.broadcast(trained(chunks, known, index, outputs))
     released(spark)
-    buckets = min(1 << 24, max(8, math.ceil(1.2 * int(outputs.sum()) / ENTRIES_PER_BUCKET)))
-    vocabulary = spark.sparkContext.broadcast((known, index, outputs, rare))
-    counted = chunks.mapInArrow(_sent(vocabulary, buckets), "bucket long, chunk long, n long, values binary").groupBy("bucket").applyInPandas(_counted, "chunk long, bucket long, counts binary")
-    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, spark.sparkContext.broadcast(network), buckets), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    vocabulary = spark.sparkContext.broadcast((known, index, outputs))
+    asked = chunks.select("chunk", "lengths", "body").mapInArrow(_asked(vocabulary), "word long, chunk long")
+    counted = asked.join(counts, "word").select("chunk", "word", "n")
+    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, network), "doc_id long, n_words long, log_prob double, mean_log_prob double")
