@@ -111,3 +111,9 @@ def test_orientation():
     assert sorted(flow.oriented(shapes, links)) == [(0, 1, 0), (1, 2, 1), (2, 1, 3), (2, 3, 2)]
     with pytest.raises(ValueError, match="doesn't lead"):
         flow.oriented(shapes, links[:2])
+    three = [{"kind": "start", "y": 0}, {"kind": "action", "y": 50}, {"kind": "action", "y": 60}]
+    short_cut = [{"a": 0, "b": 1, "length": 10.0}, {"a": 1, "b": 2, "length": 1.0}, {"a": 0, "b": 2, "length": 1.0}]
+    assert sorted(flow.oriented(three, short_cut)) == [(0, 1, 0), (0, 2, 2), (2, 1, 1)]  # 1 is further away than 2
+    down = [{"kind": "start", "y": 100}, {"kind": "action", "y": 0}, {"kind": "action", "y": 20}]
+    with pytest.raises(ValueError, match="leads down"):
+        flow.oriented(down, [{"a": 0, "b": 1, "length": 1.0}, {"a": 1, "b": 2, "length": 1.0}, {"a": 2, "b": 0, "length": 9.0}])

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from weftgraph.extract.curly import Cursor, Statements, Token, rendered, split, tokens
 from weftgraph.extract.flows import cut, drawn
-from weftgraph.extract.model import box, document, held_type, hinted, is_many
+from weftgraph.extract.model import Hints, box, document, held_type, is_many
 
 # The documentation comments' names of neutral types, and constructors with a type of their own.
 DOC_TYPES = {"string": "String", "number": "float", "integer": "int", "int": "int", "boolean": "boolean", "bool": "boolean", "object": "Object", "void": "void", "undefined": "void", "null": "void", "array": "List", "map": "Map", "set": "Set", "date": "Date", "regexp": "RegExp", "function": "Function"}
@@ -276,11 +276,11 @@ def _assigned(body: list[Token], depth: int = 1) -> list[tuple[str, list[Token],
 
 
 def _param_types(m: Member, known: set[str]) -> dict[str, str]:
-    out = {}
+    out, hint = {}, Hints(known)
     for name, default, rest in m.params:
         kind = m.tags.params.get(name) or ("List" if rest else Types(set(), {}, {}).of(default))
         if not kind or kind == UNKNOWN:
-            kind = hinted(name, known)
+            kind = hint(name)
         if kind and kind != UNKNOWN:
             out[name] = kind
     return out

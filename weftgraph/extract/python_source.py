@@ -6,7 +6,7 @@ import ast
 import re
 
 from weftgraph.extract.flows import cut, drawn
-from weftgraph.extract.model import box, document, held_type, hinted, is_many
+from weftgraph.extract.model import Hints, box, document, held_type, is_many
 
 # Python's names of neutral types, and constructs whose type is certain.
 SCALARS = {"str": "String", "object": "Object", "None": "void"}
@@ -148,10 +148,11 @@ class Method:
         self.notes = {p.arg: p.annotation for p in self.params if p.annotation is not None}
         given = dict(zip((p.arg for p in self.params[len(self.params) - len(node.args.defaults) :]), node.args.defaults, strict=False)) if node.args.defaults else {}
         self.types = {}
+        hint = Hints(module.names)
         for p in self.params:
             plain = Module.__new__(Module)
             plain.names = set()
-            kind = annotated(p.annotation) if p.annotation is not None else plain.type_of(given.get(p.arg), {}, {}) or hinted(p.arg, module.names)
+            kind = annotated(p.annotation) if p.annotation is not None else plain.type_of(given.get(p.arg), {}, {}) or hint(p.arg)
             if kind:
                 self.types[p.arg] = kind
 
