@@ -114,6 +114,15 @@ def test_decontamination_without_spaces(spark):
     assert {r.doc_id for r in decontaminate_stage(docs, bench).collect()} == {3, 6}
 
 
+@pytest.mark.parametrize("item", ["ព្រះរាជាណាចក្រកម្ពុជា ជាប្រទេសមួយ។", "မြန်မာနိုင်ငံသည်အရှေ့တောင်အာရှတွင်ရှိသည်။", "ສາທາລະນະລັດປະຊາທິປະໄຕປະຊາຊົນລາວ", "བོད་ཀྱི་སྐད་ཡིག་ནི་བོད་རིགས་ཀྱི་སྐད་ཡིག་ཡིན།", "ꦲꦏ꧀ꦱꦫꦗꦮ", "ꀊꆈꌠꁱꂷꀋꉬ"])
+def test_decontamination_of_further_scripts(spark, item):
+    """An item that stands verbatim within a sentence without spaces is found, as is one cut in two; half of it isn't."""
+    around = item[3] + item[1]
+    n = len(item)
+    docs = spark.createDataFrame([(1, around + item + around), (2, item[n // 2 :] + "x" + item[: n // 2]), (3, item[: n // 4]), (4, "x " * 40)], "doc_id long, text string")
+    assert {r.doc_id for r in contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()} == {1, 2}
+
+
 def test_seeds_and_threshold_against_brute_force(monkeypatch):
     """Whole matches(): every pair of texts and items, from the definition alone; with few pairs held at once."""
     rng = random.Random(7)
@@ -171,6 +180,35 @@ def test_pack_lengths(lengths):
     bins = pack_lengths(counts, 50)
     used = collections.Counter(x for copies, b in bins for x in b for _ in range(copies))
     assert used == collections.Counter(lengths) and all(sum(b) <= 50 for _, b in bins)
+    # bin by bin, in plain Python: greedily the largest, then a pair for the smallest as long as that fits more tightly
+    left, want = sorted(lengths), []
+    while left:
+        bin_ = []
+        for x in left[::-1]:
+            if sum(bin_) + x <= 50:
+                bin_.append(x)
+                left.remove(x)
+        while sum(bin_) < 50 and len(bin_) > 1:
+            small, room = min(bin_), 50 - sum(bin_) + min(bin_)
+            pairs = [(a + b, -a, b) for i, b in enumerate(left) for a in left[i + 1 :] if small < a + b <= room]
+            if not pairs:
+                break
+            _, a, b = max(pairs)
+            bin_.remove(small)
+            left.append(small)
+            for x in (-a, b):
+                left.remove(x)
+                bin_.append(x)
+            left.sort()
+        want.append(sorted(bin_))
+    assert sorted(want) == sorted(sorted(b) for copies, b in bins for _ in range(copies))
+
+
+def test_two_documents_replace_one():
+    counts = np.bincount([30, 12, 9, 9], minlength=51)
+    assert [(n, sorted(b)) for n, b in pack_lengths(counts, 50)] == [(1, [9, 9, 30]), (1, [12])]
+    counts = np.bincount([30, 12, 9, 9] * 3, minlength=51)
+    assert sorted((n, sorted(b)) for n, b in pack_lengths(counts, 50))[-1] == (3, [9, 9, 30])
 
 
 PIECES = st.lists(st.sampled_from(["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", " ", "ok", "[ROLE=x]", "[/ROLE]", "\n", "é"]), max_size=8).map("".join)

@@ -37,9 +37,11 @@ BLOCK_BYTES = 16 << 20
 #: Pairs of a text's and a block's grams that are held at once, if one text alone has no more.
 EXPANDED = 4_000_000
 
-#: Characters of scripts written without spaces, and punctuation and signs beyond ASCII.
-ALONE = re.compile("[\u0e01-\u0e4e\u3005-\u3007\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0e4f-\u0e5b\u2000-\u2bff\u3000-\u3004\u3008-\u303f\ufe10-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+#: Characters of scripts written without spaces: Thai, Lao, Burmese with Shan and Karen, Khmer, Tai and New Tai Lue, Tai Tham, Balinese, Javanese,
+#: kana and ideographs, Yi. Tibetan parts its syllables by a sign, which is punctuation here.
+ALONE = re.compile("[ก-๎ກ-ໍໜ-ໟက-ဿၐ-ႏႚ-ႝក-៓ៜ៝ᥐ-ᧉᨠ-᩼ᬀ-ᭌ々-〇ぁ-ヿ㐀-鿿ꀀ-ꒌꦀ-꧀ꧠ-ꧯꧺ-ꧾꩠ-ꫂ豈-﫿\U00020000-\U0003ffff]")
+#: Punctuation and signs beyond ASCII.
+PARTING = re.compile("[\u0080-©«-´¶-¹»-¿×÷๏-๛༁-༔༴-༽྅྾-࿚၊-၏។-៛᭚-᭠ -⯿　-〄〈-〿꧁-꧍︐-﹯＀-／：-＠［-｀｛-･]")
 
 
 def _plain(text: str | None) -> bytes:
