@@ -39,9 +39,9 @@ EXPANDED = 4_000_000
 
 #: Characters of scripts written without spaces: Thai, Lao, Burmese with Shan and Karen, Khmer, Tai and New Tai Lue, Tai Tham, Balinese, Javanese,
 #: kana and ideographs, Yi. Tibetan parts its syllables by a sign, which is punctuation here.
-ALONE = re.compile("[ก-๎ກ-ໍໜ-ໟက-ဿၐ-ႏႚ-ႝក-៓ៜ៝ᥐ-ᧉᨠ-᩼ᬀ-ᭌ々-〇ぁ-ヿ㐀-鿿ꀀ-ꒌꦀ-꧀ꧠ-ꧯꧺ-ꧾꩠ-ꫂ豈-﫿\U00020000-\U0003ffff]")
+ALONE = re.compile("[\u0e01-\u0e4e\u0e81-\u0ecd\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u109a-\u109d\u1780-\u17d3\u17dc\u17dd\u1950-\u19c9\u1a20-\u1a7c\u1b00-\u1b4c\u3005-\u3007\u3041-\u30ff\u3400-\u9fff\ua000-\ua48c\ua980-\ua9c0\ua9e0-\ua9ef\ua9fa-\ua9fe\uaa60-\uaac2\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Punctuation and signs beyond ASCII.
-PARTING = re.compile("[\u0080-©«-´¶-¹»-¿×÷๏-๛༁-༔༴-༽྅྾-࿚၊-၏។-៛᭚-᭠ -⯿　-〄〈-〿꧁-꧍︐-﹯＀-／：-＠［-｀｛-･]")
+PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0e4f-\u0e5b\u0f01-\u0f14\u0f34-\u0f3d\u0f85\u0fbe-\u0fda\u104a-\u104f\u17d4-\u17db\u1b5a-\u1b60\u2000-\u2bff\u3000-\u3004\u3008-\u303f\ua9c1-\ua9cd\ufe10-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def _plain(text: str | None) -> bytes:
