@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import connectors, edits, graph, relate, routing, spatial, strokes, validate
+from weftgraph.operators import assembly, connectors, edits, graph, relate, routing, spatial, strokes, validate
 from weftgraph.plans.queries import query, table
 from weftgraph.render import raster
 
@@ -136,3 +136,32 @@ def editor_names(spark, sf_dir):
     """Attributes under the names that the editor uses, there and back."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("default_value"), F.col("c_name").alias("return_type"))
     return edits.to_editor(edits.to_wire(edits.to_editor(rows)))
+
+
+_CLASSES = "SELECT s_suppkey // 4 AS doc_id, s_suppkey % 4 AS k, s_nationkey AS n, s_suppkey AS s, row_number() OVER (PARTITION BY s_suppkey // 4 ORDER BY s_suppkey % 4) AS id FROM supplier"
+
+
+@query(
+    f"WITH r AS ({_CLASSES}), e AS (SELECT a.doc_id, a.id AS x, b.id AS y, (a.n + v.t) % 4 AS m FROM r a JOIN (VALUES (0, 1), (0, 2), (1, 3)) v(f, t) ON v.f = a.k JOIN r b ON b.doc_id = a.doc_id AND b.k = v.t)"
+    " SELECT doc_id::BIGINT AS doc_id, CASE WHEN n % 3 = 0 THEN 'interface' ELSE 'class' END AS what, 'class_' || id AS a, 'Supplier' || s AS b, 'nation' || n || ': int' AS attribute, 'run' || k AS method FROM r"
+    " UNION ALL SELECT doc_id::BIGINT, CASE m WHEN 0 THEN 'association' WHEN 1 THEN 'inheritance' WHEN 2 THEN 'aggregation' ELSE 'composition' END, 'class_' || CASE WHEN m >= 2 THEN y ELSE x END, 'class_' || CASE WHEN m >= 2 THEN x ELSE y END, NULL, NULL FROM e"
+)
+def image_documents(spark, sf_dir):
+    """Class boxes of suppliers drawn with lines between them, and their texts as a table, come back as the documents they were drawn from."""
+    rows = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 4).alias("doc_id"), (F.col("s_suppkey") % 4).cast("long").alias("k"), F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("s"))
+    rows = rows.withColumns({"x": (F.col("k") % 2 * 380.0).cast("double"), "y": (F.floor(F.col("k") / 2) * 330.0).cast("double"), "w": (150.0 + F.col("n") % 5 * 4).cast("double")})
+    box = lambda ord, top, h: rows.select("doc_id", (F.col("k") + ord).alias("ord"), F.lit("action").alias("kind"), "x", (F.col("y") + top).alias("y"), "w", F.lit(h).alias("h"))
+    boxes = box(0, 0.0, 140.0).unionByName(box(10, 0.0, 40.0)).unionByName(box(20, 37.0, 53.0))
+    ends = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(t).alias("t")) for f, t in ((0, 1), (0, 2), (1, 3))])).alias("v")
+    kind = F.array(*[F.lit(m) for m in ("arrow", "triangle", "hollow_diamond", "filled_diamond")])[(F.col("n") + F.col("v.t")).cast("int") % 4]
+    edges = rows.select("doc_id", "k", "n", ends).where("k = v.f").select("doc_id", F.col("v.t").alias("ord"), F.col("k").alias("source"), F.col("v.t").cast("long").alias("target"), kind.alias("marker"), F.lit(False).alias("dashed"))
+    pages = raster.drawn(boxes, edges)
+    said = F.explode(F.filter(F.array(
+        F.struct(F.lit(2.0).alias("at"), F.when(F.col("n") % 3 == 0, F.lit("<<interface>>")).alias("text")), F.struct(F.lit(18.0).alias("at"), F.concat(F.lit("Supplier"), "s").alias("text")),
+        F.struct(F.lit(55.0).alias("at"), F.concat(F.lit("- nation"), "n", F.lit(": int")).alias("text")), F.struct(F.lit(105.0).alias("at"), F.concat(F.lit("+ run"), "k", F.lit("(): void")).alias("text")),
+    ), lambda t: t["text"].isNotNull()))
+    texts = rows.withColumn("t", said).join(pages.select("doc_id", "left", "top"), "doc_id").select("doc_id", (F.col("x") + 10 - F.col("left")).alias("x"), (F.col("y") + F.col("t.at") - F.col("top")).alias("y"), F.lit(80.0).alias("w"), F.lit(14.0).alias("h"), "t.text")
+    docs = assembly.class_documents(pages, texts, int(raster.EDGE_GAP) + 4)
+    classes = docs.select("doc_id", F.explode("doc.classes").alias("c")).select("doc_id", F.col("c.kind").alias("what"), F.col("c.id").alias("a"), F.col("c.name").alias("b"), F.array_join(F.transform("c.attributes", lambda a: F.concat(a["name"], F.lit(": "), a["datatype"])), ", ").alias("attribute"), F.array_join(F.transform("c.methods", lambda m: m["name"]), ", ").alias("method"))
+    none = F.lit(None).cast("string")
+    return classes.unionByName(docs.select("doc_id", F.explode("doc.relationships").alias("r")).select("doc_id", F.col("r.type").alias("what"), F.col("r.source").alias("a"), F.col("r.destination").alias("b"), none.alias("attribute"), none.alias("method")))
