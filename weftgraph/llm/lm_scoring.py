@@ -292,6 +292,8 @@ def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np
             state = state.copy()
             state[rows["cell"].to_numpy()] = np.maximum(np.round(rows["mean"].to_numpy() / GRAIN) * GRAIN, np.where(rows["cell"].to_numpy() >= len(state) // 2, 1e-3, -np.inf))
         sent.destroy()
+        del rows
+        released(spark)  # a round's sums aren't needed beside the next one's
     vocabulary.destroy()
     return state[: len(state) // 2].astype(np.float32)
 
