@@ -102,7 +102,7 @@ def standard_imports(spark, sf_dir):
 
 @query("SELECT doc_id, source, destination, ord FROM (SELECT o_custkey AS doc_id, o_orderstatus AS source, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE 'O' END AS destination, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_totalprice > 150000 ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1 AND source <> destination")
 def first_lines(spark, sf_dir):
-    """Of drawn lines between two boxes the first, none from a box to itself."""
+    """A5: of drawn lines between two boxes the first, none from a box to itself."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("source"), F.when(F.col("o_totalprice") > 150000, "F").otherwise("O").alias("destination"), F.col("o_orderkey").alias("ord"))
     return relate.first_of_pair(rows)
 
@@ -123,7 +123,7 @@ def nearest_of_all_boxes(spark, sf_dir):
     " SELECT s.doc_id, s.ord, s.box AS source, t.box AS target FROM d s JOIN d t ON s.doc_id = t.doc_id AND s.ord = t.ord WHERE s.r = 1 AND t.r = 1 AND s.e = 0 AND t.e = 1 AND s.box <> t.box"
 )
 def drawn_adjacency(spark, sf_dir):
-    """Connectors whose ends lie at two different boxes."""
+    """Connectors whose ends lie at two different boxes."""
     points, boxes = _drawing(spark, sf_dir)
     lines = points.select("doc_id", F.col("point").alias("ord"), F.col("px").alias("x1"), F.col("py").alias("y1"), (F.col("point") % 97 * 1.0).alias("x2"), (F.col("point") % 211 * 1.0).alias("y2"))
     return spatial.adjacency(lines, boxes)
@@ -150,7 +150,7 @@ def any_overlap(spark, sf_dir):
     " SELECT id, round(sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2), 6) AS d, round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) AS length FROM t"
 )
 def segment_distances(spark, sf_dir):
-    """Distances of points to segments, and the segments' lengths."""
+    """Distances of points to segments, and the segments' lengths."""
     k = F.col("c_custkey")
     c = [F.expr(x) for x in ("c_custkey % 331D", "c_custkey % 257D")] + [(k % n * 10).cast("double") for n in (7, 5, 11, 13)]
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(geometry.segment_distance(*c), 6).alias("d"), F.round(geometry.distance(*c[2:]), 6).alias("length"))
@@ -161,7 +161,7 @@ def segment_distances(spark, sf_dir):
     " c_custkey % 331 + 5 BETWEEN 100 AND 200 AND c_custkey % 257 + 5 BETWEEN 50 AND 250 AS inside FROM customer"
 )
 def box_arithmetic(spark, sf_dir):
-    """Grid lines, limits, boxes between corners, and whether a box's centre lies in another."""
+    """Grid lines, limits, boxes between corners, and whether a box's centre lies in another."""
     k, b = F.col("c_custkey"), F.col("c_acctbal")
     n = geometry.normalized(k % 331, k % 257, k % 97, k % 211)
     inside = geometry.contains_centre(F.lit(100), F.lit(50), F.lit(100), F.lit(200), k % 331, k % 257, F.lit(10), F.lit(10))
@@ -293,7 +293,7 @@ def inherited_obligations(spark, sf_dir):
     " SELECT DISTINCT x.doc_id, x.i, x.j, x.d FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.i = y.j AND x.j = y.i WHERE x.r = 1 AND y.r = 1 AND x.i < x.j"
 )
 def mutual_nearest(spark, sf_dir):
-    """Pairs in which each is the other's nearest."""
+    """Pairs in which each is the other's nearest."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("i"), (10 + F.col("l_suppkey") % 4).alias("j"), F.col("l_quantity").alias("d"))
     return spatial.mutual_nearest(rows, ["doc_id"]).distinct()
 
@@ -314,7 +314,7 @@ def edges_without_notes(spark, sf_dir):
     r"SELECT p_partkey AS id, lower(left(n, 1)) || substr(n, 2) AS lowered, replace(n || chr(34), chr(34), chr(39)) AS label, split_part(n || '.' || p_brand, '.', -1) AS tail, upper(left(n, 1)) || lower(substr(n, 2)) AS said, length(regexp_replace(n, '[^A-Z]', '', 'g')) AS capitals, p_brand LIKE '%*%' AS many FROM (SELECT *, upper(left(p_name, 1)) || substr(p_name, 2) AS n FROM part)"
 )
 def name_forms(spark, sf_dir):
-    """Forms of names."""
+    """Forms of names."""
     n = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 30))
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), text.decapitalize(n).alias("lowered"), text.escape_label(F.concat(n, F.lit('"'))).alias("label"), text.last_segment(F.concat_ws(".", n, "p_brand")).alias("tail"),
@@ -326,7 +326,7 @@ def name_forms(spark, sf_dir):
     "SELECT p_partkey AS id, 'a' || p_partkey::VARCHAR AS name, CASE p_size % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'String[]' ELSE 'Object' END AS datatype, CASE p_size % 5 WHEN 0 THEN 'private' WHEN 1 THEN 'protected' WHEN 2 THEN 'package' ELSE 'public' END AS visibility, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR END AS default_value FROM part"
 )
 def attribute_lines(spark, sf_dir):
-    """Attribute lines that are made of a part's size, read again."""
+    """Attribute lines that are made of a part's size, read again."""
     s = F.col("p_size")
     mark = F.when(s % 5 == 0, "-").when(s % 5 == 1, "#").when(s % 5 == 2, "~").when(s % 5 == 3, "+").otherwise("")
     line = F.concat(mark, F.lit("  a"), "p_partkey", F.when(s % 3 == 0, " ; int").when(s % 3 == 1, " :  String [ ]").otherwise(""), F.when(s % 2 == 0, F.concat(F.lit(" = "), s)).otherwise(""), F.lit(" |"))

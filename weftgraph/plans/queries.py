@@ -389,3 +389,4 @@ def class_parents(spark, sf_dir):
 from weftgraph.plans import drawings as drawings  # noqa: E402  registers its queries
 from weftgraph.plans import more as more  # noqa: E402  registers its queries
 from weftgraph.plans import strokes as strokes  # noqa: E402  registers its queries
+from weftgraph.plans import rows as rows  # noqa: E402  registers its queries
