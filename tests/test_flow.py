@@ -105,6 +105,18 @@ def test_shortest_paths(spark):
     assert {(r.id, r.distance) for r in got} == {("a", 0.0), ("b", 1.0), ("c", 2.0)}
 
 
+def test_shortest_paths_of_long_chains_and_negative_cycles(spark, monkeypatch):
+    """Rounds go on as long as something gets shorter; only a cycle of negative length is refused."""
+    monkeypatch.setattr(graph, "PATIENCE", 3)
+    n = 10  # more than the rounds after which nodes are counted
+    chain = spark.createDataFrame([(1, k, k + 1, 1.0) for k in range(n)] + [(1, 0, None, 1.0)], "doc_id long, source long, target long, length double")
+    start = spark.createDataFrame([(1, 0), (1, None)], "doc_id long, id long")
+    assert max(r.distance for r in graph.shortest_paths(chain, start).collect()) == n
+    ring = spark.createDataFrame([(1, 0, 1, 1.0), (1, 1, 0, -2.0)], "doc_id long, source long, target long, length double")
+    with pytest.raises(RuntimeError, match="negative"):
+        graph.shortest_paths(ring, start)
+
+
 def test_orientation():
     shapes = [{"kind": "start", "y": 0}, {"kind": "action", "y": 50}, {"kind": "decision", "y": 100}, {"kind": "end", "y": 150}]
     links = [{"a": 1, "b": 0, "length": 30.0}, {"a": 1, "b": 2, "length": 30.0}, {"a": 2, "b": 3, "length": 30.0}, {"a": 1, "b": 2, "length": 90.0}]

@@ -105,3 +105,59 @@ def test_edit_runs_in_batch_and_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("edit_sessions").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("edit_sessions").collect()) == [4, 6]
+
+
+def least_cost(blocked, start, goal, used, area):
+    """Dijkstra over (cell, direction) by the definition: a step costs 1, a turn TURN more, a cell in use SHARED more."""
+    import heapq
+
+    best, queue = {}, [(0, start, None)]
+    while queue:
+        cost, at, way = heapq.heappop(queue)
+        if (at, way) in best:
+            continue
+        best[at, way] = cost
+        if at == goal:
+            return cost
+        for step in ((1, 0), (0, 1), (-1, 0), (0, -1)):
+            to = at[0] + step[0], at[1] + step[1]
+            if area[0] <= to[0] <= area[2] and area[1] <= to[1] <= area[3] and (to not in blocked or to == goal):
+                heapq.heappush(queue, (cost + 1 + (routing.TURN if way not in (None, step) else 0) + (routing.SHARED if to in used else 0), to, step))
+    return None
+
+
+def test_routes_have_the_least_cost():
+    import random
+
+    rng = random.Random(12)
+    found = 0
+    for _ in range(150):
+        blocked = {(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(60))}
+        used = {(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(40))}
+        a, b, area = (rng.randrange(12), rng.randrange(12)), (rng.randrange(12), rng.randrange(12)), (0, 0, 11, 11)
+        want, taken = least_cost(blocked, a, b, used, area), set(used)
+        path = routing.route(blocked, (a[0] * 10.0, a[1] * 10.0), (b[0] * 10.0, b[1] * 10.0), taken, area)
+        assert (path is None) == (want is None)
+        if path is None or a == b:
+            continue
+        cells, way, cost = [tuple(round(v / 10) for v in p) for p in path], None, 0
+        for p, q in zip(cells, cells[1:], strict=False):
+            step = ((q[0] > p[0]) - (q[0] < p[0]), (q[1] > p[1]) - (q[1] < p[1]))
+            while p != q:
+                p = p[0] + step[0], p[1] + step[1]
+                assert p not in blocked or p == b
+                cost += 1 + (routing.TURN if way not in (None, step) else 0) + (routing.SHARED if p in used else 0)
+                way = step
+        assert cost == want
+        found += 1
+    assert found > 50
+
+
+def test_a_wide_drawing_is_routed(spark):
+    """5,000,000 cells, most of them empty: the route goes round the box between."""
+    boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 60.0), (1, 1, 900.0, 0.0, 100.0, 60.0), (1, 2, 400.0, -40.0, 80.0, 140.0), (1, 3, 22_000.0, 22_000.0, 50.0, 50.0), (1, 4, 5_000.0, 3_000.0, 9_000.0, 9_000.0)], "doc_id long, ord long, x double, y double, w double, h double")
+    edges = spark.createDataFrame([(1, 0, 0, 1)], "doc_id long, edge long, source long, target long")
+    (way,) = [[(p.x, p.y) for p in r.points] for r in routing.routed_edges(edges, boxes).collect()]
+    assert len(way) > 2 and all(a[0] == b[0] or a[1] == b[1] for a, b in zip(way, way[1:], strict=False))
+    blocked = routing.Walls([{"x": 5_000.0, "y": 3_000.0, "w": 9_000.0, "h": 9_000.0}, {"x": 0.0, "y": 0.0, "w": 30.0, "h": 30.0}])
+    assert (600, 400) in blocked and (1, 1) in blocked and (500, 400) not in blocked and (3, 1) not in blocked

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.sources.scratch import persisted
 
+#: Rounds of shortest paths after which their number is held against that of the nodes.
+PATIENCE = 64
+
 
 def depths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), most: int | None = None, boundary: DataFrame | None = None) -> DataFrame:
     """(key, origin, id, depth) of every node that a source (key, origin, id) reaches, by fewest edges.
@@ -104,7 +107,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_
         if newest.isEmpty():
             return best
         rounds += 1
-        if rounds % 64 == 0:
+        if rounds % PATIENCE == 0:
             if nodes is None:
                 nodes = edges.select(*key, "id").union(edges.select(*key, "target")).distinct().groupBy(*key).count().agg(F.max("count")).first()[0]
             if rounds > nodes:

@@ -18,7 +18,8 @@ OVERLAP = 0.15
 LABEL_REACH = 36.0
 
 
-def _cells(rows: DataFrame, x, y, w, h, cell: float, pad: float) -> DataFrame:
+def _cells(rows: DataFrame, x, y, w, h, cell, pad) -> DataFrame:
+    """Rows once for each grid cell that a box comes within ``pad`` of; cell and pad: numbers or columns."""
     steps = lambda low, high: F.sequence(F.floor(low / cell), F.floor(high / cell))
     rows = rows.withColumn("_cx", F.explode(steps(x - pad, x + w + pad)))
     return rows.withColumn("_cy", F.explode(steps(y - pad, y + h + pad)))
@@ -27,8 +28,9 @@ def _cells(rows: DataFrame, x, y, w, h, cell: float, pad: float) -> DataFrame:
 def nearest_box(points: DataFrame, boxes: DataFrame, key: str = "doc_id", cutoff: float | None = NEAR, cell: float = 200.0) -> DataFrame:
     """points (px, py) with box_ord: the box at the least distance (the lowest ord of equals), null if none is nearer than the cutoff.
 
-    Without a cutoff the bound is the drawing's largest width + height. With one,
-    boxes meet points by grid cells, so distant pairs are never made.
+    Without a cutoff the bound is the drawing's largest width + height, which is then
+    the side of its grid's cells too. Boxes meet points by cells, so distant pairs are
+    never made.
     """
     box = boxes.select(key, F.col("ord").alias("box_ord"), "x", "y", "w", "h")
     d = edge_distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("w"), F.col("h"))
@@ -37,7 +39,11 @@ def nearest_box(points: DataFrame, boxes: DataFrame, key: str = "doc_id", cutoff
         met = p.join(_cells(box, F.col("x"), F.col("y"), F.col("w"), F.col("h"), cell, cutoff), [key, "_cx", "_cy"]).withColumn("d", d).where(F.col("d") < cutoff)
     else:
         bound = boxes.groupBy(key).agg(F.max(F.col("w") + F.col("h")).alias("bound"))
-        met = points.join(box, key).join(bound, key).withColumn("d", d).where(F.col("d") < F.col("bound"))
+        near = bound.where("bound > 0").select(key, F.col("bound").cast("double").alias("bound"))
+        side = F.col("bound")
+        p = points.join(near, key).withColumn("_cx", F.floor(F.col("px") / side)).withColumn("_cy", F.floor(F.col("py") / side)).drop("bound")
+        b = _cells(box.join(near, key), F.col("x"), F.col("y"), F.col("w"), F.col("h"), side, side)
+        met = p.join(b, [key, "_cx", "_cy"]).withColumn("d", d).where(F.col("d") < side)
     best = met.groupBy(key, "point").agg(F.min_by("box_ord", F.struct("d", "box_ord")).alias("box_ord"), F.min("d").alias("d"))
     return points.join(best, [key, "point"], "left")
 
