@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that were written in the open scopes, the innermost last.
+_scopes: list[list[str]] = []
+
 
 @cache
 def _own() -> str:
@@ -24,10 +29,37 @@ def base_folder(spark: SparkSession) -> str:
     return base or _own()
 
 
+def noted(path: str) -> str:
+    """``path``, which the innermost scope deletes at its end."""
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that operators write within it. Results are lazy and read them, so write or collect results inside.
+
+    For one driver thread at a time, and for classic sessions.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            deleted(spark, path)
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Written once and read back."""
     spark = df.sparkSession
     base = base_folder(spark)
-    path, schema = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}", df.schema
+    path, schema = noted(f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
