@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.sources.scratch import base_folder
+from weftgraph.sources.scratch import base_folder, deleted, noted
 
 
 def folder(spark: SparkSession) -> str:
@@ -17,7 +17,7 @@ def folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and sizes are known to the planner."""
-    spark, path = df.sparkSession, folder(df.sparkSession)
+    spark, path = df.sparkSession, noted(folder(df.sparkSession))
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -33,6 +33,4 @@ def released(spark: SparkSession) -> None:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that no later plan reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._weft_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    deleted(df.sparkSession, df._weft_path)
