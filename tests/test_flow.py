@@ -117,6 +117,27 @@ def test_shortest_paths_of_long_chains_and_negative_cycles(spark, monkeypatch):
         graph.shortest_paths(ring, start)
 
 
+def test_closure_is_breadth_first_search(spark):
+    """Long chains, cycles and short cuts; 300 steps take nine rounds."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(1, k, k + 1) for k in range(300)] + [(2, rng.randrange(25), rng.randrange(25)) for _ in range(45)] + [(3, 0, 0), (3, None, 1), (3, 1, None)]
+    want = set()
+    for doc in (1, 2, 3):
+        out = {}
+        for d, a, b in rows:
+            if d == doc and a is not None and b is not None:
+                out.setdefault(a, set()).add(b)
+        for a in out:
+            depth, newest = {a: 0}, [a]
+            while newest:
+                newest = [b for x in newest for b in out.get(x, ()) if b not in depth and not depth.update({b: depth[x] + 1})]
+            want |= {(doc, a, b, n) for b, n in depth.items() if n}
+    got = graph.closure(spark.createDataFrame(rows, "doc_id long, source long, target long"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_orientation():
     shapes = [{"kind": "start", "y": 0}, {"kind": "action", "y": 50}, {"kind": "decision", "y": 100}, {"kind": "end", "y": 150}]
     links = [{"a": 1, "b": 0, "length": 30.0}, {"a": 1, "b": 2, "length": 30.0}, {"a": 2, "b": 3, "length": 30.0}, {"a": 1, "b": 2, "length": 90.0}]

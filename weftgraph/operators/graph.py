@@ -69,11 +69,30 @@ def unreachable(nodes: DataFrame, edges: DataFrame, key: list[str] = ("doc_id",)
     return nodes.join(got, [*key, "id"], "left_anti")
 
 
+def closure(edges: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
+    """(key, origin, id, depth): of every node what it leads to, by fewest edges, itself aside.
+
+    Rounds double what is known: a path of more than 2 ** k and at most 2 ** (k + 1)
+    edges is a known one and one of exactly 2 ** k, so rounds are the logarithm of the
+    longest shortest path, and each pair is made once for each of its shortest paths.
+    """
+    key = list(key)
+    reach = edges.select(*key, F.col("source").alias("origin"), F.col("target").alias("id")).where("origin is not null and id is not null and origin != id").distinct()
+    reach, size = persisted(reach.withColumn("depth", F.lit(1).cast("long"))), 1
+    while True:
+        on = reach.where(F.col("depth") == size).select(*key, F.col("origin").alias("id"), F.col("id").alias("to"))
+        ahead = reach.join(on, [*key, "id"]).where("origin != to").groupBy(*key, "origin", F.col("to").alias("id")).agg((F.min("depth") + size).alias("depth"))
+        new = persisted(ahead.join(reach.select(*key, "origin", "id"), [*key, "origin", "id"], "left_anti"))
+        if new.isEmpty():
+            return reach
+        reach, size = persisted(reach.unionByName(new)), 2 * size
+
+
 def ancestors(classes: DataFrame, edges: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     """(key, origin, id, depth): all classes above each class along inheritance and realization."""
     key = list(key)
     up = edges.where(F.col("type").isin("inheritance", "realization")).select(*key, "source", F.col("destination").alias("target"))
-    return depths(up, classes.select(*key, F.col("id").alias("origin"), "id"), key).where("depth > 0")
+    return closure(up, key).join(classes.select(*key, F.col("id").alias("origin")).distinct(), [*key, "origin"], "left_semi").select(*key, "origin", "id", "depth")
 
 
 def obligations(classes: DataFrame, methods: DataFrame, edges: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
