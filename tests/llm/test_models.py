@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from weftgraph.llm import lm_scoring as lm
 from weftgraph.llm import quality_classifier, toxicity
-from weftgraph.llm.arrays import LETTER_DIGIT, Words, as_bytes, mix
+from weftgraph.llm.arrays import LETTER_DIGIT, Words
 from weftgraph.llm.labelled import training_rows
 from weftgraph.llm.quality_classifier import quality_scores
 from weftgraph.llm.toxicity import toxicity_scores
