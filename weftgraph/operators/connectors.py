@@ -170,6 +170,10 @@ def fused(pages: DataFrame, boxes: DataFrame, rest: DataFrame, reach: int = REAC
     met = met.join(met.groupBy(*at).count().where("count >= 3").select(*at), at)
     met = persisted(met.withColumn("end", F.row_number().over(Window.partitionBy(*at).orderBy("box", "side", "k")) - 1))
 
+    if met.isEmpty():  # most drawings have no line that crosses another
+        none = lambda t: F.lit(None).cast(t)
+        return met.select(key, none("string").alias("level"), "id", "end", "box", none("string").alias("marker"), none("long").alias("widest"), F.lit(False).alias("dashed"))
+
     # lines that go straight on, and which contacts their ends are
     of = met.select(key, F.col("id").alias("wire")).distinct()
     lines = strokes.skeleton(pages.join(of.select(key).distinct(), key, "left_semi"), boxes, key)
