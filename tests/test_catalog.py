@@ -77,6 +77,21 @@ def test_drawings(spark):
     assert [(r.ord, r.source, r.target) for r in spatial.adjacency(lines, boxes).collect()] == [(0, 0, 1)]
 
 
+def test_nearest_box_meets_once_a_place(spark):
+    from pyspark.sql import functions as F
+
+    boxes = spark.range(20_000).select(F.lit(1).alias("doc_id"), (20_000 - F.col("id")).alias("ord"), (F.col("id") % 2 * 50.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
+    points = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("point"), (F.col("id") % 3 * 30.0).alias("px"), F.lit(5.0).alias("py"))
+    # at 30 both boxes are 20 away: the lowest ord, but 20 is not nearer than a cutoff or a width + height of 20
+    for cutoff, middle in ((None, None), (21.0, 1), (20.0, None)):
+        best = spatial.nearest_box(points, boxes, cutoff=cutoff)  # 400 million pairs of points and boxes
+        assert {(r.px, r.box_ord, r.n) for r in best.groupBy("px", "box_ord").agg(F.count("*").alias("n")).collect()} == {(0.0, 2, 6667), (30.0, middle, 6667), (60.0, 1, 6666)}
+    # squares are equal where roots are rounded apart
+    two = spark.createDataFrame([(1, k, float(x), float(y), 1.0, 1.0) for k, (x, y) in enumerate([(5, 5), (1, 7), (7, 1)])], "doc_id int, ord int, x double, y double, w double, h double")
+    origin = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, None, 0.0)], "doc_id int, point int, px double, py double")
+    assert {(r.point, r.box_ord) for r in spatial.nearest_box(origin, two, cutoff=9.0).collect()} == {(0, 0), (1, None)}
+
+
 def test_edits(spark):
     rows = spark.createDataFrame([(1, "n1", "start", 0, (0.0, 0.0)), (1, "n7", "action", 1, (1.0, 1.0)), (1, "zz", "action", 2, (2.0, 2.0))], "doc_id int, id string, type string, ord int, position struct<x:double,y:double>")
     assert edits.next_number(rows, "n").first()["next"] == 8
