@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.sources.scratch import persisted
 
-#: Rounds of shortest paths after which their number is held against that of the nodes.
-PATIENCE = 64
+#: Rounds of shortest paths after which nodes are taken out of the graph, if they have at most so many pairs of an edge in and one out.
+PATIENCE, PAIRS = 12, 16
 
 
 def depths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), most: int | None = None, boundary: DataFrame | None = None) -> DataFrame:
@@ -112,23 +112,76 @@ def obligations(classes: DataFrame, methods: DataFrame, edges: DataFrame, key: l
 def shortest_paths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     """(key, id, distance) from the sources (key, id) over edges with a length, by relaxing until nothing gets shorter.
 
+    Paths of more than PATIENCE edges aren't followed step by step: nodes with few edges
+    are taken out first (``_contracted``), what is left is relaxed, and the nodes come
+    back in the opposite order. So rounds are the logarithm of a long path where nodes
+    have few edges. Lengths of a path may be added up in any order.
+
     The shortest path of a node has fewer edges than there are nodes, so only a cycle
     of negative length still finds shorter ones after as many rounds: that raises.
     """
     key = list(key)
     edges = persisted(edges.select(*key, F.col("source").alias("id"), "target", "length").where("id is not null and target is not null and length is not null"))
     best = persisted(sources.select(*key, "id", F.lit(0.0).alias("distance")).where("id is not null").distinct())
-    newest, rounds, nodes = best, 0, None
+    best, settled = _relaxed(edges, best, key, PATIENCE)
+    if settled:
+        return best
+    edges, best, taken = _contracted(edges, best, key)
+    nodes = edges.select(*key, "id").union(edges.select(*key, "target")).distinct().groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    best, settled = _relaxed(edges, best, key, nodes)
+    if not settled:
+        raise RuntimeError("the paths don't settle: a cycle of negative length")
+    for into in reversed(taken):
+        ahead = best.join(into, [*key, "id"]).select(*key, F.col("target").alias("id"), (F.col("distance") + F.col("length")).alias("distance"))
+        best = persisted(_least(best.unionByName(ahead), key))
+    return best
+
+
+def _least(found: DataFrame, key: list[str]) -> DataFrame:
+    return found.groupBy(*key, "id").agg(F.min("distance").alias("distance"))
+
+
+def _relaxed(edges: DataFrame, best: DataFrame, key: list[str], most: int) -> tuple[DataFrame, bool]:
+    """(distances after at most so many rounds, whether no round finds shorter ones)."""
+    newest, rounds = best, 0
     while True:
         ahead = newest.join(edges, [*key, "id"]).groupBy(*key, F.col("target").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("new"))
         both = ahead.join(best, [*key, "id"], "left").where("distance is null or new < distance")
         newest = persisted(both.select(*key, "id", F.col("new").alias("distance")))
         if newest.isEmpty():
-            return best
+            return best, True
+        if rounds == most:
+            return best, False
         rounds += 1
-        if rounds % PATIENCE == 0:
-            if nodes is None:
-                nodes = edges.select(*key, "id").union(edges.select(*key, "target")).distinct().groupBy(*key).count().agg(F.max("count")).first()[0]
-            if rounds > nodes:
-                raise RuntimeError("the paths don't settle: a cycle of negative length")
-        best = persisted(best.unionByName(newest).groupBy(*key, "id").agg(F.min("distance").alias("distance")))
+        best = persisted(_least(best.unionByName(newest), key))
+
+
+def _contracted(edges: DataFrame, best: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(edges, best, taken): what is left when nodes with few edges are taken out, and by round the edges that led into these.
+
+    A round takes nodes that aren't beside each other, by lot. Their neighbours get
+    edges past them and the distances that they pass on, so distances of the nodes left
+    stay as they were. A node on a negative cycle of its own stays.
+    """
+    taken: list[DataFrame] = []
+    while True:
+        ends = edges.select(*key, F.col("id").alias("v"), F.col("target").alias("other"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+        ends = ends.unionByName(edges.select(*key, F.col("target").alias("v"), F.col("id").alias("other"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        few = (F.sum("out") * F.sum("in") <= PAIRS) & ~F.bool_or(F.col("v") == F.col("other"))
+        nodes = persisted(ends.groupBy(*key, "v").agg(F.when(few, F.xxhash64("v", F.lit(len(taken)))).alias("lot")))
+        if (nodes.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) <= PATIENCE:
+            return edges, best, taken
+        free = nodes.where("lot is not null")
+        beside = ends.join(free.select(*key, F.col("v").alias("other"), F.col("lot").alias("near")), [*key, "other"]).groupBy(*key, "v").agg(F.min(F.struct("near", "other")).alias("near"))
+        gone = persisted(free.join(beside, [*key, "v"], "left").where(F.col("near").isNull() | (F.struct(F.col("lot").alias("near"), F.col("v").alias("other")) < F.col("near"))).select(*key, "v"))
+        if gone.isEmpty():
+            return edges, best, taken
+        at = lambda c: gone.withColumnRenamed("v", c)  # noqa: E731, B023
+        into, on = persisted(edges.join(at("target"), [*key, "target"], "left_semi").select(*key, "id", "target", "length")), edges.join(at("id"), [*key, "id"], "left_semi")
+        past = into.select(*key, "id", F.col("target").alias("v"), F.col("length").alias("before")).join(on.select(*key, F.col("id").alias("v"), "target", "length"), [*key, "v"]).select(*key, "id", "target", (F.col("before") + F.col("length")).alias("length"))
+        ahead = best.join(on, [*key, "id"]).select(*key, F.col("target").alias("id"), (F.col("distance") + F.col("length")).alias("distance"))
+        best = persisted(_least(best.unionByName(ahead), key))
+        rest = edges.join(at("id"), [*key, "id"], "left_anti").join(at("target"), [*key, "target"], "left_anti")
+        rest = rest.select(*key, "id", "target", "length").unionByName(past).groupBy(*key, "id", "target").agg(F.min("length").alias("length"))
+        edges = persisted(rest.where("id != target or length < 0"))
+        taken.append(into)
