@@ -64,3 +64,12 @@ def test_a_negative_cycle_far_away_raises(spark):
     # one that no source leads to doesn't
     away = spark.createDataFrame([(1, a + (a > 15) * 100, b + (b > 15) * 100, w) for a, b, w in links if a != 15], "doc_id long, source long, target long, length double")
     assert graph.shortest_paths(away, spark.createDataFrame([(1, 0)], "doc_id long, id long")).count() == 16
+
+
+def test_depths_send_no_table_round(spark, monkeypatch):
+    plans, write = [], graph.persisted
+    monkeypatch.setattr(graph, "persisted", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "doc_id long, source long, target long")
+    got = graph.depths(edges, spark.createDataFrame([(1, 0, 0)], "doc_id long, origin long, id long"))
+    assert {(r.id, r.depth) for r in got.collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

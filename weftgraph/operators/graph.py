@@ -25,12 +25,14 @@ def depths(edges: DataFrame, sources: DataFrame, key: list[str] = ("doc_id",), m
     steps = edges.select(*key, F.col("source").alias("id"), "target").distinct()
     if boundary is not None:
         steps = steps.join(boundary.select(*key, "id").distinct(), [*key, "id"], "left_anti")
+    # tables of ids are small as files and many times larger in memory, so none is sent round whole
+    steps = persisted(steps).hint("merge")
     seen = persisted(sources.select(*key, "origin", "id", F.lit(0).cast("long").alias("depth")).distinct())
     newest, depth = seen, 0
     while True:
         depth += 1
         ahead = newest.join(steps, [*key, "id"]).select(*key, "origin", F.col("target").alias("id")).distinct()
-        ahead = persisted(ahead.join(seen.select(*key, "origin", "id"), [*key, "origin", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        ahead = persisted(ahead.join(seen.select(*key, "origin", "id").hint("merge"), [*key, "origin", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if ahead.isEmpty():
             return seen
         if most is not None and depth > most:
