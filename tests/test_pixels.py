@@ -86,3 +86,18 @@ def test_class_boxes(spark):
     pages = spark.createDataFrame([(7, 500, 400, page.tobytes()), (8, 0, 0, None)], "doc_id long, width long, height long, grey binary")
     got = sorted((r.doc_id, r.x, r.y, r.w, r.h, list(r.dividers)) for r in pixels.class_boxes(pixels.runs(pages)).collect())
     assert got == [(7, 50, 41, 150, 160, [81, 141]), (7, 50, 241, 150, 60, [])]
+
+
+def test_a_long_drawing_is_read_back_from_sheets(spark):
+    from pyspark.sql import functions as F
+
+    from weftgraph.operators import pixels
+    from weftgraph.render import raster
+
+    boxes = spark.range(300).select(F.lit(1).cast("long").alias("d"), F.col("id").alias("ord"), F.lit("action").alias("kind"), (F.col("id") % 2 * 160.0).alias("x"), (F.floor(F.col("id") / 2) * 120.0 + F.col("id") % 2 * 30).alias("y"), F.lit(80.0).alias("w"), F.lit(60.0).alias("h"))
+    cut = raster.sheets(boxes, "d").withColumn("doc_id", F.col("sheet"))
+    assert {r.n for r in cut.groupBy(F.floor(F.col("ord") / 2)).agg(F.countDistinct("sheet").alias("n")).collect()} == {1}  # what shares a line isn't parted
+    pages = raster.drawn(cut, cut.selectExpr("doc_id", "ord", "ord AS source", "ord AS target").limit(0))
+    assert {(r.error, r.height <= raster.SHEET + 90 + 2 * raster.MARGIN) for r in pages.select("error", "height").collect()} == {(None, True)}
+    found = pixels.activity_shapes(pixels.runs(pages, layers=("ink", "blank", "solid", "bar"))).join(pages.select("doc_id", "top"), "doc_id")
+    assert sorted(r.y for r in found.select((F.col("y") + F.col("top")).cast("int").alias("y")).collect()) == sorted(r.y for r in boxes.select(F.col("y").cast("int").alias("y")).collect())

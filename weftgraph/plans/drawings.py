@@ -27,12 +27,12 @@ def _placed(spark, sf_dir):
 
 @query(f"SELECT doc_id::BIGINT AS doc_id, kind, (x + w / 2)::BIGINT AS cx, (y + h / 2)::BIGINT AS cy FROM ({_PLACED})")
 def shapes_read_back(spark, sf_dir):
-    """Figures drawn as pixels, found again by kind and centre."""
-    boxes = _placed(spark, sf_dir)
-    pages = raster.drawn(boxes, boxes.selectExpr("doc_id", "ord", "ord AS source", "ord AS target").limit(0))
-    page = pages.select("doc_id", F.col("left").alias("l"), F.col("top").alias("t"))
+    """Figures drawn as pixels, found again by kind and centre; a long drawing is drawn on several sheets."""
+    boxes = raster.sheets(_placed(spark, sf_dir)).withColumns({"drawing": F.col("doc_id"), "doc_id": F.concat_ws("/", "doc_id", "sheet")})
+    pages = raster.drawn(boxes, boxes.selectExpr("doc_id", "ord", "ord AS source", "ord AS target").limit(0), key_type="string")
+    page = pages.select("doc_id", F.col("left").alias("l"), F.col("top").alias("t")).join(boxes.select("doc_id", "drawing").distinct(), "doc_id")
     found = pixels.activity_shapes(pixels.runs(pages, layers=("ink", "blank", "solid", "bar")))
-    return found.join(page, "doc_id").select("doc_id", "kind", F.round(F.col("x") + F.col("w") / 2 + F.col("l")).cast("long").alias("cx"), F.round(F.col("y") + F.col("h") / 2 + F.col("t")).cast("long").alias("cy"))
+    return found.join(page, "doc_id").select(F.col("drawing").alias("doc_id"), "kind", F.round(F.col("x") + F.col("w") / 2 + F.col("l")).cast("long").alias("cx"), F.round(F.col("y") + F.col("h") / 2 + F.col("t")).cast("long").alias("cy"))
 
 
 @query(

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.geometry import anchor
@@ -23,6 +23,8 @@ MARGIN, STROKE, EDGE_GAP = 60, 3, 14.0
 HEAD, DIAMOND, HALF_WIDTH, DASH, DASH_GAP = 18, 24, 9, 9, 6
 #: Sides beyond this are refused, as one drawing is rasterised in one task.
 MOST_SIDE = 16_384
+#: How high the sheets are that a long drawing is cut into.
+SHEET = 1_024
 WHITE = 255
 
 
@@ -118,6 +120,20 @@ def _marker(page: np.ndarray, kind: str, x1: float, y1: float, x2: float, y2: fl
         part[inside & core] = WHITE
 
 
+def sheets(boxes: DataFrame, key: str = "doc_id", most: int = SHEET) -> DataFrame:
+    """Boxes (ord, x, y, w, h) with the number of their sheet: long drawings without lines are cut between boxes.
+
+    Boxes that share a line are on one sheet, however many hang together; sheets begin
+    within ``most`` of each other, so one is at most that and what hangs together high.
+    """
+    by = Window.partitionBy(key).orderBy("y", "ord")
+    bottom = F.max(F.col("y") + F.col("h")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce(F.col("y") > bottom, F.lit(True)).cast("long")
+    rows = boxes.withColumn("_row", F.sum(cut).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.min("y").over(Window.partitionBy(key, "_row"))
+    return rows.withColumn("_top", top).withColumn("sheet", F.floor((F.col("_top") - F.min("y").over(Window.partitionBy(key))) / most)).drop("_row", "_top")
+
+
 def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str = "long") -> DataFrame:
     """(key, error, left, top, width, height, grey, png) for each drawing of boxes (ord, kind, x, y, w, h) and edges (ord, source, target, perhaps marker and dashed).
 
@@ -149,4 +165,6 @@ def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str
                     _draw(page, b["kind"], b["x"] - left, b["y"] - top, b["w"], b["h"])
                 yield pd.DataFrame([[k, None, left, top, width, height, page.tobytes(), png(page)]], columns=names)
 
-    return of.join(way, key, "left").mapInPandas(run, f"{key} {key_type}, error string, left long, top long, width long, height long, grey binary, png binary")
+    # boxes are few bytes and pages many: without a number of its own the shuffle would end in one task
+    docs = of.join(way, key, "left").repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return docs.mapInPandas(run, f"{key} {key_type}, error string, left long, top long, width long, height long, grey binary, png binary")
