@@ -187,3 +187,42 @@ def test_markers_at_every_angle(spark):
     got = {r.doc_id: (r.marker, r.dashed, {r.source, r.target}) for r in C.connectors(pages, placed, reach=20).collect()}
     want = {d: (marker, dashed, {0, 1}) for d, _, _, _, marker, dashed in edges}
     assert [(d, got.get(d)) for d in want if got.get(d) != want[d]] == [] and len(got) == len(want)
+
+
+def slanted():
+    """Boxes at the corners, moved a little, and both diagonals with markers that their outlines' thinned ink turns most."""
+    kinds, boxes, edges = ["arrow", "triangle", "hollow_diamond", "filled_diamond"], [], []
+    for doc, ns in {46: (5, 3, 1, 11), 54: (5, 17, 1, 24), 81: (8, 0, 10, 11), 94: (18, 16, 9, 24), 141: (5, 21, 1, 1), 167: (4, 11, 10, 24), 248: (0, 8, 9, 19)}.items():
+        boxes += [(doc, k, "action", (440.0 if k in (1, 2) else 0.0) + n % 7 * 5, (320.0 if k >= 2 else 0.0) + n % 5 * 6, 80.0, 50.0) for k, n in enumerate(ns)]
+        edges += [(doc, k, k, k + 2, kinds[(ns[k] + k) % 4], False) for k in (0, 1)]
+    return boxes, edges
+
+
+def test_markers_of_crossing_lines_are_read_along_the_whole_line(spark):
+    boxes, edges = slanted()
+    frames = spark.createDataFrame(boxes, BOXES), spark.createDataFrame(edges, EDGES)
+    pages = raster.drawn(*frames).persist()
+    placed = frames[0].join(raster.corners(frames[0]), "doc_id").selectExpr("doc_id", "ord", "x - left AS x", "y - top AS y", "w", "h")
+    got = sorted((r.doc_id, r.source, r.target, r.marker) for r in C.connectors(pages, placed, reach=20).collect())
+    assert got == sorted((d, *((t, s) if m.endswith("diamond") else (s, t)), m) for d, _, s, t, m, _ in edges)
+
+
+def test_an_images_segments_are_those_of_its_pixels(spark):
+    pages = [(doc, *page.shape[::-1], page.tobytes()) for doc, page in enumerate(map(scribble, range(3)))]
+    pages = spark.createDataFrame([*pages, (9, 5, 5, b"\xff" * 25), (10, 0, 0, None)], PAGE)
+    names = ("doc_id", "wire", "piece", "a", "b", "e", "back", "length", "ahead")
+    got = S.image_segments(pages).collect()
+    assert got and sorted(tuple(r[c] for c in names) for r in got) == sorted(tuple(r[c] for c in names) for r in S.segments(S.skeleton(pages)).collect())
+    for doc in range(3):
+        near = graph(S.thinned(S.outside(scribble(doc).tobytes(), 120, 120, None)))
+        inner = [p for p in near if len(near[p]) == 2]
+        reached, todo = set(), [q for p in near if len(near[p]) != 2 for q in near[p]]
+        while todo:
+            p = todo.pop()
+            if len(near[p]) == 2 and p not in reached:
+                reached.add(p)
+                todo += near[p]
+        # each segment is there from both of its ends
+        sums = [sum(r[c] for r in got if r.doc_id == doc) / 2 for c in S.SUMS]
+        y, x = np.array([p for p in inner if p in reached], float).reshape(-1, 2).T
+        assert sums == [len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]

@@ -34,7 +34,6 @@ ACROSS = 4.5
 
 def wires(pages: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, wire, piece, line, start, end): runs of ink outside the boxes (x, y, w, h). Pages without boxes or pixels have none."""
-    of = boxes.where("x is not null and y is not null and w is not null and h is not null").groupBy(key).agg(F.collect_list(F.struct(*[F.round(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])).alias("boxes"))
     names = ["wire", "piece", "line", "start", "end"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +45,8 @@ def wires(pages: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.repeat(k, len(y)), *[pa.array(c.astype(np.int64)) for c in (wire, piece, y, start, end)]], [key, *names])
 
     key_type = pages.schema[key].dataType.simpleString()
-    return pages.select(key, F.col("width").cast("long"), F.col("height").cast("long"), "grey").join(of, key).mapInArrow(run, f"{key} {key_type}, wire long, piece long, line long, start long, `end` long")
+    of = strokes.with_boxes(pages.select(key, F.col("width").cast("long"), F.col("height").cast("long"), "grey"), boxes, key)
+    return of.mapInArrow(run, f"{key} {key_type}, wire long, piece long, line long, start long, `end` long")
 
 
 def _levels(found: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def contacts(found: DataFrame, boxes: DataFrame, reach: int = REACH, key: str =
     box = boxes.select(key, F.col("ord").alias("box"), *[F.round(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])
     right, bottom = F.col("x") + F.col("w") - 1, F.col("y") + F.col("h") - 1
     box = box.withColumn("band", F.explode(F.sequence(F.floor((F.col("y") - reach) / BAND), F.floor((bottom + reach) / BAND))))
-    met = _levels(found).withColumn("band", F.floor(F.col("line") / BAND)).join(box, [key, "band"])
+    met = found.withColumn("band", F.floor(F.col("line") / BAND)).join(box, [key, "band"])
     across = (F.col("start") <= right) & (F.col("end") > F.col("x"))
     beside = F.col("line").between(F.col("y"), bottom)
     near = lambda d: (d > 0) & (d <= reach)
@@ -71,7 +71,7 @@ def contacts(found: DataFrame, boxes: DataFrame, reach: int = REACH, key: str =
     # beyond a corner the side that is further away counts, if the wire comes to the box nowhere else
     gap_x, gap_y = F.greatest(F.col("x") - F.col("end") + 1, F.col("start") - right), F.greatest(F.col("y") - F.col("line"), F.col("line") - bottom)
     corner = F.when((gap_x > 0) & (gap_y > 0) & (F.hypot(gap_x, gap_y) <= reach), F.when(gap_y >= gap_x, F.when(F.col("line") < F.col("y"), "top").otherwise("bottom")).otherwise(F.when(F.col("start") > right, "right").otherwise("left")))
-    met = met.withColumns({"proper": side, "side": F.coalesce(side, corner)}).where("side is not null")
+    met = _levels(met.withColumns({"proper": side, "side": F.coalesce(side, corner)}).where("side is not null"))
     nearest = Window.partitionBy(key, "level", "id", "box").orderBy(F.col("proper").isNull(), F.hypot(gap_x, gap_y), "line", "start")
     met = met.withColumn("first", F.row_number().over(nearest)).where("proper is not null or first = 1")
     flat = F.col("side").isin("top", "bottom")
@@ -176,7 +176,7 @@ def fused(pages: DataFrame, boxes: DataFrame, rest: DataFrame, reach: int = REAC
 
     # lines that go straight on, and which contacts their ends are
     of = met.select(key, F.col("id").alias("wire")).distinct()
-    lines = strokes.skeleton(pages.join(of.select(key).distinct(), key, "left_semi"), boxes, key)
+    lines = strokes.image_segments(pages, boxes.join(of.select(key).distinct(), key, "left_semi"), key)
     lines = lines.join(of, [key, "wire"], "left_semi").join(rest.select(key, "piece").distinct(), [key, "piece"], "left_semi")
     ends, gaps = strokes.trails(lines, rest, boxes, reach, key)
     ends = persisted(ends)
@@ -187,7 +187,7 @@ def fused(pages: DataFrame, boxes: DataFrame, rest: DataFrame, reach: int = REAC
     far = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     pair = ends.join(met.select(*at, "box", "px", "py", "end"), [*at, "box"]).select(*at, "i", (-F.col("end") - 1).cast("int").alias("j"), far.alias("d")).where(F.col("d") <= MATCH)
     pair = persisted(mutual_nearest(pair, at).select(*at, F.col("j").alias("i"), (-F.col("i") - 1).alias("end")))
-    along = ends.join(pair, [*at, "i"]).select(*at, "end", "ux", "uy", "x", "y")
+    along = ends.join(pair, [*at, "i"]).select(*at, "end", "ux", "uy", F.col("lx").alias("x"), F.col("ly").alias("y"))
     told = leaving(met, along, [*at, "end"])
     told = persisted(told.join(end_markers(told, rest, reach, key).where("level = 'wire'").select(*at, "end", "marker", "widest"), [*at, "end"], "left"))
 

@@ -1,11 +1,11 @@
 """Strokes as graphs of pixels: thinning, segments between nodes, and lines that cross.
 
-Per image numpy thins the ink to lines one pixel wide and tells which of its eight
-neighbours each pixel has. From there on strokes are edge tables. Pixels with two
-neighbours are contracted by pointer jumping: a step from a pixel to its neighbour
-points to the step after it, and every round doubles how far steps see, so rounds are
-the logarithm of the longest segment. Pixels with one, three or more neighbours are
-the nodes.
+Per image numpy thins the ink to lines one pixel wide, tells which of its eight
+neighbours each pixel has, and contracts the pixels with two neighbours by pointer
+jumping: a step from a pixel to its neighbour points to the step after it, and every
+round doubles how far steps see, so rounds are the logarithm of the longest segment.
+Pixels with one, three or more neighbours are the nodes. ``segments`` does the same to
+tables of pixels, which may be of any size. From there on strokes are edge tables.
 
 Nodes that lie close together are one place: the two forks that thinning makes of a
 crossing, and the outline of a marker beside its box. At a place that isn't at a box
@@ -35,6 +35,8 @@ ERASE, GAP = 3, 10
 #: A pixel's id is y * ROW + x. Neighbours, in the order of the bits of ``near``.
 ROW = 1 << 20
 AROUND = ((-1, 0), (0, 1), (1, 0), (0, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))
+#: The sums of a segment's inner pixels: their number, x, y, and products.
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 #: Rounds after which a step has seen far enough to tell its segment's direction (2 ** LOOK pixels).
 LOOK = 4
 #: Segments up to JOINT pixels at a fork, and up to MARKER between places within ZONE of one box, are part of a place.
@@ -43,8 +45,8 @@ JOINT, MARKER, ZONE = 8, 32, 44
 RING = 100
 #: Segments in line deviate by at most STRAIGHT; loose ends face each other across at most DASH_GAP.
 STRAIGHT, DASH_GAP = math.radians(30), 34.0
-#: Thinning takes so many pixels off the end of a line.
-SHORTER = 4
+#: Thinning takes so many pixels off the end of a line; those of a straight one spread by at most SPREAD across it.
+SHORTER, SPREAD = 4, 1.5
 
 
 def outside(grey: bytes, height: int, width: int, boxes: list | None) -> np.ndarray:
@@ -86,25 +88,50 @@ def thinned(mask: np.ndarray) -> np.ndarray:
             return full
 
 
-def neighbours(line: np.ndarray) -> np.ndarray:
-    """Bits of the neighbours of each pixel; one across a corner counts only if no pixel beside joins the two already."""
-    p = np.pad(line, 1)
-    at = lambda dy, dx: p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx]
-    out = np.zeros(line.shape, np.int64)
+def neighbours(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, near) of the pixels: near has the bits of the neighbours; one across a corner counts only if no pixel beside joins the two already."""
+    p, (y, x) = np.pad(line, 1), np.nonzero(line)
+    at = lambda dy, dx: p[y + 1 + dy, x + 1 + dx]
+    near = np.zeros(len(y), np.int64)
     for k, (dy, dx) in enumerate(AROUND):
-        near = at(dy, dx) if not dy or not dx else at(dy, dx) & ~at(dy, 0) & ~at(0, dx)
-        out |= near.astype(np.int64) << k
-    return np.where(line, out, 0)
+        near |= (at(dy, dx) if not dy or not dx else at(dy, dx) & ~at(dy, 0) & ~at(0, dx)).astype(np.int64) << k
+    return y, x, near
+
+
+def contracted(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(y, x, columns) of the segments of thinned ink from each of their ends: where the first node is, and a, b, e, back, length and ahead as ``segments`` has them, with SUMS."""
+    y, x, near = neighbours(line)
+    bits = near[:, None] >> np.arange(8) & 1
+    at, way = np.nonzero(bits)
+    dy, dx = np.array(AROUND).T
+    width, back = line.shape[1], np.array([AROUND.index((-a, -b)) for a, b in AROUND])
+    to = np.searchsorted(y * width + x, (y[at] + dy[way]) * width + x[at] + dx[way])
+    number = np.cumsum(bits.ravel()).reshape(bits.shape) - 1
+    # of a pixel with two neighbours a step goes on along the bit that it didn't come by
+    degree = bits.sum(1)
+    through = degree[to] == 2
+    ways = (bits * np.arange(8)).sum(1)
+    then = np.arange(len(at))
+    then[through] = number[to[through], ways[to[through]] - back[way[through]]]
+    px, py = x[to].astype(float), y[to].astype(float)
+    sums = np.column_stack([np.ones(len(at)), px, py, px * px, py * py, px * py]) * through[:, None]
+    first, rounds, ahead = np.flatnonzero(degree[at] != 2), 0, None
+    while True:
+        if rounds == LOOK:
+            ahead = to[then[first]]
+        if ahead is not None and not through[then[first]].any():
+            break
+        sums, then, rounds = sums + sums[then], then[then], rounds + 1
+    last, id = then[first], y * ROW + x
+    start = at[first]
+    columns = {"a": id[start], "b": id[to[last]], "e": id[start] * 8 + way[first], "back": id[to[last]] * 8 + back[way[last]], "length": sums[first, 0].astype(np.int64) + 1, "ahead": id[ahead]}
+    return y[start], x[start], columns | {k: sums[first, i] for i, k in enumerate(SUMS)}
 
 
-def skeleton(pages: DataFrame, boxes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, wire, piece, id, near): the thinned ink of pages (width, height, grey) outside the boxes (x, y, w, h); pages without pixels have none."""
+def _thinned(pages: DataFrame, boxes: DataFrame | None, key: str, schema: str, rows) -> DataFrame:
+    """(key, wire, piece, schema): ``rows`` (y, x, columns) of the thinned ink of pages (width, height, grey) outside the boxes."""
     kind = "array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>"
-    if boxes is None:
-        of = pages.withColumn("boxes", F.lit(None).cast(kind))
-    else:
-        found = boxes.where("x is not null and y is not null and w is not null and h is not null").groupBy(key).agg(F.collect_list(F.struct(*[F.round(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])).alias("boxes"))
-        of = pages.join(found, key)
+    of = pages.withColumn("boxes", F.lit(None).cast(kind)) if boxes is None else with_boxes(pages, boxes, key)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -112,15 +139,36 @@ def skeleton(pages: DataFrame, boxes: DataFrame | None = None, key: str = "doc_i
                 if not grey or not width or not height:
                     continue
                 mask = outside(grey, height, width, found)
-                line = thinned(mask)
-                y, x = np.nonzero(line)
+                y, x, columns = rows(thinned(mask))
                 run_y, start, _, piece, wire = named(mask)
                 at = np.searchsorted(run_y * width + start, y * width + x, side="right") - 1
-                columns = wire[at], piece[at], y * ROW + x, neighbours(line)[y, x]
-                yield pa.RecordBatch.from_arrays([pa.repeat(k, len(y)), *[pa.array(c.astype(np.int64)) for c in columns]], [key, "wire", "piece", "id", "near"])
+                found = {"wire": wire[at], "piece": piece[at]} | columns
+                yield pa.RecordBatch.from_arrays([pa.repeat(k, len(y)), *[pa.array(c if c.dtype == float else c.astype(np.int64)) for c in found.values()]], [key, *found])
 
     key_type = pages.schema[key].dataType.simpleString()
-    return of.select(key, F.col("width").cast("long"), F.col("height").cast("long"), "grey", "boxes").mapInArrow(run, f"{key} {key_type}, wire long, piece long, id long, near long")
+    return of.select(key, F.col("width").cast("long"), F.col("height").cast("long"), "grey", "boxes").mapInArrow(run, f"{key} {key_type}, wire long, piece long, {schema}")
+
+
+def with_boxes(pages: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages that have boxes (x, y, w, h), with these as a list."""
+    of = boxes.where("x is not null and y is not null and w is not null and h is not null").groupBy(key).agg(F.collect_list(F.struct(*[F.round(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])).alias("boxes"))
+    return pages.join(of, key)
+
+
+def skeleton(pages: DataFrame, boxes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, wire, piece, id, near): the thinned ink of pages (width, height, grey) outside the boxes (x, y, w, h); pages without pixels have none."""
+
+    def rows(line: np.ndarray):
+        y, x, near = neighbours(line)
+        return y, x, {"id": y * ROW + x, "near": near}
+
+    return _thinned(pages, boxes, key, "id long, near long", rows)
+
+
+def image_segments(pages: DataFrame, boxes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """What ``segments`` makes of the ``skeleton`` of pages, with the SUMS of each segment's pixels between its nodes; an image's pixels are never rows."""
+    ids = ", ".join(f"{c} long" for c in ("a", "b", "e", "back", "length", "ahead"))
+    return _thinned(pages, boxes, key, ids + "".join(f", {c} double" for c in SUMS), contracted)
 
 
 def _beside(id: str = "id", near: str = "near") -> Column:
@@ -216,9 +264,14 @@ def main_axes(found: DataFrame, by: list[str]) -> DataFrame:
     n, a, b, y = (F.col("end") - F.col("start")).cast("double"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("line").cast("double")
     x1 = n * (a + b - 1) / 2
     x2 = ((b - 1) * b * (2 * b - 1) - (a - 1) * a * (2 * a - 1)) / 6
-    out = found.where("end > start").groupBy(*by).agg(F.sum(n).alias("n"), F.sum(x1).alias("x"), F.sum(n * y).alias("y"), F.sum(x2).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(x1 * y).alias("xy"))
-    mx, my = F.col("x") / F.col("n"), F.col("y") / F.col("n")
-    out = out.select(*by, "n", mx.alias("mx"), my.alias("my"), (F.col("xx") - mx * F.col("x")).alias("cxx"), (F.col("yy") - my * F.col("y")).alias("cyy"), (F.col("xy") - mx * F.col("y")).alias("cxy"))
+    return axes_of_sums(found.where("end > start").select(*by, *[c.alias(a) for c, a in zip((n, x1, n * y, x2, n * y * y, x1 * y), SUMS, strict=True)]), by)
+
+
+def axes_of_sums(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The main axes of what rows hold the SUMS of."""
+    out = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n > 0")
+    mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    out = out.select(*by, "n", mx.alias("mx"), my.alias("my"), (F.col("sxx") - mx * F.col("sx")).alias("cxx"), (F.col("syy") - my * F.col("sy")).alias("cyy"), (F.col("sxy") - mx * F.col("sy")).alias("cxy"))
     turn = F.atan2(2 * F.col("cxy"), F.col("cxx") - F.col("cyy")) / 2
     half, apart = (F.col("cxx") + F.col("cyy")) / 2, F.hypot((F.col("cxx") - F.col("cyy")) / 2, F.col("cxy"))
     return out.select(*by, "n", "mx", "my", F.cos(turn).alias("ax"), F.sin(turn).alias("ay"), F.sqrt(F.greatest(half + apart, F.lit(0.0))).alias("long"), F.sqrt(F.greatest(half - apart, F.lit(0.0))).alias("short"))
@@ -236,7 +289,7 @@ def arms(pieces: DataFrame, at: DataFrame, key: str = "doc_id") -> DataFrame:
     vx, vy = ax - F.col("cx"), ay - F.col("cy")
     far = F.nullif(F.hypot(vx, vy), F.lit(0.0))
     seg = F.least("e", "back")
-    return met.select(key, "wire", "piece", "place", "box", "e", seg.alias("seg"), (seg * 2 + (F.col("e") != seg).cast("long")).alias("end"), "length", x.alias("x"), y.alias("y"), (vx / far).alias("dx"), (vy / far).alias("dy"))
+    return met.select(key, "wire", "piece", "place", "box", "e", seg.alias("seg"), (seg * 2 + (F.col("e") != seg).cast("long")).alias("end"), "length", x.alias("x"), y.alias("y"), (vx / far).alias("dx"), (vy / far).alias("dy"), *SUMS)
 
 
 def straight_on(leaving: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -285,12 +338,14 @@ def pointed_at(loose: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataF
     return hit.groupBy(key, "end").agg(F.min_by(F.struct(F.col("box_ord").alias("box"), F.col("px").alias("x"), F.col("py").alias("y")), "t").alias("h")).select(key, "end", "h.*")
 
 
-def trails(pixels: DataFrame, found: DataFrame, boxes: DataFrame, reach: float, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """((key, wire, trail, box, x, y, ux, uy), (key, trail, gaps)): where lines that go straight on end at boxes and in which direction they leave there, and over how many gaps they go; loose ends have no box.
+def trails(pieces: DataFrame, found: DataFrame, boxes: DataFrame, reach: float, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """((key, wire, trail, box, x, y, ux, uy, lx, ly), (key, trail, gaps)): where lines that go straight on end at boxes, in which direction they leave there and by which point, and over how many gaps they go; loose ends have no box.
 
-    ``found``: the runs (piece, line, start, end) that the pixels are of.
+    ``pieces``: ``image_segments``. ``found``: the runs (piece, line, start, end) that they are of.
+    A trail that is straight all along leaves along its main axis, which the outline of a
+    marker beside an end can't turn.
     """
-    pieces = persisted(segments(pixels, key))
+    pieces = persisted(pieces)
     at = persisted(places(pieces, boxes, reach, key))
     leaving = persisted(arms(pieces, at, key))
     loose = persisted(loose_ends(leaving, main_axes(found, [key, "piece"]), key))
@@ -299,12 +354,17 @@ def trails(pixels: DataFrame, found: DataFrame, boxes: DataFrame, reach: float,
     link = on.join(seg.select(key, F.col("e").alias("a"), F.col("seg").alias("sa")), [key, "a"]).join(seg.select(key, F.col("e").alias("b"), F.col("seg").alias("sb")), [key, "b"]).select(key, F.col("sa").alias("a"), F.col("sb").alias("b"))
     half = lambda c: F.floor(F.col(c) / 2)
     one = persisted(components(link.unionByName(gaps.select(key, half("a").alias("a"), half("b").alias("b"))), [key]))
-    of = leaving.select(key, "wire", "place", "box", "e", "end", F.col("seg").alias("id"), "x", "y", "dx", "dy").join(one, [key, "id"], "left").withColumn("trail", F.coalesce("component", "id"))
+    of = leaving.select(key, "wire", "place", "box", "e", "end", F.col("seg").alias("id"), "x", "y", "dx", "dy", *SUMS).join(one, [key, "id"], "left").withColumn("trail", F.coalesce("component", "id"))
+    of = persisted(of)
+    axes = axes_of_sums(of.where("e = id"), [key, "trail"]).where((F.col("short") <= SPREAD * F.sqrt("n")) & (F.col("long") >= 4 * F.col("short")))
     used = on.select(key, F.explode(F.array("a", "b")).alias("e"))
     joined = gaps.select(key, F.explode(F.array("a", "b")).alias("end"))
     free = loose.join(joined, [key, "end"], "left_anti")
     aimed = pointed_at(free, boxes, key).select(key, "end", F.col("box").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     ends = of.join(used, [key, "e"], "left_anti").join(joined, [key, "end"], "left_anti").join(aimed, [key, "end"], "left")
-    ends = ends.select(key, "wire", "trail", F.coalesce("box", "to").alias("box"), F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y"), F.col("dx").alias("ux"), F.col("dy").alias("uy"))
+    ends = ends.join(axes.select(key, "trail", "mx", "my", "ax", "ay"), [key, "trail"], "left")
+    sign = F.when(F.col("dx") * F.col("ax") + F.col("dy") * F.col("ay") < 0, -1.0).otherwise(1.0)
+    place = {"x": F.coalesce("tx", "x"), "y": F.coalesce("ty", "y")}
+    ends = ends.select(key, "wire", "trail", F.coalesce("box", "to").alias("box"), place["x"].alias("x"), place["y"].alias("y"), *[F.coalesce(sign * F.col(f"a{c}"), f"d{c}").alias(f"u{c}") for c in "xy"], *[F.coalesce(f"m{c}", place[c]).alias(f"l{c}") for c in "xy"])
     over = gaps.select(key, half("a").alias("id")).join(one, [key, "id"]).groupBy(key, F.col("component").alias("trail")).agg(F.count("*").alias("gaps"))
     return ends, over

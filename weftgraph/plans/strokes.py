@@ -18,8 +18,8 @@ def _ring(spark, sf_dir):
     return rows.select("doc_id", "ord", "n", F.lit("action").alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(80.0).alias("w"), F.lit(50.0).alias("h"))
 
 
-def _placed(boxes, pages):
-    return boxes.join(pages.select("doc_id", "left", "top"), "doc_id").select("doc_id", "ord", (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "w", "h")
+def _placed(boxes, corners):
+    return boxes.join(corners, "doc_id").select("doc_id", "ord", (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "w", "h")
 
 
 @query(
@@ -33,7 +33,7 @@ def crossing_lines(spark, sf_dir):
     kind = F.array(*[F.lit(m) for m in ("arrow", "triangle", "hollow_diamond", "filled_diamond")])[(F.col("n") + F.col("ord")).cast("int") % 4]
     edges = boxes.where("ord < 2").join(end, ["doc_id", "ord"]).select("doc_id", "ord", F.col("ord").alias("source"), "target", kind.alias("marker"), F.lit(False).alias("dashed"))
     pages = raster.drawn(boxes, edges)
-    found = connectors.connectors(pages, _placed(boxes, pages), reach=int(raster.EDGE_GAP) + 6)
+    found = connectors.connectors(pages, _placed(boxes, raster.corners(boxes)), reach=int(raster.EDGE_GAP) + 6)
     return found.select("doc_id", "source", "target", "marker")
 
 
@@ -50,7 +50,7 @@ def shared_buses(spark, sf_dir):
     down = boxes.select("doc_id", "ord", (F.col("ord") + 10).alias("source"), F.col("ord").alias("target"), F.when(F.col("ord") == 0, "triangle").alias("marker"), F.lit(False).alias("dashed"))
     bar = whole.select("doc_id", F.lit(20).cast("long").alias("ord"), F.lit(11).cast("long").alias("source"), F.lit(14).cast("long").alias("target"), F.lit(None).cast("string").alias("marker"), F.lit(False).alias("dashed"))
     pages = raster.drawn(boxes.unionByName(corners), down.unionByName(bar))
-    found = connectors.connectors(pages, _placed(boxes, pages), reach=int(raster.EDGE_GAP) + 4)
+    found = connectors.connectors(pages, _placed(boxes, raster.corners(boxes.unionByName(corners))), reach=int(raster.EDGE_GAP) + 4)
     return found.select("doc_id", "source", "target", "type")
 
 
@@ -160,7 +160,7 @@ def image_documents(spark, sf_dir):
         F.struct(F.lit(2.0).alias("at"), F.when(F.col("n") % 3 == 0, F.lit("<<interface>>")).alias("text")), F.struct(F.lit(18.0).alias("at"), F.concat(F.lit("Supplier"), "s").alias("text")),
         F.struct(F.lit(55.0).alias("at"), F.concat(F.lit("- nation"), "n", F.lit(": int")).alias("text")), F.struct(F.lit(105.0).alias("at"), F.concat(F.lit("+ run"), "k", F.lit("(): void")).alias("text")),
     ), lambda t: t["text"].isNotNull()))
-    texts = rows.withColumn("t", said).join(pages.select("doc_id", "left", "top"), "doc_id").select("doc_id", (F.col("x") + 10 - F.col("left")).alias("x"), (F.col("y") + F.col("t.at") - F.col("top")).alias("y"), F.lit(80.0).alias("w"), F.lit(14.0).alias("h"), "t.text")
+    texts = rows.withColumn("t", said).join(raster.corners(boxes), "doc_id").select("doc_id", (F.col("x") + 10 - F.col("left")).alias("x"), (F.col("y") + F.col("t.at") - F.col("top")).alias("y"), F.lit(80.0).alias("w"), F.lit(14.0).alias("h"), "t.text")
     docs = assembly.class_documents(pages, texts, int(raster.EDGE_GAP) + 4)
     classes = docs.select("doc_id", F.explode("doc.classes").alias("c")).select("doc_id", F.col("c.kind").alias("what"), F.col("c.id").alias("a"), F.col("c.name").alias("b"), F.array_join(F.transform("c.attributes", lambda a: F.concat(a["name"], F.lit(": "), a["datatype"])), ", ").alias("attribute"), F.array_join(F.transform("c.methods", lambda m: m["name"]), ", ").alias("method"))
     none = F.lit(None).cast("string")

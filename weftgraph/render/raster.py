@@ -134,6 +134,18 @@ def sheets(boxes: DataFrame, key: str = "doc_id", most: int = SHEET) -> DataFram
     return rows.withColumn("_top", top).withColumn("sheet", F.floor((F.col("_top") - F.min("y").over(Window.partitionBy(key))) / most)).drop("_row", "_top")
 
 
+def _placed(boxes: DataFrame, *columns: str) -> DataFrame:
+    """The boxes that can be drawn."""
+    place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
+    return boxes.select(*columns, *place).where("x is not null and y is not null and w >= 0 and h >= 0")
+
+
+def corners(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, left, top) of each drawing's page as ``drawn`` gives them, without drawing it."""
+    low = lambda c: (F.floor(F.min(c)) - MARGIN).alias({"x": "left", "y": "top"}[c])
+    return _placed(boxes, key).groupBy(key).agg(low("x"), low("y"))
+
+
 def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str = "long") -> DataFrame:
     """(key, error, left, top, width, height, grey, png) for each drawing of boxes (ord, kind, x, y, w, h) and edges (ord, source, target, perhaps marker and dashed).
 
@@ -141,8 +153,7 @@ def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str
     without a place or size aren't drawn; a page too large, or of null boxes only,
     has an error and no pixels.
     """
-    place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
-    boxes = boxes.select(key, "ord", "kind", *place).where("x is not null and y is not null and w >= 0 and h >= 0")
+    boxes = _placed(boxes, key, "ord", "kind")
     of = boxes.groupBy(key).agg(F.collect_list(F.struct("kind", "x", "y", "w", "h")).alias("boxes"))
     way = lines(edges, boxes, key).groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "marker", "dashed")).alias("lines"))
 
