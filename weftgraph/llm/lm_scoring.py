@@ -75,48 +75,51 @@ class Network:
     def forward(self, window: np.ndarray, target: np.ndarray, gradient: dict | None = None) -> np.ndarray:
         """log P of each target from its window of 2 * SIDE inputs; gradient: filled with that of the mean negative."""
         p = self.part
-        seen = p["word"][window]
+        seen = p["word"].take(window, axis=0)
         h = np.tanh(np.einsum("bpw,pw->bw", seen, p["place"]) + p["bias"])
-        own_group, out = target // MEMBERS, np.empty(len(target), h.dtype)
+        # rows by their word's group, so that each group's rows are one slice
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # small numbers sort by radix
+        own_group, own = np.divmod(target[order], MEMBERS)
+        cut = np.searchsorted(own_group, np.arange(GROUPS + 1)).tolist()
+        slices = [(g, slice(cut[g], cut[g + 1])) for g in range(GROUPS) if cut[g] < cut[g + 1]]
         # the outputs' biases are weights of a unit that is always on; weights are kept within BOUND, so nothing overflows
-        on = np.column_stack([h, np.ones(len(h), h.dtype)])
+        on, at = np.column_stack([h, np.ones(len(h), h.dtype)]).take(order, axis=0), np.arange(len(h))
+        group, member = np.column_stack([p["group"], p["group_bias"]]), np.column_stack([p["member"], p["member_bias"]]).reshape(GROUPS, MEMBERS, -1)
+        ones = np.ones(MEMBERS, h.dtype)
 
-        def softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, wanted: np.ndarray):
-            """(log P of what is wanted, the gradient of the weights, of the biases, and of h)."""
-            full, at = np.column_stack([weights, bias]), np.arange(len(rows))
-            e = rows @ full.T
+        def softmax(e: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            """log P of what is wanted, from the outputs; these become the gradient."""
             logit = e[at, wanted]
             np.exp(e, out=e)
-            total = e.sum(1)
-            found = logit - np.log(total)
-            if gradient is None:
-                return found, None, None, None
-            e *= (1 / total)[:, None]
-            e[at, wanted] -= 1
-            back = e.T @ rows
-            return found, back[:, :-1], back[:, -1], e @ weights
-
-        out, group, group_bias, dh = softmax(on, p["group"], p["group_bias"], own_group)
-        if gradient is not None:
-            gradient |= {"group": group, "group_bias": group_bias, "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
-        order = np.argsort(own_group.astype(np.uint8), kind="stable")  # small numbers sort by radix
-        cut = np.searchsorted(own_group[order], np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(cut)).tolist():
-            rows, own = order[cut[g] : cut[g + 1]], slice(g * MEMBERS, (g + 1) * MEMBERS)
-            found, member, bias, d = softmax(on[rows], p["member"][own], p["member_bias"][own], target[rows] % MEMBERS)
-            out[rows] += found
+            total = e @ ones
             if gradient is not None:
-                gradient["member"][own], gradient["member_bias"][own] = member, bias
-                dh[rows] += d
+                e *= (1 / total)[:, None]
+                e[at, wanted] -= 1
+            return logit - np.log(total)
+
+        first, second = on @ group.T, np.empty((len(h), MEMBERS), h.dtype)
+        for g, rows in slices:
+            np.matmul(on[rows], member[g].T, out=second[rows])
+        out = np.empty(len(h), h.dtype)
+        out[order] = softmax(first, own_group) + softmax(second, own)
+        if gradient is not None:
+            back, moved, wide = first.T @ on, np.zeros_like(member), first @ p["group"]
+            for g, rows in slices:
+                np.matmul(second[rows].T, on[rows], out=moved[g])
+                wide[rows] += second[rows] @ member[g, :, :-1]
+            moved, dh = moved.reshape(GROUPS * MEMBERS, -1), np.empty_like(h)
+            dh[order] = wide
+            gradient |= {"group": back[:, :-1], "group_bias": back[:, -1], "member": moved[:, :-1], "member_bias": moved[:, -1]}
         if gradient is not None:
             dh *= 1 - h * h
             gradient |= {"bias": dh.sum(0), "place": np.einsum("bw,bpw->pw", dh, seen)}
-            flat = window.ravel()
-            by = np.argsort(flat.astype(np.uint16), kind="stable")
-            first = np.flatnonzero(np.append(True, flat[by][1:] != flat[by][:-1]))
-            rows = dh[by // (2 * SIDE)]
-            rows *= p["place"][by % (2 * SIDE)]
-            gradient |= {"rows": flat[by][first], "word": np.add.reduceat(rows, first, axis=0)}
+            flat = window.ravel().astype(np.uint16)
+            by = np.argsort(flat, kind="stable")
+            flat = flat.take(by)
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            rows = dh.take(by // (2 * SIDE), axis=0)
+            rows *= p["place"].take(by % (2 * SIDE), axis=0)
+            gradient |= {"rows": flat[first].astype(np.int64), "word": np.add.reduceat(rows, first, axis=0)}
             for k in gradient.keys() - {"rows"}:
                 gradient[k] = gradient[k] / len(target)
         return out
