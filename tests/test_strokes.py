@@ -6,11 +6,13 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators import connectors as C
 from weftgraph.operators import routing
 from weftgraph.operators import strokes as S
 from weftgraph.render import raster
+from weftgraph.sources.scratch import persisted
 
 BOXES = "doc_id long, ord long, kind string, x double, y double, w double, h double"
 EDGES = "doc_id long, ord long, source long, target long, marker string, dashed boolean"
@@ -226,3 +228,13 @@ def test_an_images_segments_are_those_of_its_pixels(spark):
         sums = [sum(r[c] for r in got if r.doc_id == doc) / 2 for c in S.SUMS]
         y, x = np.array([p for p in inner if p in reached], float).reshape(-1, 2).T
         assert sums == [len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]
+
+
+def test_pages_and_written_tables_are_never_sent_round_whole(spark):
+    boxes, edges = slanted()
+    frames = spark.createDataFrame(boxes, BOXES), spark.createDataFrame(edges, EDGES)
+    folder = persisted(frames[0]).withColumn("x", F.col("x") + 60).withColumn("y", F.col("y") + 60)
+    pages = raster.drawn(persisted(frames[0]), persisted(frames[1]))
+    found = C.wires(pages, folder)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -57,9 +57,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """Written once and read back."""
+    """Written once and read back.
+
+    What a table's files take says little of its rows in memory, as ids and repeated
+    values are packed, so joins with it go by shuffles and not by sending it round whole.
+    """
     spark = df.sparkSession
     base = base_folder(spark)
     path, schema = noted(f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).hint("merge")
