@@ -238,3 +238,13 @@ def test_pages_and_written_tables_are_never_sent_round_whole(spark):
     found = C.wires(pages, folder)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawing_is_spread_over_tasks(spark):
+    boxes = spark.createDataFrame([(d, 0, "action", 0.0, 0.0, 40.0, 30.0) for d in range(64)], BOXES)
+    edges = spark.createDataFrame([], EDGES)
+    pages = raster.drawn(persisted(boxes), persisted(edges))
+    with_boxes = S.with_boxes(pages, persisted(boxes.selectExpr("doc_id", "ord", "x + 60 AS x", "y + 60 AS y", "w", "h")))
+    for rows in (pages, with_boxes):
+        tasks = rows.select(F.spark_partition_id().alias("t"), "doc_id").groupBy("t").count().collect()
+        assert sum(r["count"] for r in tasks) == 64 and len(tasks) == 4

@@ -58,9 +58,13 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
 def _filled(mask: np.ndarray, k: int, off: bool) -> np.ndarray:
     """Where a square of side k round a pixel is all set; beyond the border counts as set unless ``off``."""
     low = k // 2
-    wide = np.pad(mask, ((low, k - 1 - low),) * 2, constant_values=not off)
-    sums = np.pad(np.cumsum(np.cumsum(wide, 0, dtype=np.int32), 1, dtype=np.int32), ((1, 0), (1, 0)))
-    return sums[k:, k:] - sums[:-k, k:] - sums[k:, :-k] + sums[:-k, :-k] == k * k
+    wide, n = np.pad(mask, ((low, k - 1 - low),) * 2, constant_values=not off), 1
+    while n < k:  # what is set over n pixels on, both ways; each turn doubles n
+        on = min(n, k - n)
+        wide = wide[:, : wide.shape[1] - on] & wide[:, on:]
+        wide = wide[: wide.shape[0] - on] & wide[on:]
+        n += on
+    return wide
 
 
 def closed(mask: np.ndarray, k: int) -> np.ndarray:
@@ -98,9 +102,9 @@ def ink(grey: np.ndarray, coloured: bool = True) -> np.ndarray:
 
 def spans(mask: np.ndarray, least: int = 1, corners: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line, start, end, piece) of the runs of set pixels; runs of neighbouring lines that touch (at corners too) are one piece, named by its first run."""
-    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    y, a = np.nonzero(edge == 1)
-    b = np.nonzero(edge == -1)[1]
+    wide = np.pad(mask, ((0, 0), (1, 1)))
+    edge = np.flatnonzero(wide[:, 1:] != wide[:, :-1])  # starts and ends in turns, as lines begin and end unset
+    (y, a), b = np.divmod(edge[::2], mask.shape[1] + 1), edge[1::2] % (mask.shape[1] + 1)
     keep = b - a >= least
     y, a, b = y[keep], a[keep], b[keep]
     width, by = mask.shape[1] + 2, int(corners)

@@ -152,11 +152,13 @@ def _thinned(pages: DataFrame, boxes: DataFrame | None, key: str, schema: str, r
 def with_boxes(pages: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pages that have boxes (x, y, w, h), with these as a list.
 
-    Pages are large and little is known of their size before they are drawn, so it is
-    said that the boxes are what is built of the join.
+    Pages are large, pack well, and little is known of their size before they are drawn:
+    so it is said that the boxes are what is built of the join, and into how many parts
+    it goes, or pages would go round whole or end in few tasks.
     """
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of = boxes.where("x is not null and y is not null and w is not null and h is not null").groupBy(key).agg(F.collect_list(F.struct(*[F.round(c).cast("long").alias(c) for c in ("x", "y", "w", "h")])).alias("boxes"))
-    return pages.join(of.hint("shuffle_hash"), key)
+    return pages.repartition(parts, key).join(of.hint("shuffle_hash"), key)
 
 
 def skeleton(pages: DataFrame, boxes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:

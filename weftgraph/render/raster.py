@@ -176,6 +176,6 @@ def drawn(boxes: DataFrame, edges: DataFrame, key: str = "doc_id", key_type: str
                     _draw(page, b["kind"], b["x"] - left, b["y"] - top, b["w"], b["h"])
                 yield pd.DataFrame([[k, None, left, top, width, height, page.tobytes(), png(page)]], columns=names)
 
-    # boxes are few bytes and pages many: without a number of its own the shuffle would end in one task
-    docs = of.join(way, key, "left").repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # boxes are few bytes and pages many: without a number of its own the shuffle would end in one task, and by the key itself it is left out after the join
+    docs = of.join(way, key, "left").repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
     return docs.mapInPandas(run, f"{key} {key_type}, error string, left long, top long, width long, height long, grey binary, png binary")
