@@ -198,6 +198,42 @@ def test_lm_rare_words():
     assert words[of].tolist() == t.words.hash[at].tolist() and own.tolist() == [2, 2, 1, 2, 1, 2, 1]
 
 
+def test_lm_texts_are_read_once(spark, monkeypatch):
+    """Chunks hold words and not texts: corpus counts need the different words only, the rest comes from their codes."""
+    monkeypatch.setattr(lm, "SHARD", 1 << 9)
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(rng.choice(["Éa", "b", "c1", "dd", "e"], int(rng.integers(0, 40))))) for k in range(60)] + [(60, None), (61, "  ")]
+    chunks = lm.sharded(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    want = collections.Counter(h for _, t in rows for h in Words([(t or "").lower().encode()], LETTER_DIGIT).hash.tolist())
+    assert {r.word & (1 << 64) - 1: r.n for r in lm.word_counts(chunks.select("words", "counts")).collect()} == want
+    texts, got = dict(rows), chunks.collect()
+    assert len(got) > 3 and sorted(i for r in got for i in r.ids) == sorted(texts)
+    for r in got:
+        coded, w = lm._coded(r.lengths, r.words, r.body), Words([(texts[i] or "").lower().encode() for i in r.ids], LETTER_DIGIT)
+        assert coded.hash.tolist() == w.hash.tolist() and coded.doc.tolist() == w.doc.tolist()
+
+
+def test_lm_averages(spark, monkeypatch):
+    """A round's network is the mean of its shards' networks by their numbers of words, told here one shard after another."""
+    monkeypatch.setattr(lm, "SHARD", 1 << 14)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    chunks, known, index, outputs = _lm_parts(docs)
+    state, shards = lm.Trainer(outputs).state(), chunks.collect()
+    assert len(shards) > 2 * lm.ROUNDS
+    for k in range(lm.ROUNDS):
+        states, seen = [], []
+        for r in shards:
+            if (r.chunk >> 20) % lm.ROUNDS == k:
+                t, trainer = lm.Texts(lm._coded(r.lengths, r.words, r.body), known, index), lm.Trainer(outputs, state)
+                cut = np.linspace(0, len(t.target), max(1, round(len(t.target) / lm.STEP)) + 1).astype(int)
+                for a, b in zip(cut, cut[1:]):
+                    trainer.step(t.windows()[a:b], t.target[a:b])
+                states.append(trainer.state())
+                seen.append(len(t.target))
+        state = np.average(states, axis=0, weights=seen)
+    assert np.abs(lm.trained(chunks.repartition(5), known, index, outputs) - state[: len(state) // 2]).max() < 1e-4
+
+
 def test_lm_partitionings_agree(spark, monkeypatch):
     """However rows are dealt, shards and the network's averages are the same; one pair of neighbours is in every text."""
     monkeypatch.setattr(lm, "SHARD", 1 << 17)

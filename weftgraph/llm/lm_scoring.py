@@ -13,6 +13,9 @@ not from how they are partitioned. ROUNDS groups of shards take turns: each shar
 a group goes on from the network so far by Adagrad, and the shards' networks (and
 their squares) are averaged by their numbers of words, cell by cell.
 
+Texts are read for words once: a shard is kept as its different words, by hash, and
+for each word its place among them. Networks are averaged by blocks of cells.
+
 What is looked up is the corpus's count of each rare word: a table of words, which
 grows with the corpus. A shard asks once for each of its different rare words; a
 rare word isn't among the OUTPUTS most frequent, and adds one row a shard at most.
@@ -35,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.arrays import LETTER_DIGIT, U, Words, mix
+from weftgraph.llm.arrays import LETTER_DIGIT, U, Words
 from weftgraph.llm.store import released, written
 
 SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 64, 64
@@ -47,7 +50,11 @@ STEP, RATE, BOUND = 8192, 0.1, 4.0
 SHARD, CUT, ROUNDS = 1 << 21, 1 << 23, 3
 #: Averages are rounded to multiples of GRAIN, so that they don't depend on the order in which they are added up.
 GRAIN = 2.0**-20
-CHUNKS = "chunk long, ids array<long>, lengths array<long>, body binary"
+#: Cells of a network that are averaged together.
+BLOCK = 1024
+#: lengths: words of each text; words, counts: hashes of the different words, and how often each is there; body: for each word its place among them.
+CHUNKS = "chunk long, ids array<long>, lengths array<long>, words binary, counts binary, body binary"
+SUMS = "block long, total binary, weight long"
 
 
 class Network:
@@ -83,18 +90,19 @@ class Network:
         cut = np.searchsorted(own_group, np.arange(GROUPS + 1)).tolist()
         slices = [(g, slice(cut[g], cut[g + 1])) for g in range(GROUPS) if cut[g] < cut[g + 1]]
         # the outputs' biases are weights of a unit that is always on; weights are kept within BOUND, so nothing overflows
-        on, at = np.column_stack([h, np.ones(len(h), h.dtype)]).take(order, axis=0), np.arange(len(h))
+        on, at = np.column_stack([h, np.ones(len(h), h.dtype)]).take(order, axis=0), np.arange(len(h)) * MEMBERS
         group, member = np.column_stack([p["group"], p["group_bias"]]), np.column_stack([p["member"], p["member_bias"]]).reshape(GROUPS, MEMBERS, -1)
         ones = np.ones(MEMBERS, h.dtype)
 
         def softmax(e: np.ndarray, wanted: np.ndarray) -> np.ndarray:
             """log P of what is wanted, from the outputs; these become the gradient."""
-            logit = e[at, wanted]
+            flat, cell = e.reshape(-1), at + wanted
+            logit = flat.take(cell)
             np.exp(e, out=e)
             total = e @ ones
             if gradient is not None:
                 e *= (1 / total)[:, None]
-                e[at, wanted] -= 1
+                flat[cell] -= 1
             return logit - np.log(total)
 
         first, second = on @ group.T, np.empty((len(h), MEMBERS), h.dtype)
@@ -103,12 +111,12 @@ class Network:
         out = np.empty(len(h), h.dtype)
         out[order] = softmax(first, own_group) + softmax(second, own)
         if gradient is not None:
-            back, moved, wide = first.T @ on, np.zeros_like(member), first @ p["group"]
+            back, moved, wide, inner = first.T @ on, np.zeros_like(member), np.empty_like(h), p["member"].reshape(GROUPS, MEMBERS, -1)
             for g, rows in slices:
                 np.matmul(second[rows].T, on[rows], out=moved[g])
-                wide[rows] += second[rows] @ member[g, :, :-1]
+                np.matmul(second[rows], inner[g], out=wide[rows])
             moved, dh = moved.reshape(GROUPS * MEMBERS, -1), np.empty_like(h)
-            dh[order] = wide
+            dh[order] = wide + first @ p["group"]
             gradient |= {"group": back[:, :-1], "group_bias": back[:, -1], "member": moved[:, :-1], "member_bias": moved[:, -1]}
         if gradient is not None:
             dh *= 1 - h * h
@@ -117,9 +125,11 @@ class Network:
             by = np.argsort(flat, kind="stable")
             flat = flat.take(by)
             first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            rows = dh.take(by // (2 * SIDE), axis=0)
-            rows *= p["place"].take(by % (2 * SIDE), axis=0)
-            gradient |= {"rows": flat[first].astype(np.int64), "word": np.add.reduceat(rows, first, axis=0)}
+            # dh times each place's weights, as one product with their diagonal matrices
+            rows = (dh @ np.hstack([np.diag(x) for x in p["place"]])).reshape(-1, WIDTH).take(by, axis=0)
+            # reduceat goes column by column, so two are added at once as one complex number
+            word = np.add.reduceat(rows.view(np.result_type(rows, np.complex64)), first, axis=0).view(rows.dtype)
+            gradient |= {"rows": flat[first].astype(np.int64), "word": word}
             for k in gradient.keys() - {"rows"}:
                 gradient[k] = gradient[k] / len(target)
         return out
@@ -149,45 +159,67 @@ class Trainer:
         return np.concatenate([self.net.flat, self.square.flat]).astype(float)
 
 
+class Coded:
+    """The words of some texts: the different ones, by hash, and for each word in order which of them it is."""
+
+    def __init__(self, distinct: np.ndarray, code: np.ndarray, counts: np.ndarray):
+        """counts: of each text's words."""
+        self.distinct, self.code, self.counts, self.n = distinct, code, counts, len(counts)
+        self.doc = np.repeat(np.arange(self.n), counts)
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Coded:
+        w = Words(texts, LETTER_DIGIT)
+        return cls(*np.unique(w.hash, return_inverse=True), w.counts)
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.distinct[self.code]
+
+
 class Texts:
-    """The words of some texts: hashes, outputs, and windows of inputs."""
+    """The words of some texts: outputs, and windows of inputs."""
 
-    def __init__(self, texts: list[bytes], known: np.ndarray, index: np.ndarray):
+    def __init__(self, texts: list[bytes] | Coded, known: np.ndarray, index: np.ndarray):
         """known: sorted hashes of the words with outputs of their own; index: these outputs."""
-        self.words = w = Words(texts, LETTER_DIGIT)
-        h = w.hash
-        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-        frequent = known[at] == h if len(known) else np.zeros(len(h), bool)
-        self.target = np.where(frequent, index[at] if len(known) else 0, RARE).astype(np.int64)
-        self.input = np.where(frequent, self.target, RARE + 1 + (h % U(HASHED)).astype(np.int64))
-
-    def beside(self, values: np.ndarray, shift: int, edge) -> np.ndarray:
-        out = np.full(len(values), edge, values.dtype)
-        n = len(values) - abs(shift)
-        if n > 0:
-            a, b = (slice(0, n), slice(-shift, None)) if shift < 0 else (slice(shift, None), slice(0, n))
-            same = self.words.doc[a] == self.words.doc[b]
-            out[b] = np.where(same, values[a], edge)
-        return out
+        self.words = w = texts if isinstance(texts, Coded) else Coded.of(texts)
+        at, self.frequent = _frequent(w.distinct, known)
+        target = np.where(self.frequent, index[at] if len(known) else 0, RARE).astype(np.int64)
+        self.target = target[w.code]
+        self.input = np.where(self.frequent, target, RARE + 1 + (w.distinct % U(HASHED)).astype(np.int64)).astype(np.uint16)[w.code]
 
     def windows(self) -> np.ndarray:
-        return np.column_stack([self.beside(self.input, s, EDGE) for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+        """The inputs before and after each word, with SIDE times EDGE between texts."""
+        at = np.arange(len(self.input)) + SIDE * (self.words.doc + 1)
+        row = np.full(len(at) + SIDE * (self.words.n + 1), EDGE, np.uint16)
+        row[at] = self.input
+        return np.column_stack([row[at + s] for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
     def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The different rare words; where they stand; which of them stands there, and how often it does in its document."""
         at = np.flatnonzero(self.target == RARE)
-        words, of = np.unique(self.words.hash[at], return_inverse=True)
-        _, which, n = np.unique(self.words.hash[at] ^ mix(self.words.doc[at].astype(U), 21), return_inverse=True, return_counts=True)
-        return words, at, of, n[which]
+        of = (np.cumsum(~self.frequent) - 1)[self.words.code[at]]
+        _, which, n = np.unique(of * self.words.n + self.words.doc[at], return_inverse=True, return_counts=True)
+        return self.words.distinct[~self.frequent], at, of, n[which]
+
+
+def _frequent(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word would stand among the known ones, and whether it does."""
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    return at, known[at] == words if len(known) else np.zeros(len(words), bool)
 
 
 def _sharded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, doc_id, text), by shard, to chunk rows: the texts of a shard, or of so much of it as CUT allows, compressed."""
+    """Rows (shard, doc_id, text), by shard, to chunk rows: the words of a shard's texts, or of so much of it as CUT allows."""
     pack = zstandard.ZstdCompressor(level=1)
     shard, k, ids, bodies, total = None, 0, [], [], 0
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([(shard << 20) + k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in bodies]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(bodies))], pa.binary())], ["chunk", "ids", "lengths", "body"])
+        w = Coded.of(bodies)
+        # high bytes of codes are alike, so they are kept beside each other
+        planes = w.code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        of_words = w.distinct.tobytes(), np.bincount(w.code, minlength=len(w.distinct)).astype(np.int32).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([(shard << 20) + k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([w.counts], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (*of_words, pack.compress(planes)))], ["chunk", "ids", "lengths", "words", "counts", "body"])
 
     for part in parts:
         for own, i, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -205,7 +237,7 @@ def _sharded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sharded(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(chunk, ids, lengths, body): the lower-cased texts by shards that depend on nothing but the rows."""
+    """CHUNKS: the words of the lower-cased texts by shards that depend on nothing but the rows. Texts are read for words here only."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / SHARD))))
@@ -213,14 +245,11 @@ def sharded(docs: DataFrame, id: str, text: str) -> DataFrame:
     return written(rows.select("shard", "doc_id", "text").mapInArrow(_sharded, CHUNKS))
 
 
-def _texts(lengths: list[int], body: bytes) -> list[bytes]:
-    data, ends = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, sum(lengths))), np.cumsum(lengths).tolist()
-    return [data[e - n : e] for n, e in zip(lengths, ends, strict=True)]
-
-
-def _chunk_texts(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    for chunk, lengths, body in zip(*(part.column(k).to_pylist() for k in ("chunk", "lengths", "body")), strict=True):
-        yield chunk, _texts(lengths, body)
+def _coded(lengths: list[int], words: bytes, body: bytes) -> Coded:
+    lengths = np.array(lengths, np.int64)
+    planes = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, 4 * int(lengths.sum())))
+    code = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return Coded(np.frombuffer(words, U), code.astype(np.int64), lengths)
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
@@ -237,8 +266,8 @@ def word_counts(chunks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
         for part in parts:
-            for _, texts in _chunk_texts(part):
-                held.append(np.unique(Words(texts, LETTER_DIGIT).hash, return_counts=True))
+            for words, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                held.append((np.frombuffer(words, U), np.frombuffer(n, np.int32)))
                 size += len(held[-1][0])
                 if size > 1_000_000:
                     held = [merged()]
@@ -249,7 +278,7 @@ def word_counts(chunks: DataFrame) -> DataFrame:
         if held:
             yield row(*merged())
 
-    return written(chunks.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return written(chunks.select("words", "counts").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def vocabulary_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,8 +301,8 @@ def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np
             known, index, outputs = vocabulary.value
             total, seen = None, 0
             for part in parts:
-                for _, texts in _chunk_texts(part):
-                    t, trainer = Texts(texts, known, index), Trainer(outputs, sent.value)
+                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    t, trainer = Texts(_coded(*row), known, index), Trainer(outputs, sent.value)
                     # steps of about equal size, however many words there are
                     windows, steps = t.windows(), max(1, round(len(t.target) / STEP))
                     for a, b in zip(*(np.linspace(0, len(t.target), steps + 1).astype(int)[k : steps + k] for k in (0, 1)), strict=True):
@@ -283,17 +312,32 @@ def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np
                         moved = trainer.state() * trainer.seen
                         total, seen = moved if total is None else total + moved, seen + trainer.seen
             if seen:
-                yield from pa.table({"cell": pa.array(np.arange(len(total))), "total": pa.array(total), "weight": pa.array(np.full(len(total), seen))}).to_batches(max_chunksize=100_000)
+                blocks = [total[a : a + BLOCK].tobytes() for a in range(0, len(total), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary()), pa.array([seen] * len(blocks), pa.int64())], ["block", "total", "weight"])
 
         return run
 
+    def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of (block, total, weight), all of a block, to their sums."""
+        sums: dict = {}
+        for part in parts:
+            for block, total, weight in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                cells, seen = sums.get(block, (0, 0))
+                sums[block] = cells + np.frombuffer(total), seen + weight
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["block", "total", "weight"])
+
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(state)
-        shards = chunks.where(F.shiftright("chunk", 20) % ROUNDS == k)
-        rows = shards.mapInArrow(round_of(sent), "cell long, total double, weight long").groupBy("cell").agg((F.sum("total") / F.sum("weight")).alias("mean")).toArrow()
-        if rows.num_rows:
+        shards = chunks.where(F.shiftright("chunk", 20) % ROUNDS == k).select("lengths", "words", "body")
+        rows = shards.mapInArrow(round_of(sent), SUMS).repartition("block").mapInArrow(added, SUMS).collect()
+        if rows:
             state = state.copy()
-            state[rows["cell"].to_numpy()] = np.maximum(np.round(rows["mean"].to_numpy() / GRAIN) * GRAIN, np.where(rows["cell"].to_numpy() >= len(state) // 2, 1e-3, -np.inf))
+            for r in rows:
+                at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+                state[at] = np.round(np.frombuffer(r["total"]) / r["weight"] / GRAIN) * GRAIN
+            squares = state[len(state) // 2 :]
+            np.maximum(squares, 1e-3, out=squares)
         sent.destroy()
         del rows
         released(spark)  # a round's sums aren't needed beside the next one's
@@ -304,8 +348,9 @@ def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np
 def _asked(vocabulary):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for chunk, texts in _chunk_texts(part):
-                words = Texts(texts, *vocabulary.value[:2]).rare()[0]
+            for chunk, words in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = np.frombuffer(words, U)
+                words = words[~_frequent(words, vocabulary.value[0])[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), chunk))], ["word", "chunk"])
 
     return run
@@ -319,7 +364,7 @@ def _scored(vocabulary, network):
         by = np.argsort(words)
         words, counts = words[by], counted["n"].to_numpy(np.int64)[by]
         for row in chunks.itertuples():
-            t = Texts(_texts(list(row.lengths), row.body), known, index)
+            t = Texts(_coded(row.lengths, row.words, row.body), known, index)
             p, windows = np.empty(len(t.target)), t.windows()
             for a in range(0, len(p), STEP):
                 p[a : a + STEP] = net.forward(windows[a : a + STEP], t.target[a : a + STEP])
@@ -344,6 +389,6 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     network = spark.sparkContext.broadcast(trained(chunks, known, index, outputs))
     released(spark)
     vocabulary = spark.sparkContext.broadcast((known, index, outputs))
-    asked = chunks.select("chunk", "lengths", "body").mapInArrow(_asked(vocabulary), "word long, chunk long")
+    asked = chunks.select("chunk", "words").mapInArrow(_asked(vocabulary), "word long, chunk long")
     counted = asked.join(counts, "word").select("chunk", "word", "n")
-    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, network), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return chunks.drop("counts").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, network), "doc_id long, n_words long, log_prob double, mean_log_prob double")
