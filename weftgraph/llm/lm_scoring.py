@@ -177,16 +177,28 @@ class Coded:
         return self.distinct[self.code]
 
 
+def inputs_of(words: np.ndarray, known: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """What each word, by its hash, is in a window: its output, or without one a number beyond RARE.
+
+    known: sorted hashes of the words with outputs of their own; index: these outputs.
+    """
+    hashed = (RARE + 1 + (words % U(HASHED)).astype(np.int64)).astype(np.uint16)
+    if not len(known):
+        return hashed
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return np.where(known[at] == words, index[at].astype(np.uint16), hashed)
+
+
 class Texts:
     """The words of some texts: outputs, and windows of inputs."""
 
-    def __init__(self, texts: list[bytes] | Coded, known: np.ndarray, index: np.ndarray):
-        """known: sorted hashes of the words with outputs of their own; index: these outputs."""
+    def __init__(self, texts: list[bytes] | Coded, known: np.ndarray | None = None, index: np.ndarray | None = None, inputs: np.ndarray | None = None):
+        """inputs: those of the different words, if they are known; they follow else from known and index."""
         self.words = w = texts if isinstance(texts, Coded) else Coded.of(texts)
-        at, self.frequent = _frequent(w.distinct, known)
-        target = np.where(self.frequent, index[at] if len(known) else 0, RARE).astype(np.int64)
-        self.target = target[w.code]
-        self.input = np.where(self.frequent, target, RARE + 1 + (w.distinct % U(HASHED)).astype(np.int64)).astype(np.uint16)[w.code]
+        inputs = inputs_of(w.distinct, known, index) if inputs is None else inputs
+        self.frequent = inputs < RARE
+        self.input = inputs[w.code]
+        self.target = np.where(self.frequent, inputs, RARE).astype(np.int64)[w.code]
 
     def windows(self) -> np.ndarray:
         """The inputs before and after each word, with SIDE times EDGE between texts."""
@@ -195,18 +207,16 @@ class Texts:
         row[at] = self.input
         return np.column_stack([row[at + s] for s in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
-    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The different rare words; where they stand; which of them stands there, and how often it does in its document."""
+    def rare_places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where rare words stand; which of the different ones stands there, and how often it does in its document."""
         at = np.flatnonzero(self.target == RARE)
         of = (np.cumsum(~self.frequent) - 1)[self.words.code[at]]
         _, which, n = np.unique(of * self.words.n + self.words.doc[at], return_inverse=True, return_counts=True)
-        return self.words.distinct[~self.frequent], at, of, n[which]
+        return at, of, n[which]
 
-
-def _frequent(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word would stand among the known ones, and whether it does."""
-    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-    return at, known[at] == words if len(known) else np.zeros(len(words), bool)
+    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different rare words, and their places."""
+        return self.words.distinct[~self.frequent], *self.rare_places()
 
 
 def _sharded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +256,7 @@ def sharded(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _coded(lengths: list[int], words: bytes, body: bytes) -> Coded:
+    """words: left empty where only places are asked for."""
     lengths = np.array(lengths, np.int64)
     planes = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, 4 * int(lengths.sum())))
     code = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
@@ -346,32 +357,43 @@ def trained(chunks: DataFrame, known: np.ndarray, index: np.ndarray, outputs: np
 
 
 def _asked(vocabulary):
+    """Chunks to rows of (word, chunk, place): a chunk's different rare words, numbered."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for chunk, words in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = np.frombuffer(words, U)
-                words = words[~_frequent(words, vocabulary.value[0])[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), chunk))], ["word", "chunk"])
+                words = words[inputs_of(words, *vocabulary.value[:2]) > RARE]
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32))], ["word", "chunk", "place"])
+
+    return run
+
+
+def _told(vocabulary):
+    """Chunks with the inputs of their different words in place of hashes, so that less is shuffled."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            inputs = [inputs_of(np.frombuffer(w, U), *vocabulary.value[:2]).tobytes() for w in part.column("words").to_pylist()]
+            yield part.drop_columns(["words"]).append_column("inputs", pa.array(inputs, pa.binary()))
 
     return run
 
 
 def _scored(vocabulary, network):
     def run(_, chunks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        known, index, outputs = vocabulary.value
+        outputs = vocabulary.value[2]
         net, out = Network(outputs, network.value), []
-        words = counted["word"].to_numpy(np.int64).view(U)
-        by = np.argsort(words)
-        words, counts = words[by], counted["n"].to_numpy(np.int64)[by]
+        counts = np.zeros(len(counted), np.int64)
+        counts[counted["place"].to_numpy()] = counted["n"].to_numpy(np.int64)
         for row in chunks.itertuples():
-            t = Texts(_coded(row.lengths, row.words, row.body), known, index)
+            t = Texts(_coded(row.lengths, b"", row.body), inputs=np.frombuffer(row.inputs, np.uint16))
             p, windows = np.empty(len(t.target)), t.windows()
             for a in range(0, len(p), STEP):
                 p[a : a + STEP] = net.forward(windows[a : a + STEP], t.target[a : a + STEP])
-            asked, at, of, own = t.rare()
+            at, of, own = t.rare_places()
             if len(at):
-                n = counts[np.searchsorted(words, asked)]
-                p[at] += np.log((n[of] - own + 1) / (outputs[RARE] + 1))
+                p[at] += np.log((counts[of] - own + 1) / (outputs[RARE] + 1))
             total, n = np.bincount(t.words.doc, p, t.words.n), t.words.counts
             out += [(None if i is None or i != i else int(i), int(k), float(x), float(x) / int(k) if k else None) for i, k, x in zip(row.ids, n, total, strict=True)]
         return pd.DataFrame(out, columns=["doc_id", "n_words", "log_prob", "mean_log_prob"]).astype({"doc_id": "Int64", "mean_log_prob": "Float64"})
@@ -389,6 +411,7 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     network = spark.sparkContext.broadcast(trained(chunks, known, index, outputs))
     released(spark)
     vocabulary = spark.sparkContext.broadcast((known, index, outputs))
-    asked = chunks.select("chunk", "words").mapInArrow(_asked(vocabulary), "word long, chunk long")
-    counted = asked.join(counts, "word").select("chunk", "word", "n")
-    return chunks.drop("counts").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, network), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    asked = chunks.select("chunk", "words").mapInArrow(_asked(vocabulary), "word long, chunk long, place int")
+    counted = asked.join(counts, "word").select("chunk", "place", "n")
+    told = chunks.drop("counts").mapInArrow(_told(vocabulary), "chunk long, ids array<long>, lengths array<long>, body binary, inputs binary")
+    return told.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_scored(vocabulary, network), "doc_id long, n_words long, log_prob double, mean_log_prob double")
