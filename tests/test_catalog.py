@@ -92,6 +92,32 @@ def test_nearest_box_meets_once_a_place(spark):
     assert {(r.point, r.box_ord) for r in spatial.nearest_box(origin, two, cutoff=9.0).collect()} == {(0, 0), (1, None)}
 
 
+def test_nearest_of_all_boxes_however_far(spark, tmp_path):
+    import random
+
+    from weftgraph.plans.more import nearest_of_all_boxes
+
+    # boxes at (63, 161) and (72, 184) of 40 x 24: the points are further than width + height off, but for one; no box in drawing 2
+    spark.createDataFrame([(1, 8), (1, 7)], "s_nationkey int, s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 1), (1, 250), (1, 200), (1, 100), (2, 1)], "c_nationkey int, c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {(r.doc_id, r.point, r.box_ord) for r in nearest_of_all_boxes(spark, str(tmp_path)).collect()} == {(1, 1, 7), (1, 250, 8), (1, 200, 8), (1, 100, 7), (2, 1, None)}
+
+    # all drawings against all pairs: whole numbers tie, shapes of no size, one wide box among small ones, drawings of one box, negative and distant places
+    rnd, boxes, points = random.Random(5), [], []
+    for doc, (n, area, size) in enumerate([(1, 10, 5), (30, 100, 20), (30, 100, 0), (40, 10_000, 9), (0, 10, 1), (5, 10**9, 30)]):
+        boxes += [(doc, doc * 100 + k, float(rnd.randint(-area, area // 4)), float(rnd.randint(-area, area)), *((900.0, 700.0) if doc == 3 and k == 0 else (float(size), float(size) / 2))) for k in range(n)]
+        points += [(doc, k, float(f * rnd.randint(-area, area)), f * rnd.uniform(-area, area) if doc % 2 else float(f * rnd.randint(-area, area))) for k in range(60) for f in [rnd.choice([1, 1, 20])]]
+    points += [(1, 60, None, 0.0), (1, 61, *points[60][2:])]
+    rnd.shuffle(boxes)
+
+    def nearest(doc, px, py):
+        at = [((px - max(x, min(px, x + w))) ** 2 + (py - max(y, min(py, y + h))) ** 2, k) for d, k, x, y, w, h in boxes if d == doc and px is not None]
+        return min(at)[1] if at else None
+
+    found = spatial.nearest_of_all(spark.createDataFrame(points, "doc_id int, point int, px double, py double"), spark.createDataFrame(boxes, "doc_id int, ord int, x double, y double, w double, h double")).collect()
+    assert len(found) == len(points) and {(r.doc_id, r.point, r.box_ord) for r in found} == {(doc, k, nearest(doc, px, py)) for doc, k, px, py in points}
+
+
 def test_edits(spark):
     rows = spark.createDataFrame([(1, "n1", "start", 0, (0.0, 0.0)), (1, "n7", "action", 1, (1.0, 1.0)), (1, "zz", "action", 2, (2.0, 2.0))], "doc_id int, id string, type string, ord int, position struct<x:double,y:double>")
     assert edits.next_number(rows, "n").first()["next"] == 8
